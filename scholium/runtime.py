@@ -69,7 +69,7 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     rows = small.limit(bound + 1).count() if rows is None else rows
     if rows <= bound:
         return big.join(F.broadcast(small), keys, how)
-    salt = F.pmod(F.xxhash64(*[c for c in big.columns if not isinstance(big.schema[c].dataType)][:8]), F.lit(salts)).cast("int")
+    salt = (F.monotonically_increasing_id() % salts).cast("int")
     many = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("__salt", salt).join(many, [*keys, "__salt"], how).drop("__salt")
 
