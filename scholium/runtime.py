@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,12 +23,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_scholium_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:  # the context copies it to its own file server
-        path = os.path.join(d, "scholium-src.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(path)
+    d = tempfile.mkdtemp(prefix="scholium-src-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, d, True)
+    path = os.path.join(d, "scholium-src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
     sc._scholium_shipped = True
 
 
