@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(
     "venue_profile",
-    """SELECT source, lang, COUNT(*) AS n_docs, SUM(n_chars) AS total_chars, MIN(n_chars) AS min_chars, MAX(n_chars) AS max_chars,
+    """SELECT source, lang, COUNT(*) AS n_docs, CAST(SUM(n_chars) AS BIGINT) AS total_chars, MIN(n_chars) AS min_chars, MAX(n_chars) AS max_chars,
     COUNT(DISTINCT text) AS n_distinct FROM documents GROUP BY source, lang""",
 )
 def venue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
