@@ -60,13 +60,13 @@ class Pair:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last is the intercept. Classes count equally."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last is the intercept. Class 1 has weight `share`."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     n1 = max(1, int(y.sum()))
     n0 = max(1, len(y) - n1)
-    c = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    c = np.where(y == 1, share / n1, (1 - share) / n0)
     r = np.full(x.shape[1], ridge / 100)
     r[-1] = 1e-9
     for _ in range(rounds):
@@ -82,3 +82,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Calibrated:
+    """A logistic function of standardised features; with only one class seen, that class's share."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, share: float = 0.5):
+        self.prior = float(share)
+        self.w = None
+        if len(y) and 0 < y.sum() < len(y):
+            self.mean, self.std = x.mean(0), x.std(0) + 1e-9
+            self.w = logistic((x - self.mean) / self.std, y, share)
+        elif len(y):
+            self.prior = float(y[0])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.w is None or not len(x):
+            return np.full(len(x), self.prior)
+        return sigmoid(np.column_stack([(x - self.mean) / self.std, np.ones(len(x))]) @ self.w)
