@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "quality", "toxicity", "secrets_scan"]
+MODULES = ["sharding", "quality", "packing", "toxicity", "secrets_scan"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
