@@ -35,15 +35,34 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of bytes, and where they start."""
+def _words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.concatenate([[True], _SPACE[a], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = _power(len(a) + 1)
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start
+    return mix((total[end] - total[start]) * down[start]), start, end
+
+
+def words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of bytes between ASCII white space, where they start and where they end."""
+    got, at = [], 0
+    while at < len(a):
+        to = min(len(a), at + SEGMENT)
+        if to < len(a):
+            gaps = np.flatnonzero(_SPACE[a[at:to]])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            else:  # one word longer than a segment
+                gaps = np.flatnonzero(_SPACE[a[to:]])
+                to = to + int(gaps[0]) + 1 if len(gaps) else len(a)
+        h, start, end = _words(a[at:to])
+        got.append((h, start + at, end + at))
+        at = to
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*got))
 
 
 def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
@@ -63,22 +82,7 @@ def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     a = np.frombuffer(b" ".join(texts).translate(_LOWER), np.uint8)
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
-    hashes, starts, at = [], [], 0
-    while at < len(a):
-        to = min(len(a), at + SEGMENT)
-        if to < len(a):
-            gaps = np.flatnonzero(_SPACE[a[at:to]])
-            if len(gaps):
-                to = at + int(gaps[-1]) + 1
-            else:  # one word longer than a segment
-                gaps = np.flatnonzero(_SPACE[a[to:]])
-                to = to + int(gaps[0]) + 1 if len(gaps) else len(a)
-        h, s = _words(a[at:to])
-        hashes.append(h)
-        starts.append(s + at)
-        at = to
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    h, s, _ = words(a)
     bounds = np.searchsorted(s, first)
     n = len(h) - width + 1
     run = np.zeros(max(n, 0), np.uint64)

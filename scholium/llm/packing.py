@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.llm._shingles import SEGMENT, words
 from scholium.llm._tables import read
 
 CAPACITY, END_ID = 4096, 2
@@ -33,15 +35,16 @@ HARD_EVERY = 128
 #: Tokens gathered before cuts are chosen; the last sequences' worth is chosen again with what follows.
 GATHER, REDO = 1 << 19, 8
 
-#: Distinct words remembered by a process, some 200 bytes each; beyond it the memory starts anew.
-_CACHE_WORDS = 800_000
+#: Distinct words remembered by a process, some 150 bytes each; beyond it the memory starts anew.
+_CACHE_WORDS = 600_000
 
 
 class WordTokens:
     """Token ids of whole texts, by white-space word.
 
     The vocabulary's normaliser, splitter and merges never look across ASCII white space, so a text's ids are its
-    words' ids in a row; frequent words are tokenised once. Words beyond the cache's bound are tokenised each time.
+    words' ids in a row. Words are told apart by 64-bit hashes, found for a megabyte at a time in numpy; each distinct word is
+    tokenised once while the process remembers it.
     """
 
     def __init__(self, path: str):
@@ -49,10 +52,11 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tok = Tokenizer.from_file(path)
-        self.index: dict[bytes, int] = {}
+        self.index: dict[int, int] = {}  # by a word's 64-bit hash
         self.pool = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)
         self.used = 0
         vocab = self.tok.get_vocab()
         # the same merges without normaliser and splitter, for words that are normal already
@@ -67,36 +71,35 @@ class WordTokens:
         n = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.int32, int(n.sum())), n
 
-    def _plain_ids(self, words: list[str], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain_ids(self, words: list[bytes], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words in the merges' own letters, with a space before each further part: encoded in one go, as each part ends in an id that closes it."""
-        ids = np.array(self.lean.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ids = np.array(self.lean.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int32)
         closing = np.flatnonzero(self.closes[ids])
         last = np.cumsum(parts) - 1
         if len(closing) != last[-1] + 1 or closing[-1] != len(ids) - 1:
             raise AssertionError("a part without a closing id")
         return ids, np.diff(closing[last], prepend=-1)
 
-    def _add(self, raw: list[bytes]) -> None:
-        words = [w.decode("utf-8", "replace") for w in raw]
+    def _add(self, keys: list[int], raw: list[bytes]) -> None:
         plain, lean, parts, other = [], [], [], []
-        for k, w in enumerate(words):
-            body, mark = (w[:-1], w[-1]) if w[-1] in ".,!?;:" else (w, "")
+        for k, w in enumerate(raw):
+            if w.isalpha():  # of bytes: ASCII letters
+                plain.append(k), lean.append(w.lower()), parts.append(1)
+                continue
+            body, mark = (w[:-1], w[-1:]) if w[-1] in b".,!?;:" else (w, b"")
             if body.isalpha():
-                if body.isascii():
-                    body = body.lower()
-                elif "\u03a3" in body or not is_normalized("NFC", body) or not (body := body.lower()).isalpha():
-                    body = ""
-                else:
-                    body = body.encode().decode("latin-1").translate(_LETTERS)
-                if body:
-                    plain.append(k)
-                    lean.append(f"{body} {mark}" if mark else body)
-                    parts.append(2 if mark else 1)
+                plain.append(k), lean.append(body.lower() + b" " + mark), parts.append(2)
+                continue
+            if not body.isascii():
+                x = body.decode("utf-8", "replace")
+                if x.isalpha() and "\u03a3" not in x and is_normalized("NFC", x) and (x := x.lower()).isalpha():
+                    x = x.encode().decode("latin-1").translate(_LETTERS).encode()
+                    plain.append(k), lean.append(x + b" " + mark if mark else x), parts.append(2 if mark else 1)
                     continue
             other.append(k)
         ids, n = self._plain_ids(lean, parts) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         if other:
-            more, m = self._ids([words[k] for k in other])
+            more, m = self._ids([raw[k].decode("utf-8", "replace") for k in other])
             ids, n = np.concatenate([ids, more]), np.concatenate([n, m])
         first, at = len(self.index), self.used
         while at + len(ids) > len(self.pool):
@@ -104,37 +107,65 @@ class WordTokens:
         while first + len(raw) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
             self.count = np.concatenate([self.count, np.zeros(len(self.count), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.uses), np.int32)])
         self.pool[at : at + len(ids)] = ids
         self.count[first : first + len(raw)] = n
         self.start[first : first + len(raw)] = at + np.cumsum(n) - n
         self.used = at + len(ids)
-        self.index.update(zip([raw[k] for k in plain + other], range(first, first + len(raw))))
-
-    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        self.index.update(zip([keys[k] for k in plain + other], range(first, first + len(raw))))
+
+    def _forget(self) -> None:
+        """Keeps the words met in more megabytes than most, half the bound at most."""
+        n = len(self.index)
+        least = max(2, int(np.partition(self.uses[:n], n - _CACHE_WORDS // 2)[n - _CACHE_WORDS // 2]) + 1)
+        keep = np.flatnonzero(self.uses[:n] >= least)
+        number = np.full(n, -1)
+        number[keep] = np.arange(len(keep))
+        number = number.tolist()
+        self.index = {w: number[k] for w, k in self.index.items() if number[k] >= 0}
+        m = self.count[keep]
+        ends = np.cumsum(m)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.pool[np.repeat(self.start[keep] - (ends - m), m) + np.arange(total)]
+        self.pool[:total], self.used = flat, total
+        self.count[: len(keep)], self.start[: len(keep)] = m, ends - m
+        self.uses[: len(keep)] = self.uses[keep] // 2
+        self.uses[len(keep) :] = 0
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            size, to = 0, at
+            while to < len(texts) and (to == at or size + len(texts[to] or b"") < SEGMENT):
+                size += len(texts[to] or b"") + 1
+                to += 1
+            out += self._encode([t or b"" for t in texts[at:to]])
+            at = to
+        return out
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > _CACHE_WORDS:
-            self.index.clear()
-            self.used = 0
-        words = [_split(t) for t in texts]
-        get = self.index.get
-        found = [list(map(get, ws)) for ws in words]
-        new = {w for ws, ks in zip(words, found) if None in ks for w, k in zip(ws, ks) if k is None}
-        if new:
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                self._add(new[at : at + 4096])
-            found = [list(map(get, ws)) if None in ks else ks for ws, ks in zip(words, found)]
-        k = np.array(list(chain.from_iterable(found)), np.int64)
+            self._forget()
+        raw = b" ".join(texts)
+        h, start, end = words(np.frombuffer(raw, np.uint8))
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        bounds = np.searchsorted(start, first)
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        found = list(map(self.index.get, keys))
+        if None in found:
+            new = [k for k, x in enumerate(found) if x is None]
+            at = where[new]
+            self._add([keys[k] for k in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
+            found = list(map(self.index.get, keys))
+        k = np.array(found, np.int64)
+        self.uses[k] += 1
+        k = k[back]
         n = self.count[k]
         ends = np.cumsum(n)
         flat = self.pool[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        ends = np.append(0, ends)
-        cuts = ends[np.cumsum([len(ws) for ws in words])]
-        return np.split(flat, cuts[:-1]) if len(words) else []
-
-
-def _split(text: str | bytes | None) -> list[bytes]:
-    """Words between ASCII white space, which is what bytes split at."""
-    return (text.encode("utf-8", "replace") if isinstance(text, str) else text or b"").split()
+        ends = np.append(0, ends)[bounds]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _letters() -> dict[int, int]:
@@ -255,8 +286,9 @@ def pack_stream(docs: Iterable[tuple[object, np.ndarray]], price: np.ndarray, ca
     yield from flush(True)
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece.
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
+    """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece; with digest, ids_crc32 in place of ids: the checksum of
+    the ids as little-endian unsigned 32-bit integers.
 
     A document is its text's ids and then END_ID; a null or empty text is END_ID alone, a document each. Each partition packs its own rows
     in their order: no row moves. Sequence ids are the partition's number times 2**33 plus the sequence's there. Null and
@@ -266,7 +298,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    kind = df.schema[key].dataType.simpleString()
+    kind, name = df.schema[key].dataType.simpleString(), "ids_crc32" if digest else "ids"
 
     def run(batches):
         from pyspark import TaskContext
@@ -285,38 +317,27 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
         for pieces in pack_stream(docs(), price, capacity):
             for at in range(0, len(pieces), 5000):
                 some = pieces[at : at + 5000]
-                flat = np.concatenate([p[2] for p in some])
-                offsets = np.cumsum([0] + [len(p[2]) for p in some]).astype(np.int32)
+                lengths = np.array([len(p[2]) for p in some], np.int64)
+                if digest:
+                    ids = pa.array([zlib.crc32(p[2].astype("<u4").tobytes()) for p in some], pa.int64())
+                else:
+                    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p[2] for p in some]).astype(np.int32)))
+                rest = [pa.array([p[k] for p in some], pa.int64()) for k in (3, 5)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p[0] for p in some], keys), pa.array([p[1] for p in some], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))), pa.array([p[3] for p in some], pa.int64()),
-                        pa.array([first + p[4] for p in some], pa.int64()), pa.array([p[5] for p in some], pa.int64()),
-                    ],
-                    ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
+                    [pa.array([p[0] for p in some], keys), pa.array([p[1] for p in some], pa.int64()), pa.array(lengths), ids, rest[0], pa.array([first + p[4] for p in some], pa.int64()), rest[1]],
+                    ["key", "start", "length", name, "doc_tokens", "sequence_id", "offset"],
+                )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     keys = to_arrow_type(df.schema[key].dataType)
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, start long, length long, {name} {'long' if digest else 'array<int>'}, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("key", key)
 
 
-def checksums(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers, in place of ids."""
-
-    @F.pandas_udf("long")
-    def crc(ids):
-        import zlib
-
-        return ids.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes()))
-
-    return pieces.withColumn("ids_crc32", crc("ids")).drop("ids")
-
-
 def op6_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checksums(pack(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
 QUERIES = {"op6_order_preserving_packing": op6_order_preserving_packing}
