@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "neardup", "mih", "quality", "packing", "toxicity", "secrets_scan", "setjoin"]
+MODULES = ["sharding", "mixing", "neardup", "mih", "quality", "packing", "fixity", "toxicity", "secrets_scan", "setjoin"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
