@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from unicodedata import is_normalized
@@ -29,14 +28,16 @@ from scholium.llm._tables import read
 
 CAPACITY, END_ID = 4096, 2
 #: What a cut costs, in tokens of padding.
-SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2, 8, 32
+SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2, 6, 16
 #: A hard boundary is offered every so many tokens inside a longer sentence or clause.
-HARD_EVERY = 128
+HARD_EVERY = 32
+#: Of the boundaries in a stretch of so many tokens, only the cheapest is offered.
+GRID = 16
 #: Tokens gathered before cuts are chosen; the last sequences' worth is chosen again with what follows.
 GATHER, REDO = 1 << 19, 8
 
 #: Distinct words remembered by a process, some 150 bytes each; beyond it the memory starts anew.
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_500_000
 
 
 class WordTokens:
@@ -80,7 +81,8 @@ class WordTokens:
             raise AssertionError("a part without a closing id")
         return ids, np.diff(closing[last], prepend=-1)
 
-    def _add(self, keys: list[int], raw: list[bytes]) -> None:
+    def _add(self, keys: list[int], raw: list[bytes]) -> list[int]:
+        """Remembers words; the result is the order of the arguments in which they are numbered."""
         plain, lean, parts, other = [], [], [], []
         for k, w in enumerate(raw):
             if w.isalpha():  # of bytes: ASCII letters
@@ -112,7 +114,9 @@ class WordTokens:
         self.count[first : first + len(raw)] = n
         self.start[first : first + len(raw)] = at + np.cumsum(n) - n
         self.used = at + len(ids)
-        self.index.update(zip([keys[k] for k in plain + other], range(first, first + len(raw))))
+        order = plain + other
+        self.index.update(zip([keys[k] for k in order], range(first, first + len(raw))))
+        return order
 
     def _forget(self) -> None:
         """Keeps the words met in more megabytes than most, half the bound at most."""
@@ -156,14 +160,21 @@ class WordTokens:
         if None in found:
             new = [k for k, x in enumerate(found) if x is None]
             at = where[new]
-            self._add([keys[k] for k in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-            found = list(map(self.index.get, keys))
+            first_new = len(self.index)
+            order = self._add([keys[k] for k in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
+            for x, k in enumerate(order, first_new):
+                found[new[k]] = x
         k = np.array(found, np.int64)
         self.uses[k] += 1
-        k = k[back]
+        # first the distinct words' ids, close together, then all words' from these
         n = self.count[k]
         ends = np.cumsum(n)
-        flat = self.pool[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        near = self.pool[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        back = back.astype(np.int32)
+        begin = (ends - n).astype(np.int32)[back]
+        n = n.astype(np.int32)[back]
+        ends = np.cumsum(n)
+        flat = near[np.repeat(begin - (ends - n).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         ends = np.append(0, ends)[bounds]
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
@@ -196,25 +207,30 @@ def cut_prices(vocab: dict[str, int]) -> np.ndarray:
     return out
 
 
-def choose_cuts(pos: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> list[int]:
-    """Indices into pos of the chosen cuts, the last included. pos rises from above 0, in steps of at most capacity; cost is each cut's penalty."""
+def choose_cuts(pos: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY, more: bool = False) -> list[int]:
+    """Indices into pos of the chosen cuts, the last included; if more follows, the last chosen is the least wasteful of those a sequence could end at last. pos rises from above 0, in steps of at most capacity; cost is each cut's penalty."""
     where, price = pos.tolist(), cost.tolist()
     n = len(where)
-    best = [0.0] * n  # f(i) + pos(i)
-    back = [0] * n
-    queue: deque = deque([(0.0, 0, -1)])  # f(i) + pos(i), pos(i), i; the first is the least
+    back, total = [0] * n, [0] * n
+    # the queue, from head to tail: f(i) + pos(i), pos(i) and i of the candidates, least first
+    least, place, which, head, tail = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1), 0, 0
     for j in range(n):
         p = where[j]
         low = p - capacity
-        while queue[0][1] < low:
-            queue.popleft()
-        least, _, i = queue[0]
-        v = least + price[j] + capacity  # f(j) + pos(j)
-        best[j], back[j] = v, i
-        while queue and queue[-1][0] >= v:
-            queue.pop()
-        queue.append((v, p, j))
+        while place[head] < low:
+            head += 1
+        v = least[head] + price[j] + capacity  # f(j) + pos(j)
+        back[j] = which[head]
+        while tail >= head and least[tail] >= v:
+            tail -= 1
+        tail += 1
+        least[tail], place[tail], which[tail] = v, p, j
+        total[j] = v
     cuts, j = [], n - 1
+    if more:
+        waste = np.array(total) - pos  # f
+        near = np.searchsorted(pos, where[-1] - capacity, side="right")
+        j = int(near + waste[near:].argmin())
     while j >= 0:
         cuts.append(j)
         j = back[j]
@@ -237,7 +253,12 @@ def _boundaries(length: int, price: np.ndarray, cap: int) -> tuple[np.ndarray, n
         marks, costs = np.concatenate([marks, hard]), np.concatenate([costs, np.full(len(hard), HARD_CUT)])
         order = np.argsort(marks, kind="stable")
         marks, costs = marks[order], costs[order]
-    return marks, costs
+    # of the boundaries within a short stretch, the cheapest, and of those the last
+    stretch = marks // GRID
+    order = np.lexsort((-marks, costs, stretch))
+    first = np.concatenate([[True], stretch[1:] != stretch[:-1]])
+    keep = np.sort(order[first])
+    return marks[keep], costs[keep]
 
 
 def pack_stream(docs: Iterable[tuple[object, np.ndarray]], price: np.ndarray, capacity: int = CAPACITY) -> Iterator[list[tuple]]:
@@ -257,7 +278,7 @@ def pack_stream(docs: Iterable[tuple[object, np.ndarray]], price: np.ndarray, ca
             cost.append(c[k:])
             base += len(ids) - done
         pos, cost = np.concatenate(pos), np.concatenate(cost)
-        cuts = pos[choose_cuts(pos, cost, capacity)]
+        cuts = pos[choose_cuts(pos, cost, capacity, not last)]
         if not last:
             cuts = cuts[:-REDO]
         out, begin = [], 0
@@ -309,8 +330,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
 
         def docs():
             for b in batches:
-                for at in range(0, b.num_rows, 64):
-                    part = b.slice(at, 64)
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
                     for k, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
                         yield k, np.append(ids, np.int32(END_ID))
 
