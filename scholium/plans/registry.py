@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "venue_profile"
+FLAGSHIP = "exclusion_counts"
 
 
 def query(name: str, sql: str | None = None):
@@ -43,3 +43,6 @@ def venue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_docs"), F.sum("n_chars").alias("total_chars"), F.min("n_chars").alias("min_chars"),
         F.max("n_chars").alias("max_chars"), F.count_distinct("h").alias("n_distinct"),
     )
+
+
+from scholium.plans import corpus, similarity, statistics  # noqa: E402, F401
