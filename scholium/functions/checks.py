@@ -165,24 +165,37 @@ def sample_size_from_t(t: Column, p: Column, n: Column) -> Column:
 # --- exact existence of integer data
 
 
-def integers_exist(k: int, s: int, q: int, lo: int, hi: int, budget: int = 200_000) -> bool | None:
-    """Whether k integers from lo to hi have the sum s and the sum of squares q; None once the budget of states is spent."""
-    states = 0
-    frontier = {(s, q)}
-    for left in range(k, 0, -1):
-        nxt = set()
-        for a, b in frontier:
-            for v in range(lo, hi + 1):
-                x, y, m = a - v, b - v * v, left - 1
-                if m * lo <= x <= m * hi and y * m >= x * x and y <= (lo + hi) * x - m * lo * hi and (m or (x == 0 and y == 0)):
-                    nxt.add((x, y))
-            if len(nxt) + states > budget:
-                return None
-        states += len(nxt)
-        frontier = nxt
-        if not frontier:
+def integers_exist(k: int, s: int, q: int, lo: int, hi: int, budget: int = 20_000) -> bool | None:
+    """Whether k integers from lo to hi have the sum s and the sum of squares q; None once the budget of states is spent.
+
+    The last two are solved for; of the others, the one tried next is as near the mean of what is left as its spread allows.
+    """
+    dead: set[tuple[int, int, int]] = set()
+
+    def search(k: int, s: int, q: int) -> bool | None:
+        if s < k * lo or s > k * hi or q * k < s * s or q > (lo + hi) * s - k * lo * hi or (q - s) % 2:
             return False
-    return (0, 0) in frontier
+        if k == 0:
+            return s == 0 and q == 0
+        if k == 1:
+            return q == s * s
+        if k == 2:
+            r = math.isqrt(max(0, 2 * q - s * s))
+            return r * r == 2 * q - s * s and (s + r) % 2 == 0 and lo <= (s - r) // 2 and (s + r) // 2 <= hi
+        if (k, s, q) in dead:
+            return False
+        if len(dead) >= budget:
+            return None
+        spread = math.sqrt(max(0.0, (k - 1) / k * (q - s * s / k))) + 1
+        # the largest value left is at least one deviation above the mean
+        for v in range(min(hi, math.floor(s / k + spread)), max(lo, math.ceil(s / k)) - 1, -1):
+            got = search(k - 1, s - v, q - v * v)
+            if got is not False:
+                return got
+        dead.add((k, s, q))
+        return False
+
+    return search(k, s, q)
 
 
 def grimmer_one(mean: str, sd: str, n: int, scale: float = 1.0) -> bool | None:

@@ -56,6 +56,27 @@ def beta_inc(a, b, x):
     return out
 
 
+def beta_inc1(a: float, b: float, x: float) -> float:
+    """The same for single numbers."""
+    if not (a > 0 and b > 0 and 0 <= x <= 1):
+        return math.nan
+    if x in (0.0, 1.0):
+        return x
+    if x >= (a + 1) / (a + b + 2):
+        return 1 - beta_inc1(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or _TINY)
+    out = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + num * d) or _TINY)
+            c = (1 + num / c) or _TINY
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out / a
+
+
 def gamma_q(a, x):
     """The regularised upper incomplete gamma function."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))

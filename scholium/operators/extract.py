@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -157,16 +159,17 @@ def find_tests(t: str) -> list[dict]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def recompute(stat: str, v: float, d1: float | None, d2: float | None) -> float:
     """Two-tailed p of a statistic."""
     if stat == "z":
-        return float(2 * special.normal_sf(abs(v)))
+        return math.erfc(abs(v) / math.sqrt(2))
     if stat == "F":
-        return float(special.f_sf(v, d1, d2))
+        return special.beta_inc1(d2 / 2, d1 / 2, d2 / (d2 + d1 * v))
     if stat == "chi2":
         return float(special.chi2_sf(v, d1))
-    t = v if stat == "t" else v * np.sqrt(d1 / (1 - v * v))
-    return float(2 * special.t_sf(abs(t), d1))
+    t = v if stat == "t" else v * math.sqrt(d1 / (1 - v * v))
+    return special.beta_inc1(d1 / 2, 0.5, d1 / (d1 + t * t))
 
 
 def p_range(e: dict) -> tuple[float, float]:

@@ -51,13 +51,14 @@ def ordered_dedup(df: DataFrame, keys: list[Column], order: str, row: str) -> Da
         first = g.groupBy(f"k{i}").agg(F.min("r").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
         e = g.join(first, f"k{i}").select("a", F.col("r").alias("b"))
         links = e if links is None else links.unionByName(e)
+    width = len(keys)
     comp = components(links).select(F.col("node").alias("r"), "root")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "r"])
-        seen = [set() for _ in keys]
+        seen = [set() for _ in range(width)]
         kept = []
-        for vals in zip(*[pdf[f"k{i}"] for i in range(len(keys))]):
+        for vals in zip(*[pdf[f"k{i}"] for i in range(width)]):
             ok = not any(v is not None and v in s for v, s in zip(vals, seen))
             kept.append(ok)
             if ok:

@@ -87,13 +87,17 @@ def text_collection(df: DataFrame, spec: TextCollection) -> DataFrame:
     return df.where(F.trim(F.col(spec.field)) != "").select(*cols, F.col(spec.field).alias("text"))
 
 
+def _valued(found: Column, unit: str, factor: float) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(unit).alias("unit"), (x.try_cast("double") * factor).alias("value")))
+
+
 def numeric_values(df: DataFrame, spec: NumericExtractor) -> DataFrame:
     """(key, unit, value) of each number found, in the common unit."""
     parts = []
     for unit, pattern in spec.units.items():
         factor = spec.conversions.get(unit, 1.0) if spec.convert_to and unit != spec.convert_to else 1.0
         found = F.regexp_extract_all(F.col(spec.field), F.lit("(?i)" + pattern), F.lit(1))
-        parts.append(F.transform(found, lambda x, u=unit, f=factor: F.struct(F.lit(u).alias("unit"), (x.try_cast("double") * f).alias("value"))))
+        parts.append(_valued(found, unit, factor))
     return df.select(F.col(spec.key).alias("key"), F.explode(F.concat(*parts)).alias("x")).select("key", "x.*").where("value IS NOT NULL")
 
 

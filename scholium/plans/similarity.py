@@ -112,14 +112,14 @@ def permanent_failures(spark: SparkSession, d: str) -> DataFrame:
     return state.skipped(table(spark, d, "events"), "user_id", "event_id", "event_type", "purchase", ("error",))
 
 
-@query("asof_stat", "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), e AS (SELECT * FROM events WHERE event_type = 'error') SELECT p.event_id, max(e.event_id) AS last_error FROM p LEFT JOIN e ON e.user_id = p.user_id AND e.event_id < p.event_id AND e.event_id >= p.event_id - 500 GROUP BY p.event_id")
+@query("asof_stat", "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), e AS (SELECT * FROM events WHERE event_type = 'error') SELECT p.event_id, coalesce(max(e.event_id), -1) AS last_error FROM p LEFT JOIN e ON e.user_id = p.user_id AND e.event_id < p.event_id AND e.event_id >= p.event_id - 500 GROUP BY p.event_id")
 def asof_stat(spark: SparkSession, d: str) -> DataFrame:
     """The last error of the same user in the 500 events before each purchase, by one window instead of a range join."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id").rangeBetween(-500, -1)
     e = table(spark, d, "events").withColumn("last_error", F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).over(w))
-    return e.where("event_type = 'purchase'").select("event_id", "last_error")
+    return e.where("event_type = 'purchase'").select("event_id", F.coalesce("last_error", F.lit(-1)).alias("last_error"))
 
 
 @query("band_join", "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), e AS (SELECT * FROM events WHERE event_type = 'error') SELECT p.event_id, min(e.event_id) AS first_near FROM p JOIN e ON abs(e.event_id - p.event_id) <= 20 GROUP BY p.event_id")

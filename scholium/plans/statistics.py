@@ -30,7 +30,7 @@ def grim(spark: SparkSession, d: str) -> DataFrame:
     return g.select("l_orderkey", checks.grim(F.format_string("%.2f", "mean"), F.col("n"))["possible"].alias("possible"))
 
 
-@query("grim_percentage", "WITH s AS (SELECT o_custkey, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS pct FROM orders GROUP BY o_custkey) SELECT o_custkey, abs(pct / 100.0::DOUBLE * n - round_even(pct / 100.0::DOUBLE * n, 0)) <= 0.5::DOUBLE * 0.1::DOUBLE / 100.0::DOUBLE * n + 1e-12 AS possible FROM s")
+@query("grim_percentage", "WITH s AS (SELECT o_custkey, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS pct FROM orders GROUP BY o_custkey) SELECT o_custkey, abs(pct / 100.0::DOUBLE * n - round_even(pct / 100.0::DOUBLE * n, 0)) <= 0.5::DOUBLE * 0.1::DOUBLE / 100.0::DOUBLE * n AS possible FROM s")
 def grim_percentage(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
     pct = F.round(100.0 * F.col("k") / F.col("n"), 1)
@@ -184,9 +184,9 @@ def scan_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return extract.pvalues(_prose(spark, d)).select("pmid", "p_reported", "op", "test_type", "p_str")
 
 
-@query("scan_triples", "SELECT l_orderkey || '-' || l_linenumber AS pmid, round(l_tax * 100 + 1, 2) AS mean, round(l_discount * 20 + 0.5, 2) AS sd, CAST(l_quantity AS INTEGER) + 10 AS n_used, 2 AS decimals FROM lineitem")
+@query("scan_triples", "SELECT round(l_tax * 100 + 1, 2) AS mean, round(l_discount * 20 + 0.5, 2) AS sd, CAST(l_quantity AS INTEGER) + 10 AS n_used, 2 AS decimals, count(*) AS n FROM lineitem GROUP BY ALL")
 def scan_triples(spark: SparkSession, d: str) -> DataFrame:
-    return extract.triples(_prose(spark, d)).select("pmid", "mean", "sd", "n_used", "decimals").where("mean < 100 AND n_used IS NOT NULL").dropDuplicates(["pmid"])
+    return extract.triples(_prose(spark, d)).groupBy("mean", "sd", "n_used", "decimals").agg(F.count("*").alias("n"))
 
 
 @query("scan_effects")
