@@ -25,6 +25,8 @@ from scholium.runtime import BROADCAST_ROWS, cut, drop, small_join
 #: Words of a block of the mixture; buckets of a source's hash.
 BLOCK_TOKENS, BUCKETS = 1_000_000, 4096
 SEED = 5
+#: The largest exponent tried for an entropy below that of the shares themselves.
+SHARPEST = 16.0
 MAX_REPEAT = 4.0
 
 
@@ -71,9 +73,9 @@ class Mixture:
     total: int
 
 
-def _bisect(good, rounds: int = 14) -> float:
-    """The least exponent from 0 to 1 that is good, 1 if none is; good takes several at once, and stays good beyond one that is."""
-    lo, hi = 0.0, 1.0
+def _bisect(good, hi: float = 1.0, rounds: int = 16) -> float:
+    """The least exponent from 0 to hi that is good, hi if none is; good takes several at once, and stays good beyond one that is."""
+    lo = 0.0
     if good([0.0])[0]:
         return 0.0
     for _ in range(rounds):  # eight sections at a time
@@ -87,7 +89,7 @@ def _bisect(good, rounds: int = 14) -> float:
 def temperature(shares: Shares, max_repeat: float | None = None, entropy: float | None = None, budget: int | None = None) -> Mixture:
     """The mixture for one of two targets. Without a budget, it is the least that has each document at least once.
 
-    max_repeat: no source is repeated more often. entropy: of the weights, in nats; the nearest that exponents from 0 to 1 give.
+    max_repeat: no source is repeated more often. entropy: of the weights, in nats; the nearest that exponents from 0 to SHARPEST give. Above 1 they sharpen.
     """
     if (max_repeat is None) == (entropy is None):
         raise ValueError("give max_repeat or entropy")
@@ -95,14 +97,14 @@ def temperature(shares: Shares, max_repeat: float | None = None, entropy: float
         return Mixture(1.0, 0, 1.0, 0)
     if entropy is not None:
         # entropy falls as the exponent grows
-        a = _bisect(lambda xs: [h <= entropy for h in shares.entropy(xs)])
+        a = _bisect(lambda xs: [h <= entropy for h in shares.entropy(xs)], SHARPEST)
     elif budget is None:
-        a = _bisect(lambda xs: [(shares.low / shares.high) ** (x - 1) <= max_repeat for x in xs])
+        a = _bisect(lambda xs: [(shares.low / shares.high) ** (x - 1) <= max_repeat for x in xs])  # of the rarest source; the commonest comes once
     else:
         a = _bisect(lambda xs: [budget / shares.total * shares.low ** (x - 1) / z <= max_repeat for x, (z, _) in zip(xs, shares.sums(xs))])
     z = shares.sums([a])[0][0]
     if budget is None:
-        budget = math.ceil(shares.total * z * shares.high ** (1 - a) - 1e-6)
+        budget = math.ceil(shares.total * z * max(shares.high ** (1 - a), shares.low ** (1 - a)) - 1e-6)
     return Mixture(a, budget, z, shares.total)
 
 
