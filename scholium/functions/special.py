@@ -6,6 +6,7 @@ The incomplete beta and gamma functions are evaluated by continued fractions and
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -149,10 +150,10 @@ def t_ppf(p: float, df: float) -> float:
 
 
 def normal_ppf(p):
-    """Acklam's start, two Newton steps on the exact tail; 0 and 1 give infinities."""
+    """0 and 1 give infinities."""
+    inv = NormalDist().inv_cdf
     p = np.asarray(p, float)
-    out = np.array([math.inf if v >= 1 else -math.inf if v <= 0 else _quantile(normal_sf, v, -40, 40) for v in p.ravel()]).reshape(p.shape)
-    return out
+    return np.array([math.inf if v >= 1 else -math.inf if v <= 0 else inv(v) for v in p.ravel()]).reshape(p.shape)
 
 
 def binomial_sf(k: int, n: int) -> float:
@@ -163,11 +164,16 @@ def binomial_sf(k: int, n: int) -> float:
 
 
 def ks_uniform_p(values: np.ndarray) -> tuple[float, float]:
-    """The two-sided Kolmogorov-Smirnov statistic against the uniform distribution, and its exact p by Marsaglia, Tsang and Wang's matrices."""
+    """The two-sided Kolmogorov-Smirnov statistic against the uniform distribution, and its p: exact by Marsaglia, Tsang and Wang's matrices
+    up to 140 values, and beyond by the limit distribution with Stephens's correction."""
     x = np.sort(np.asarray(values, float))
     n = len(x)
     i = np.arange(1, n + 1)
     d = float(max((i / n - x).max(), (x - (i - 1) / n).max()))
+    if n > 140:
+        z = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
+        tail = 2 * sum((-1) ** (j - 1) * math.exp(-2 * (j * z) ** 2) for j in range(1, 101)) if z > 0.2 else 1.0
+        return d, min(1.0, max(0.0, tail))
     k = int(n * d) + 1
     m, h = 2 * k - 1, k - n * d
     a = np.tril(np.ones((m, m)), 1) - np.tril(np.zeros((m, m)), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words by whose share English body text is told; sorted.
@@ -44,24 +44,27 @@ def words(t: Column) -> Column:
     return F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
 
 
-def chunks(t: Column, size: int = 200, step: int = 150, least: int = 20) -> Column:
-    """Windows of words: struct(start, text). A text no longer than a window is one chunk; of longer ones, chunks under `least` words go."""
-    w = words(t)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - (size - step) - 1, F.lit(0)), F.lit(step))
-    made = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, F.least(F.lit(size), n - s)).alias("w")))
-    made = F.filter(made, lambda c: (n <= size) | (F.size(c.w) >= least))
-    return F.when(n > 0, F.transform(made, lambda c: F.struct(c.start.alias("start"), F.concat_ws(" ", c.w).alias("text")))).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+def chunk_rows(df: DataFrame, key: str, text: str, size: int = 200, step: int = 150, least: int = 20) -> DataFrame:
+    """(key, start, n_words, text): windows of words. A text no longer than a window is one chunk; of longer ones, chunks under `least` words go.
+
+    The words are split once a text, and each window is a slice of them.
+    """
+    w = df.select(key, words(F.col(text)).alias("__w")).withColumn("__n", F.size("__w")).where("__n > 0")
+    w = w.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__n") - (size - step) - 1, F.lit(0)), F.lit(step))))
+    n = F.least(F.lit(size), F.col("__n") - F.col("start"))
+    w = w.withColumn("n_words", n).where((F.col("__n") <= size) | (F.col("n_words") >= least))
+    return w.select(key, "start", "n_words", F.concat_ws(" ", F.slice("__w", F.col("start") + 1, F.col("n_words"))).alias("text"))
 
 
 def english_ratio(t: Column) -> Column:
     """Largest share of English stopwords in four stretches of the body; 1 for texts under 3000 characters, stretches under 50 words count 0."""
     n = F.length(t)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    stop = F.lit("(?<![a-z])(?:" + "|".join(STOPWORDS) + ")(?![a-z])")
     ratios = []
     for i in range(1, 5):
-        w = F.regexp_extract_all(F.lower(F.substring(t, F.floor(n * i / 5).cast("int") + 1, F.lit(3000))), F.lit("([a-z]+)"), F.lit(1))
-        ratios.append(F.when(F.size(w) >= 50, F.size(F.filter(w, lambda x: F.array_contains(stop, x))) / F.size(w)).otherwise(0.0))
+        part = F.lower(F.substring(t, F.floor(n * i / 5).cast("int") + 1, F.lit(3000)))
+        w = F.regexp_count(part, F.lit("[a-z]+"))
+        ratios.append(F.when(w >= 50, F.regexp_count(part, stop) / w).otherwise(0.0))
     return F.when(n < 3000, 1.0).otherwise(F.greatest(*ratios))
 
 
@@ -71,14 +74,26 @@ def corrupted(t: Column) -> Column:
 
 
 def boilerplate_score(t: Column) -> Column:
-    """Share of meaningful lines that occur once; 0 with fewer than five lines that aren't blank or none meaningful."""
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    real = F.filter(lines, lambda x: (F.length(x) > 3) & ~x.rlike(r"(?i)^---\s*page\s+\d+\s*---$") & ~x.rlike(r"^\d+$"))
-    counts = F.array_sort(real)
-    pairs = F.transform(counts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    n = F.size(counts)
-    once = F.filter(pairs, lambda p: ((p.i == 0) | (F.try_element_at(counts, p.i) != p.x)) & ((p.i == n - 1) | (F.try_element_at(counts, p.i + 2) != p.x)))
-    return F.when((F.size(lines) < 5) | (n == 0), 0.0).otherwise(F.size(once) / n)
+    """Share of meaningful lines that occur once; 0 with fewer than five lines that aren't blank or none meaningful.
+
+    One fold over the sorted lines, where equal ones are neighbours.
+    """
+
+    def meaningful(x: Column) -> Column:
+        return (F.length(x) > 3) & ~x.rlike(r"(?i)^---\s*page\s+\d+\s*---$") & ~x.rlike(r"^\d+$")
+
+    def step(s: Column, x: Column) -> Column:
+        same = s.prev == x
+        real = meaningful(x)
+        once = F.when(~real, s.once).when(same, F.when(s.run == 1, s.once - 1).otherwise(s.once)).otherwise(s.once + 1)
+        return F.struct(x.alias("prev"), F.when(same, s.run + 1).otherwise(1).alias("run"), once.alias("once"), F.when(real, s.real + 1).otherwise(s.real).alias("real"), (s.lines + 1).alias("lines"))
+
+    def score(s: Column) -> Column:
+        return F.when((s.lines < 5) | (s.real == 0), 0.0).otherwise(s.once / s.real)
+
+    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("once"), F.lit(0).alias("real"), F.lit(0).alias("lines"))
+    lines = F.array_sort(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.aggregate(lines, start, step, score)
 
 
 def norm_title(t: Column) -> Column:

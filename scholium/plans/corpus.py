@@ -61,8 +61,8 @@ _WORDS = "list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10)
     SELECT doc_id, start::INTEGER AS start, least(200, n - start)::INTEGER AS n_words, md5(array_to_string(w[start + 1 : start + 200], ' ')) AS digest FROM s WHERE n <= 200 OR least(200, n - start) >= 20""",
 )
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", F.explode(tx.chunks(F.col("text"))).alias("c"))
-    return c.select("doc_id", F.col("c.start").alias("start"), F.size(F.split("c.text", " ")).alias("n_words"), F.md5(F.col("c.text").cast("binary")).alias("digest"))
+    c = tx.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
+    return c.select("doc_id", "start", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("sentence_counts")
@@ -119,11 +119,11 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "list_counter",
-    """WITH x AS (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS w, generate_subscripts(string_split(left(text, 400), ' '), 1) AS i FROM documents),
+    """WITH x AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
     n AS (SELECT doc_id, i, lower(trim(regexp_replace(w, '\\s+', ' ', 'g'))) AS value FROM x) SELECT value, count(*) AS n FROM n WHERE value <> '' AND value NOT IN ('the', 'of') GROUP BY value""",
 )
 def list_counter(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.split(F.substring("text", 1, 400), " ").alias("themes"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.split("text", " ").alias("themes"))
     return summaries.list_counter(docs, summaries.ListCounter("themes", drop=("the", "of")))
 
 
@@ -152,13 +152,13 @@ def _store(spark: SparkSession, d: str):
     r = r.unionByName(one("v2", "construct", F.when((q == 1) & (F.col("doc_id") % 7 != 0), "good").otherwise("missing")))
     a = table(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), F.lit("run1").alias("cluster_run_id"), F.col("label").alias("cluster_id"))
     c = a.select("cluster_run_id", "cluster_id").distinct().withColumn("cluster_name", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")))
-    ex = lab.where("doc_id % 11 = 0").select(F.col("doc_id").alias("pmid"))
+    ex = lab.where("toxic = 1 AND quality = 0").select(F.col("doc_id").alias("pmid"))
     return r, a, c, ex
 
 
 _RATE = """r AS (SELECT doc_id AS pmid, 'v1' AS rubric_version, 'construct' AS dimension, CASE WHEN quality = 1 THEN 'good' ELSE 'suspect' END AS rating FROM labels
     UNION ALL SELECT doc_id, 'v1', 'harm', CASE WHEN toxic = 1 THEN 'suspect' ELSE 'acceptable' END FROM labels
-    UNION ALL SELECT doc_id, 'v2', 'construct', CASE WHEN quality = 1 AND doc_id % 7 <> 0 THEN 'good' ELSE 'missing' END FROM labels), ex AS (SELECT doc_id AS pmid FROM labels WHERE doc_id % 11 = 0)"""
+    UNION ALL SELECT doc_id, 'v2', 'construct', CASE WHEN quality = 1 AND doc_id % 7 <> 0 THEN 'good' ELSE 'missing' END FROM labels), ex AS (SELECT doc_id AS pmid FROM labels WHERE toxic = 1 AND quality = 0)"""
 
 
 @query("prevalence", f"WITH {_RATE} SELECT dimension, rating, count(DISTINCT pmid) AS n FROM r WHERE pmid NOT IN (SELECT pmid FROM ex) GROUP BY ALL")
@@ -208,7 +208,7 @@ def claim_strength(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "hedge_escalation",
-    f"""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'this may suggest ' WHEN 1 THEN 'this shows ' ELSE '' END || left(text, 80) AS text FROM conversations),
+    f"""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'this may suggest ' WHEN 1 THEN 'this shows ' ELSE '' END || text AS text FROM conversations),
     c AS (SELECT conv_id, turn, {_STRENGTH['h']} AS h, {_STRENGTH['s']} AS s, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM t),
     v AS (SELECT conv_id, turn, round(CASE WHEN h + s = 0 THEN least(0.5::DOUBLE, 0.3::DOUBLE + 0.01::DOUBLE * n) ELSE ((s - h)::DOUBLE / (h + s) + 1) / 2 END, 3) AS strength FROM c),
     w AS (SELECT *, min(strength) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS weakest FROM v)
@@ -216,10 +216,16 @@ def claim_strength(spark: SparkSession, d: str) -> DataFrame:
 )
 def hedge_escalation(spark: SparkSession, d: str) -> DataFrame:
     lead = F.when(F.col("turn") % 3 == 0, "this may suggest ").when(F.col("turn") % 3 == 1, "this shows ").otherwise("")
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.concat(lead, F.substring("text", 1, 80)).alias("sentence"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("sentence"))
     return claims.escalations(t, "conv_id", "turn", 0.3)
 
 
+@query("text_collection", "SELECT conv_id::VARCHAR AS pmid, role AS speaker, text FROM conversations WHERE trim(text) <> ''")
+def text_collection(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "pmid")
+    return summaries.text_collection(c, summaries.TextCollection("text", ("pmid", "role"), {"role": "speaker"}))
+
+
 @query("ordered_dedup")
 def ordered_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Greedy cross-database deduplication: the digest of a text, and its first 40 letters, are keys."""

@@ -11,11 +11,11 @@ from scholium.streaming import state
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return e.where("id % 2 = 0"), e.where("id % 2 = 1")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return e.where("label < 5").drop("label"), e.where("label >= 5").drop("label")
 
 
-_COS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 12) DESC, id) AS rank FROM s)"
+_COS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.label < 5 AND b.label >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 12) DESC, id) AS rank FROM s)"
 
 
 @query("cosine_topk", f"WITH {_COS} SELECT query, id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM r WHERE rank <= 5")
@@ -30,13 +30,13 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
     return vectors.novelty(q, c, 0.4).select("id", "best", F.round("sim", 6).alias("sim"), "novel")
 
 
-_CENT = "c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label), ca AS (SELECT vec_id AS pmid, e.label AS cluster_id, 1 - list_cosine_similarity(embedding::DOUBLE[], c) AS dist FROM embeddings e JOIN c ON c.label = e.label WHERE vec_id % 13 <> 0)"
+_CENT = "c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label), ca AS (SELECT vec_id AS pmid, e.label AS cluster_id, 1 - list_cosine_similarity(embedding::DOUBLE[], c) AS dist FROM embeddings e JOIN c ON c.label = e.label WHERE embedding[1] <= 0.2)"
 
 
 def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), F.col("label").alias("cluster_id"), F.col("embedding").alias("vec"))
     a = vectors.centroid_distance(e, "cluster_id").select("cluster_id", "pmid", F.col("distance").alias("distance_to_centroid"))
-    return a, e.where("pmid % 13 = 0").select("pmid")
+    return a, e.where("vec[0] > 0.2").select("pmid")
 
 
 def _level(name: str, sql: str):
@@ -62,11 +62,11 @@ def continuity(spark: SparkSession, d: str) -> DataFrame:
 @query("argument_graph", f"WITH {_COS}, j AS (SELECT r.*, x.label AS f, y.label AS t FROM s r JOIN e x ON x.vec_id = r.query JOIN e y ON y.vec_id = r.id WHERE sim > 0.2 AND x.label <> y.label), b AS (SELECT *, row_number() OVER (PARTITION BY f, t ORDER BY round(sim, 12) DESC, query, id) AS rn FROM j) SELECT f AS from_paper, t AS to_paper, query AS conclusion, id AS premise, round(sim, 6) AS sim FROM b WHERE rn = 1")
 def argument_graph(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper"), F.col("embedding").alias("vec"))
-    g = vectors.argument_edges(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 0.2)
+    g = vectors.argument_edges(e.where("paper < 5"), e.where("paper >= 5"), 0.2)
     return g.select("from_paper", "to_paper", "conclusion", "premise", F.round("sim", 6).alias("sim"))
 
 
-@query("journal_fit", "WITH c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 2 = 1) GROUP BY i)), s AS (SELECT list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, c WHERE vec_id % 2 = 0) SELECT round(avg(s), 6) AS mean_fit, round(min(s), 6) AS min_fit, round(max(s), 6) AS max_fit, round(stddev_pop(s), 6) AS std_fit FROM s")
+@query("journal_fit", "WITH c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label >= 5) GROUP BY i)), s AS (SELECT list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, c WHERE label < 5) SELECT round(avg(s), 6) AS mean_fit, round(min(s), 6) AS min_fit, round(max(s), 6) AS max_fit, round(stddev_pop(s), 6) AS std_fit FROM s")
 def journal_fit(spark: SparkSession, d: str) -> DataFrame:
     q, c = _sides(spark, d)
     return vectors.fit(q, c).select(*[F.round(x, 6).alias(x) for x in ("mean_fit", "min_fit", "max_fit", "std_fit")])
