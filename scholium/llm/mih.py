@@ -141,12 +141,12 @@ def search(df: DataFrame, queries, key: str = "vec_id", vector: str = "embedding
 
     Candidates are all rows with another key than the query's; with fewer than k, all are returned. Ties go to the smaller key. score is the cosine in double precision
     of the original vectors. Vectors null, empty, zero or with null or non-finite components take no part, nor do null keys; vectors of several
-    dimensions only meet their own. Repeated rows with one key are one candidate each, and one query. Empty tables give no rows. Other columns of df are left aside.
+    dimensions only meet their own. Rows repeated in key and vector count once. Empty tables give no rows. Other columns of df are left aside.
     """
     kind = dtype_of(df, vector)
     rows = pack_vectors(df.where(F.col(key).isNotNull()), vector, [F.col(key).cast("long").alias("id"), queries.alias("ask")]).where("vec IS NOT NULL")
     rows = cut(rows.dropDuplicates(["id", "vec"]), "vectors")
-    dims = [r["dim"] for r in rows.select("dim").distinct().orderBy("dim").limit(1000).collect()]
+    dims = [r["dim"] for r in rows.select("dim").distinct().orderBy("dim").collect()]
     out = None
     for dim in dims:
         got = _one_dimension(rows.where(F.col("dim") == dim), kind, k, share)

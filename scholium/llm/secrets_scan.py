@@ -13,7 +13,6 @@ import base64
 import binascii
 import bz2
 import codecs
-import gzip
 import hashlib
 import html
 import lzma
@@ -21,12 +20,15 @@ import re
 import zlib
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm._tables import read
 
 KINDS = ("assign", "access", "hex")
+#: Bytes of one unpacked layer. Texts themselves are read whole, whatever their length.
+UNPACKED = 1 << 26
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of any length with the short ones dropped
@@ -36,7 +38,6 @@ _TOKEN = re.compile(r"[^\s<>]+")
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|quot|apos|amp|equals|colon|lt|gt);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-_MAGIC = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ", lzma.decompress))
 _PRINTABLE = bytes(set(range(32, 127)) | {9, 10, 13})
 
 
@@ -94,18 +95,19 @@ def _unescape(x: str) -> str:
 
 
 def _unpack(raw: bytes) -> bytes | None:
-    """raw decompressed, if a known kind of stream is whole."""
+    """raw decompressed, if it begins a known kind of stream that isn't damaged; of a stream longer than UNPACKED, which is a bomb, the first UNPACKED bytes."""
     try:
-        for magic, f in _MAGIC:
-            if raw.startswith(magic):
-                return f(raw)
+        if raw.startswith(b"\x1f\x8b"):
+            return zlib.decompressobj(31).decompress(raw, UNPACKED)
         if raw[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda"):
-            return zlib.decompress(raw)
+            return zlib.decompressobj().decompress(raw, UNPACKED)
+        if raw.startswith(b"BZh"):
+            return bz2.BZ2Decompressor().decompress(raw, UNPACKED)
+        if raw.startswith(b"\xfd7zXZ"):
+            return lzma.LZMADecompressor().decompress(raw, UNPACKED)
         if raw.startswith(b"\x28\xb5\x2f\xfd"):
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    except Exception:  # a damaged stream is no stream
+            return zstandard.ZstdDecompressor().stream_reader(raw).read(UNPACKED)
+    except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
         return None
     return None
 
