@@ -26,7 +26,8 @@ WINDOW, GRAM, DICTIONARY = 192, 6, 32768
 SAMPLE = (6000, 3000)
 TRAIN_WINDOWS, TRAIN_WINDOW = 8, 1024
 #: A distinguishing n-gram occurs in this many sampled texts at least, and in a share of them this many times the other class's.
-RECUR, RATIO = 3, 20
+#: Ordinary text has little that toxic text hasn't: its dictionary stays small, and at a lower ratio fills with chance (measured: recall 0.87 at 10, 0.98 at 40).
+RECUR, RATIO = 3, 40
 #: n-grams kept for a dictionary of bounded size, most frequent first.
 GRAMS = 20_000
 THRESHOLD = 0.5
