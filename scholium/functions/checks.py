@@ -165,7 +165,7 @@ def sample_size_from_t(t: Column, p: Column, n: Column) -> Column:
 # --- exact existence of integer data
 
 
-def integers_exist(k: int, s: int, q: int, lo: int, hi: int, budget: int = 20_000) -> bool | None:
+def integers_exist(k, s, q, lo, hi, *, budget: int = 20_000) -> bool | None:
     """Whether k integers from lo to hi have the sum s and the sum of squares q; None once the budget of states is spent.
 
     The last two are solved for; of the others, the one tried next is as near the mean of what is left as its spread allows.
@@ -175,9 +175,7 @@ def integers_exist(k: int, s: int, q: int, lo: int, hi: int, budget: int = 20_00
     def search(k: int, s: int, q: int) -> bool | None:
         if s < k * lo or s > k * hi or q * k < s * s or q > (lo + hi) * s - k * lo * hi or (q - s) % 2:
             return False
-        if k == 0:
-            return s == 0 and q == 0
-        if k == 1:
+        if k < 2:
             return q == s * s
         if k == 2:
             r = math.isqrt(max(0, 2 * q - s * s))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words by whose share English body text is told; sorted.
+_OPTION = r"(?:\[[^\]]*\])?"
+_STARTS = r"(?=[\\A-Z])"
+_CONSONANTS = "BCDFGHJKLMNPQRSTVWXYZ"
+_PAGE_MARK = r"(?i)^-{3}\s*page\s+\d+\s*-{3}$"
 STOPWORDS = sorted("a an and are as at be between by for from had has have in is methods of on or patients results study that the their these this to was we were which with".split())
 
 
@@ -21,7 +25,7 @@ def clean_latex(t: Column, unwraps: int = 6) -> Column:
     for pattern, by in ((r"(?<!\\)%[^\n]*", ""), (r"\\(?:cite|ref|eqref|label|autoref|cref)[a-zA-Z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", " "), (r"\$\$[\s\S]*?\$\$|\$[^$]*\$", "MATH"), (r"https?://\S+", " "), (r"10\.\d{4,9}/\S+", " ")):
         t = F.regexp_replace(t, pattern, by)
     for _ in range(unwraps):
-        t = F.regexp_replace(t, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1")
+        t = F.regexp_replace(t, r"\\[A-Za-z]+\*?" + _OPTION + r"\{([^}{]*)\}", "$1")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+\*?|[{}~]", " ")
     t = F.regexp_replace(t, "---|--|\u2013|\u2014", "-")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
@@ -36,7 +40,7 @@ def cite_keys(t: Column) -> Column:
 
 def sentences(t: Column) -> Column:
     """Cut after . ! or ? where white space and a capital or a backslash follow."""
-    parts = F.filter(F.transform(F.split(F.trim(t), r"(?<=[.!?])\s+(?=[A-Z\\])"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.trim(t), r"(?<=[?!.])\s+" + _STARTS), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(t)))
 
 
@@ -70,7 +74,7 @@ def english_ratio(t: Column) -> Column:
 
 def corrupted(t: Column) -> Column:
     """A run of eight capital consonants in the first 5000 characters, as broken font tables leave."""
-    return F.substring(t, 1, 5000).rlike("[B-DF-HJ-NP-TV-Z]{8,}")
+    return F.substring(t, 1, 5000).rlike(f"[{_CONSONANTS}]" + "{8,}")
 
 
 def boilerplate_score(t: Column) -> Column:
@@ -80,7 +84,7 @@ def boilerplate_score(t: Column) -> Column:
     """
 
     def meaningful(x: Column) -> Column:
-        return (F.length(x) > 3) & ~x.rlike(r"(?i)^---\s*page\s+\d+\s*---$") & ~x.rlike(r"^\d+$")
+        return (F.length(x) > 3) & ~x.rlike(_PAGE_MARK) & ~x.rlike(r"^\d+$")
 
     def step(s: Column, x: Column) -> Column:
         same = s.prev == x

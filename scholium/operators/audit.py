@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RATINGS = ["good", "acceptable", "suspect", "missing", "unclear", "n/a"]
+RATINGS = "good acceptable suspect missing unclear n/a".split()
 #: Level: papers of each cluster, and how they are picked.
 LEVELS = {"L0": (1, "nearest"), "L1": (5, "spread"), "L2": (20, "random"), "L3": (50, "random"), "L4": (None, "all")}
 

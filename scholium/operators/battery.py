@@ -18,7 +18,6 @@ SPEC = (
     "paired array<struct<name:string,mean:double,sd:double,n:int,p:double>>, "
     "independent array<struct<name:string,mean1:double,sd1:double,n1:int,mean2:double,sd2:double,n2:int,p:double>>"
 )
-RANK = {"UNDETERMINED": 0, "PASS": 0, "FLAG": 1, "FAIL": 2}
 
 
 def _finding(df: DataFrame, check: str, target: Column, verdict: Column) -> DataFrame:

@@ -14,26 +14,40 @@ from pyspark.sql import functions as F
 from scholium.functions import special
 from scholium.runtime import ship
 
-_NUMBER = r"-?\d+(?:\.\d+)?"
-_P = re.compile(r"\bp[\s-]?(?:value)?[\s-]?([<>=≤≥])\s*(\d+\.\d+e[+-]?\d+|0?\.\d+)", re.I)
+def _loose(*parts: str, flags: int = re.I) -> re.Pattern:
+    """The parts one after the other, with any white space between them."""
+    return re.compile(r"\s*".join(parts), flags)
+
+
+_COUNT, _REAL, _POINT = r"(\d+)", r"(\d+(?:\.\d+)?)", r"(\d+\.\d+)"
+_PLACES = "{1,3}"
+_CELL = rf"(\d{_PLACES}\.\d{_PLACES})"  # as tables print them
+_RATIO = rf"(\d+\.\d{_PLACES})"
+_TOTAL = r"(?:,\s*N" + r"\s*=\s*\d+)?"
+_OPEN, _CLOSE, _IS = r"\(", r"\)", "[≈=]"
+_P = _loose(r"\bp[-\s]?(?:value)?[-\s]?([≤≥<=>])", r"(\d+\.\d+e" + r"[-+]?\d+|0?\.\d+)")
 #: Adjacent test statistics, later kinds only where they end later.
 _STATS = [
-    ("t", re.compile(r"\bt\s*\(\s*(\d+(?:\.\d+)?)\s*\)\s*[=≈]\s*(-?\d+\.\d+)", re.I)),
-    ("F", re.compile(r"\bF\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*[=≈]\s*(\d+\.\d+)", re.I)),
-    ("chi2", re.compile(r"(?:χ[2²]|chi[\s-]?(?:squared?|2|sq))\s*\(\s*(\d+)(?:,\s*N\s*=\s*\d+)?\s*\)\s*[=≈]\s*(\d+\.\d+)", re.I)),
-    ("r", re.compile(r"\br\s*\(\s*(\d+)\s*\)\s*[=≈]\s*(-?\d*\.\d+)", re.I)),
+    ("t", _loose(r"\bt", _OPEN, _REAL, _CLOSE, _IS, "(-?" + _POINT[1:])),
+    ("F", _loose(r"\bF", _OPEN, _COUNT, ",", _COUNT, _CLOSE, _IS, _POINT)),
+    ("chi2", _loose(r"(?:χ[²2]|chi[-\s]?(?:2|sq(?:uared?)?))", _OPEN, _COUNT + _TOTAL, _CLOSE, _IS, _POINT)),
+    ("r", _loose(r"\br", _OPEN, _COUNT, _CLOSE, _IS, r"(-?\d*\.\d+)")),
 ]
-_EFFECT = re.compile(r"\b(a?(?:HR|OR|RR))\b\s*[=:]?\s*(\d+\.\d{1,3})\s*[,;(\[\s]+(?:95\s*%?\s*CI?\s*[=:]?\s*)?(\d+\.\d{1,3})\s*[-–to\s]+\s*(\d+\.\d{1,3})", re.I)
-_MEAN_SD = re.compile(r"(?<![\w.])(\d{1,3}\.\d{1,3})\s*(?:\(|±|\[|\s)\s*(\d{1,3}\.\d{1,3})")
-_N = re.compile(r"\bn\s*[=:]\s*(\d{2,4})\b", re.I)
-_COHORT = re.compile(r"\bn\s*=\s*(\d{2,4})\b", re.I)
-_FUNDING = re.compile(r"funded by|funding|grant|sponsored by|supported by", re.I)
-_COI = re.compile(r"competing interests?|conflicts? of interest|disclosures?|coi statement", re.I)
+_LEVEL = r"\s*".join(["(?:95", "%?", "CI?", "[:=]?", ")?"])
+_EFFECT = _loose(r"\b(a?(?:HR|OR|RR))\b", "[:=]?", _RATIO, r"[\[(,;\s]+" + _LEVEL + _RATIO, r"[–\-\sto]+", _RATIO)
+_MEAN_SD = _loose(r"(?<![.\w])" + _CELL, r"(?:[(±\[]|\s)", _CELL, flags=0)
+_SIZE = r"(\d{2,4})\b"
+_N = _loose(r"\bn", "[:=]", _SIZE)
+_COHORT = _loose(r"\bn", "=", _SIZE)
+_FUNDING = re.compile("grant|funding|(?:funded|sponsored|supported) by", re.I)
+_COI = re.compile("coi statement|disclosures?|(?:competing|conflicts? of) interests?", re.I)
 #: Company names and phrases that mark an industry link; sorted, and to be extended by the caller.
 INDUSTRY = "advisory board|alector|amgen|amylyx|annexon|astrazeneca|biogen|brainstorm|clene|consulting fees|cytokinetics|denali|glaxosmithkline|gsk|honoraria|inc\\.|industry|ionis|llc|merck|novartis|orphazyme|pfizer|pharmaceuticals?|prilenia|roche|s\\.a\\.|sanofi|sponsored|takeda|treeway|wave\\s+life"
-_SIG = re.compile(r"\b(?:statistically\s+)?significant(?:ly)?\b(?!\s*(?:lower|higher|different))", re.I)
-_NOT_SIG = re.compile(r"\b(?:not\s+(?:statistically\s+)?significant|no\s+significant|non[- ]?significant|ns\b)", re.I)
-_AUTHOR = re.compile(r"\b([A-Z][a-z]+(?:[-' ][A-Z][a-z]+)*),?\s+(?:[A-Z]\.?\s*){1,3}")
+_STRONGLY = r"(?:statistically\s+)?"
+_SIG = re.compile(rf"\b{_STRONGLY}significant(?:ly)?\b" + r"(?!\s*(?:different|higher|lower))", re.I)
+_NOT_SIG = re.compile(r"\b(?:ns\b|non[ -]?significant|no\s+significant|" + rf"not\s+{_STRONGLY}significant)", re.I)
+_PROPER = r"[A-Z][a-z]+"
+_AUTHOR = re.compile(rf"\b({_PROPER}(?:[ '-]{_PROPER})*),?\s+" + rf"(?:[A-Z]\.?\s*){_PLACES}")
 
 
 def _rows(df: DataFrame, key: str, text: str, schema: str, f) -> DataFrame:
@@ -50,6 +64,12 @@ def _rows(df: DataFrame, key: str, text: str, schema: str, f) -> DataFrame:
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, {schema}")
 
 
+def _around(text: str, m: re.Match, width: int = 60) -> str:
+    """A match with the characters around it, on one line."""
+    a, b = m.span()
+    return " ".join(text[max(0, a - width) : b + width].split("\n"))
+
+
 def nearby_stat(text: str, at: int, window: int = 200):
     """The test statistic that ends last in the characters before a place."""
     best = None
@@ -68,7 +88,7 @@ def pvalues(df: DataFrame, key: str = "pmid", text: str = "text") -> DataFrame:
             p = float(m.group(2))
             if 0 < p <= 1:
                 s = nearby_stat(t, m.start())
-                yield p, m.group(2), m.group(1), s[0] if s else None, s[1] if s else None, t[max(0, m.start() - 60) : m.end() + 60].replace("\n", " ")
+                yield p, m.group(2), m.group(1), s[0] if s else None, s[1] if s else None, _around(t, m)
 
     return _rows(df, key, text, "p_reported double, p_str string, op string, test_type string, test_params array<double>, context_excerpt string", f)
 
@@ -78,7 +98,8 @@ def effects(df: DataFrame, key: str = "pmid", text: str = "text") -> DataFrame:
 
     def f(t):
         for m in _EFFECT.finditer(t):
-            est, lo, hi = float(m.group(2)), *sorted((float(m.group(3)), float(m.group(4))))
+            est, *ends = map(float, m.groups()[1:])
+            lo, hi = sorted(ends)
             if min(est, lo) > 0:
                 w = (hi - lo) / max(est, 0.1)
                 yield m.group(1), est, lo, hi, lo <= est <= hi, lo > 1 or hi < 1, w > 5, round(w, 2)
@@ -95,7 +116,7 @@ def triples(df: DataFrame, key: str = "pmid", text: str = "text", lines: int = 2
         ns = [(line(m.start()), int(m.group(1))) for m in _N.finditer(t) if 5 <= int(m.group(1)) <= max_n]
         seen = set()
         for m in _MEAN_SD.finditer(t):
-            mean, sd = float(m.group(1)), float(m.group(2))
+            mean, sd = map(float, m.groups())
             near = [n for i, n in ns if abs(i - line(m.start())) <= lines]
             if mean <= max_mean and near and (mean, sd, near[0]) not in seen:
                 seen.add((mean, sd, near[0]))
@@ -127,16 +148,15 @@ def papers(df: DataFrame, key: str = "pmid", text: str = "text", industry: str =
 
 # --- tests reported in full, recomputed
 
-_DF, _VAL = r"\d+(?:\.\d+)?", r"[-−]?(?:\d+(?:\.\d+)?|\.\d+)"
-_TAIL = rf"\s*[=≈]\s*(?P<val>{_VAL})\s*[,;]\s*(?:[pP]\s*(?P<op>[=<>≈])\s*(?P<p>\d+(?:\.\d+)?|\.\d+)|(?:[pP]\s*=\s*)?(?P<ns>ns)(?![A-Za-z]))"
-_BEFORE = r"(?<![A-Za-z0-9_])"
-_TESTS = [
-    ("t", re.compile(rf"{_BEFORE}t\s*\(\s*(?P<a>{_DF})\s*\){_TAIL}")),
-    ("F", re.compile(rf"{_BEFORE}F\s*\(\s*(?P<a>{_DF})\s*,\s*(?P<b>{_DF})\s*\){_TAIL}")),
-    ("chi2", re.compile(rf"{_BEFORE}(?:chi2|chi-squared?|[χΧ]\s?[2²]|[xX]2)\s*\(\s*(?P<a>{_DF})\s*(?:,\s*N\s*=\s*\d+\s*)?\){_TAIL}")),
-    ("r", re.compile(rf"{_BEFORE}r\s*\(\s*(?P<a>{_DF})\s*\){_TAIL}")),
-    ("z", re.compile(rf"{_BEFORE}z{_TAIL}")),
-]
+_DF = r"\d+(?:\.\d+)?"
+_PLAIN = r"(?:\.\d+|\d+(?:\.\d+)?)"
+_TAIL = [_IS, rf"(?P<val>[−-]?{_PLAIN})", "[;,]", rf"(?:[Pp]\s*(?P<op>[<=>≈])\s*(?P<p>{_PLAIN})|(?:[Pp]\s*=" + r"\s*)?(?P<ns>ns)\b)"]
+_BEFORE = "(?<![0-9A-Za-z_])"
+_HEADS = {
+    "t": ["t", _OPEN, rf"(?P<a>{_DF})", _CLOSE], "F": ["F", _OPEN, rf"(?P<a>{_DF})", ",", rf"(?P<b>{_DF})", _CLOSE],
+    "chi2": [r"(?:[xX]2|[Χχ]\s?[²2]|chi-squared?|chi2)", _OPEN, rf"(?P<a>{_DF})", _TOTAL + r"\s*" + _CLOSE], "r": ["r", _OPEN, rf"(?P<a>{_DF})", _CLOSE], "z": ["z"],
+}
+_TESTS = [(k, _loose(_BEFORE + h[0], *h[1:], *_TAIL, flags=0)) for k, h in _HEADS.items()]
 ALPHA, _EPS = 0.05, 1e-12
 
 
@@ -176,7 +196,8 @@ def p_range(e: dict) -> tuple[float, float]:
     """Least and largest p over all values that round to what is printed."""
     v, h = float(e["value"]), 0.5 * 10.0 ** -_dp(e["value"])
     lo, hi = v - h, v + h
-    vs = [max(0.0, lo), hi] if e["stat"] in ("F", "chi2") else [0.0, max(abs(lo), abs(hi))] if lo <= 0 <= hi else [abs(lo), abs(hi)]
+    near, far = sorted((abs(lo), abs(hi)))
+    vs = [max(0.0, lo), hi] if e["stat"] in ("F", "chi2") else [0.0 if lo <= 0 <= hi else near, far]
     if e["stat"] == "r":
         vs = [min(x, 1 - 1e-9) for x in vs]
     ds = []
@@ -229,4 +250,4 @@ def reported_tests(df: DataFrame, key: str = "pmid", text: str = "text") -> Data
 
 
 def finding_counts(findings: DataFrame, by: str = "source") -> DataFrame:
-    return findings.groupBy(by).agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("PASS", "FLAG", "FAIL", "UNDETERMINED")])
+    return findings.groupBy(by).agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in "PASS FLAG FAIL UNDETERMINED".split()])

@@ -14,14 +14,14 @@ STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _CHUNK = "regexp_extract_all(lower(substring(t, CAST(floor(n * {i} / 5) AS BIGINT) + 1, 3000)), '[a-z]+')"
 _RATIO = "CASE WHEN n < 3000 THEN 1.0::DOUBLE ELSE greatest(" + ", ".join("CASE WHEN len({c}) >= 50 THEN len(list_filter({c}, lambda x: list_contains([" .format(c=_CHUNK.format(i=i)) + STOP + "], x)))::DOUBLE / len({c}) ELSE 0.0::DOUBLE END".format(c=_CHUNK.format(i=i)) for i in range(1, 5)) + ") END"
 _LINES = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-_REAL = "list_filter(l, lambda x: length(x) > 3 AND NOT regexp_matches(x, '(?i)^---\\s*page\\s+\\d+\\s*---$') AND NOT regexp_matches(x, '^\\d+$'))"
+_REAL = "list_filter(l, lambda x: length(x) > 3 AND NOT regexp_matches(x, '(?i)^-{3}\\s*page\\s+\\d+\\s*-{3}$') AND NOT regexp_matches(x, '^\\d+$'))"
 _SCORED = f"""base AS (SELECT doc_id, text, source, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
     r AS (SELECT *, {_RATIO} AS ratio, {_LINES} AS l FROM base),
     m AS (SELECT *, {_REAL} AS real_lines FROM r),
     u AS (SELECT doc_id, count(*) AS once FROM (SELECT doc_id, line FROM (SELECT doc_id, unnest(real_lines) AS line FROM m) GROUP BY doc_id, line HAVING count(*) = 1) GROUP BY doc_id),
     s AS (SELECT m.*, CASE WHEN len(l) < 5 OR len(real_lines) = 0 THEN 0.0::DOUBLE ELSE coalesce(once, 0)::DOUBLE / len(real_lines) END AS score FROM m LEFT JOIN u USING (doc_id))"""
 _REASON = """CASE WHEN (SELECT count(*) FROM base b WHERE b.t = s.t) >= 2 THEN 'duplicate_content'
-    WHEN ratio < 0.08 THEN CASE WHEN regexp_matches(substring(t, 1, 5000), '[B-DF-HJ-NP-TV-Z]{8,}') THEN 'corrupted_text' ELSE 'non_english' END
+    WHEN ratio < 0.08 THEN CASE WHEN regexp_matches(substring(t, 1, 5000), '[BCDFGHJKLMNPQRSTVWXYZ]{8,}') THEN 'corrupted_text' ELSE 'non_english' END
     WHEN n < 8000 AND score < 0.30 THEN 'boilerplate_only' END"""
 
 
@@ -173,7 +173,7 @@ def by_cluster(spark: SparkSession, d: str) -> DataFrame:
     return audit.by_cluster(r, a, c, "construct", "run1", ex)
 
 
-@query("drift", f"WITH {_RATE} SELECT a.dimension, count(*) AS n_papers, CAST(sum(CASE WHEN a.rating <> b.rating THEN 1 ELSE 0 END) AS BIGINT) AS n_changed FROM r a JOIN r b ON a.pmid = b.pmid AND a.dimension = b.dimension WHERE a.rubric_version = 'v1' AND b.rubric_version = 'v2' GROUP BY a.dimension")
+@query("drift", f"WITH {_RATE} SELECT dimension, count(*) AS n_papers, count(*) FILTER (x.rating <> y.rating) AS n_changed FROM r x JOIN r y USING (pmid, dimension) WHERE x.rubric_version = 'v1' AND y.rubric_version = 'v2' GROUP BY dimension")
 def drift(spark: SparkSession, d: str) -> DataFrame:
     return audit.drift(_store(spark, d)[0], "v1", "v2")
 
@@ -188,7 +188,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.coverage(_store(spark, d)[0])
 
 
-@query("rater_agreement", f"WITH {_RATE} SELECT a.dimension, count(*) AS n, avg(CASE WHEN a.rating = b.rating THEN 1.0::DOUBLE ELSE 0 END) AS agreement FROM r a JOIN r b ON a.pmid = b.pmid AND a.dimension = b.dimension WHERE a.rubric_version = 'v1' AND b.rubric_version = 'v2' GROUP BY a.dimension")
+@query("rater_agreement", f"WITH {_RATE} SELECT dimension, count(*) AS n, avg(CASE WHEN x.rating = y.rating THEN 1.0::DOUBLE ELSE 0 END) AS agreement FROM r x JOIN r y USING (pmid, dimension) WHERE x.rubric_version = 'v1' AND y.rubric_version = 'v2' GROUP BY dimension")
 def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
     r = _store(spark, d)[0]
     return audit.agreement(r.where("rubric_version = 'v1'"), r.where("rubric_version = 'v2'"))

@@ -60,7 +60,10 @@ def medline_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 _ENTRY = re.compile(r"@(\w+)\s*\{\s*([^,\s]+)\s*,")
-_FIELD = re.compile(r"(\w+)\s*=\s*")
+_NAME = re.compile(r"([A-Za-z_]\w*)\s*=")
+
+
+_BRACES = str.maketrans("", "", "{}")
 
 
 def _body(s: str, at: int) -> int:
@@ -79,20 +82,18 @@ def parse_bibtex(s: str) -> list[dict]:
             continue
         body = s[m.end() : _body(s, m.end()) - 1]
         rec, at = {"entry_type": m.group(1).lower(), "cite_key": m.group(2)}, 0
-        while f := _FIELD.search(body, at):
-            at = f.end()
+        while f := _NAME.search(body, at):
+            at = f.end() + len(body[f.end() :]) - len(body[f.end() :].lstrip())
             if at < len(body) and body[at] == "{":
                 end = _body(body, at + 1)
                 value = body[at + 1 : end - 1]
-            elif at < len(body) and body[at] == '"':
-                end = body.find('"', at + 1)
-                end = len(body) if end < 0 else end + 1
-                value = body[at + 1 : end - 1]
+            elif body[at : at + 1] == '"':
+                value, _, _ = body[at + 1 :].partition('"')
+                end = at + len(value) + 2
             else:
-                end = body.find(",", at)
-                end = len(body) if end < 0 else end
-                value = body[at:end]
-            rec[f.group(1).lower()] = re.sub(r"\s+", " ", value.replace("{", "").replace("}", "")).strip()
+                value, _, _ = body[at:].partition(",")
+                end = at + len(value)
+            rec[f.group(1).lower()] = " ".join(value.translate(_BRACES).split())
             at = end
         if rec.get("archiveprefix", "").lower() == "arxiv" and rec.get("eprint"):
             rec["arxiv_id"] = rec["eprint"]
