@@ -58,7 +58,7 @@ def features_of(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     return x[order], got["y"].to_numpy()[order]
 
 
-def score_with(df: DataFrame, text: str, model, keep: list[Column]) -> DataFrame:
+def score_with(df: DataFrame, text: str, model, keep: list[Column], name: str = "score") -> DataFrame:
     """The kept columns and a score from 0 to 1 of each whole text; null counts as empty."""
 
     @F.pandas_udf("double")
@@ -66,4 +66,4 @@ def score_with(df: DataFrame, text: str, model, keep: list[Column]) -> DataFrame
         out = [model.scores(texts.iloc[at : at + STEP]) for at in range(0, len(texts), STEP)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return df.select(*keep, score(F.col(text)).alias("score"))
+    return df.select(*keep, score(F.col(text)).alias(name))

@@ -53,11 +53,11 @@ class Codes:
         return np.packbits((x - self.mean) @ self.rotation > 0, axis=1).view(np.uint64)
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def hamming(queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """All pairs, as a matrix."""
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    out = np.zeros((len(queries), len(codes)), np.uint16)
+    for w in range(queries.shape[1]):
+        out += np.bitwise_count(queries[:, w, None] ^ codes[None, :, w])
     return out
 
 

@@ -74,9 +74,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df whose text scores at least the threshold, with all their columns."""
-    out = L.score_with(df.withColumnRenamed("score", "__score"), text, model, [F.col("*")]) if "score" in df.columns else L.score_with(df, text, model, [F.col("*")])
-    out = out.where(F.col("score") >= threshold).drop("score")
-    return out.withColumnRenamed("__score", "score") if "score" in df.columns else out
+    return L.score_with(df, text, model, [F.col("*")], "__quality").where(F.col("__quality") >= threshold).drop("__quality")
 
 
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

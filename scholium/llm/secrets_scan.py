@@ -233,14 +233,13 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """The kept columns of each row, and n_assign, n_access, n_hex (base spans), base_sha256, spans (all spans, in code
     points), n_decoded (spans found in layers), layers (how they were wrapped) and, with redact, the text with all spans masked.
 
-    A null text counts as empty, and stays null when redacted. Empty tables give no rows. Repeated rows are scanned each on its own. Kept columns
-    whose names clash with these are refused.
+    A null text counts as empty, and stays null when redacted. Empty tables give no rows. Repeated rows are scanned each on its own. A kept column
+    whose name clashes with one of these, in any case of letters, comes out with _in after it.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    if clash := set(keep) & set(names):
-        raise ValueError(f"rename the columns {sorted(clash)}")
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep], _SCHEMA]
+    out_name = {c: c + "_in" if c.lower() in names else c for c in keep}
+    fields = [*[f"`{out_name[f.name]}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep], _SCHEMA]
 
     def run(batches):
         for b in batches:
@@ -250,8 +249,8 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(c, t) for c, t in zip(cols, kinds)], [*kept, *names])
 
-    kept = [f.name for f in df.schema if f.name in keep]
-    out = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, ", ".join(fields))
+    kept = [out_name[f.name] for f in df.schema if f.name in keep]
+    out = df.select(*[F.col(f"`{f.name}`").alias(out_name[f.name]) for f in df.schema if f.name in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, ", ".join(fields))
     return out if redact else out.drop("redacted")
 
 

@@ -360,6 +360,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in clean.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, mixed, DIR)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in clean.collect()}
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "good words", "en", "s", 3)], docs.schema)
-    for _, f in corpus_pipeline.STAGES[1:]:
-        f(spark, odd, DIR).collect()
+
+
+def test_pipeline_edge_cases(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [(1, None, None, None, None, "a", 1.0), (2, "", "en", "s", 0, "b", 2.0), (None, "good words", "en", "s", 3, None, None), (4, "token=abcdef1 é", "en", None, 9, "c", 3.0), (4, "token=abcdef1 é", "en", None, 9, "c", 3.0), (5, "long words " * 30000, "en", "s", 1, "d", 4.0)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, Score double")
+    for d in (odd, odd.where("false"), docs.where("false")):
+        for name, f in corpus_pipeline.STAGES:
+            got = f(spark, d, DIR)
+            assert name == "packing" or got.columns == d.columns
+            got.collect()
+    assert [r.text for r in corpus_pipeline.without_secrets(spark, odd, DIR).where("doc_id = 4").collect()] == ["<assign> é"] * 2
