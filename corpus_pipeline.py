@@ -28,10 +28,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked, in wrapped layers too; n_chars follows the text."""
-    found = secrets_scan.find_secrets(docs, "text", keep=[c for c in docs.columns if c != "text"], redact=True)
-    n_chars = F.when(F.col("spans") != "", F.length("redacted").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    cols = {"text": F.col("redacted")} | ({"n_chars": n_chars} if n_chars is not None else {})
-    return found.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+    names = docs.columns
+    own = {c: f"__c{i}" for i, c in enumerate(names) if c != "text"}  # so that no name can clash with the scan's
+    renamed = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in names])
+    found = secrets_scan.find_secrets(renamed, "text", keep=list(own.values()), redact=True)
+    cols = {c: F.col(k) for c, k in own.items()} | {"text": F.col("redacted")}
+    if "n_chars" in own:
+        cols["n_chars"] = F.when(F.col("spans") != "", F.length("redacted").cast("long")).otherwise(F.col(own["n_chars"]))
+    return found.select(*[cols[c].alias(c) for c in names])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
