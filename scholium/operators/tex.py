@@ -45,4 +45,5 @@ def claims(df: DataFrame, key: str, text: str, least_words: int = 3) -> DataFram
 
 def abstract(t):
     """The abstract's cleaned text, or null."""
-    return F.nullif(tx.clean_latex(F.regexp_extract(t, r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1)), F.lit(""))
+    marks = [rf"\\{edge}\{{abstract\}}" for edge in ("begin", "end")]
+    return F.nullif(tx.clean_latex(F.regexp_extract(t, "(?s)" + "(.*?)".join(marks), 1)), F.lit(""))
