@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +216,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 # --- the join
 
 
+_SETS = "cls long, n long, point binary, hashes binary, mult long"
+
+
 def _text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
@@ -265,7 +269,7 @@ def _emitter(buckets: int, t: int):
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """From a partition's whole buckets, the classes that share a key: (group, tile, class), equal groups once."""
+    """From a partition's whole buckets, the classes that share a key: (leader, tile, members), equal groups once. The leader is the least member."""
     keys, classes = [], []
     for b in batches:
         for x in b.column(1).to_pylist():
@@ -283,24 +287,28 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
     key, cls = key[keep], cls[keep]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(begin, len(key)))
-    shared = np.repeat(count > 1, count)
-    cls, begin, count = cls[shared], None, count[count > 1]
+    cls, count = cls[np.repeat(count > 1, count)], count[count > 1]
     if not len(count):
         return
     begin = np.cumsum(count) - count
-    # a group is known by its members: most keys of two similar documents bring the same two together
-    group = mix(np.add.reduceat(mix(cls.view(np.uint64)), begin) + count.astype(np.uint64)).view(np.int64)
-    _, first = np.unique(group, return_index=True)
+    # most keys of two similar documents bring the same two together
+    _, first = np.unique(_group_ids(cls, begin, count), return_index=True)
     for k in range(0, len(first), 20000):
-        some = first[k : k + 20000]
-        gs, ts, cs = [], [], []
-        for j in some.tolist():
-            members = cls[begin[j] : begin[j] + count[j]]
-            for tile, part in tiles(members, TILE):
-                gs.append(np.full(len(part), group[j]))
-                ts.append(np.full(len(part), tile))
-                cs.append(part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs)), pa.array(np.concatenate(ts).astype(np.int64)), pa.array(np.concatenate(cs))], ["g", "tile", "cls"])
+        rows = [(part[0], tile, part.tobytes()) for j in first[k : k + 20000].tolist() for tile, part in tiles(cls[begin[j] : begin[j] + count[j]], TILE)]
+        leader, tile, blob = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(leader, np.int64)), pa.array(np.array(tile, np.int64)), pa.array(blob, pa.binary())], ["leader", "tile", "members"])
+
+
+def _group_ids(cls: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return mix(np.add.reduceat(mix(cls.view(np.uint64)), begin) + count.astype(np.uint64))
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row of a leader's groups in a tile: all different ones in a row (groups, with their sizes), and all different members."""
+    blobs = list(dict.fromkeys(table.column("members").to_pylist()))
+    every = np.unique(np.frombuffer(b"".join(blobs), np.int64))
+    sizes = np.array([len(b) // 8 for b in blobs], np.int32)
+    return pa.table({"leader": table.column("leader").slice(0, 1), "tile": table.column("tile").slice(0, 1), "groups": pa.array([b"".join(blobs)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "members": pa.array([every.tolist()], pa.list_(pa.int64()))})
 
 
 def tiles(members: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -311,16 +319,21 @@ def tiles(members: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         return
     for i in range(n):
         for j in range(i + 1, n):
-            yield i * n + j, np.concatenate([members[i::n], members[j::n]])
+            yield i * n + j, np.sort(np.concatenate([members[i::n], members[j::n]]))
 
 
 def _sets_of(batches) -> Iterator[pa.RecordBatch]:
+    """The sets of texts that are of the class wanted of them; of texts without a wanted class, any."""
     for b in batches:
         for at in range(0, b.num_rows, STEP):
-            sets = shingle_sets(b.column(1).slice(at, STEP).to_pylist(), WIDTH)
+            part = b.slice(at, STEP)
+            sets = shingle_sets(part.column(0).to_pylist(), WIDTH)
+            cls = [class_of(s) for s in sets]
+            ok = [i for i, (c, w) in enumerate(zip(cls, part.column(1).to_pylist())) if len(sets[i]) and (w is None or w == c)]
+            sets = [sets[i] for i in ok]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).astype(np.uint16 if len(s) < 65536 else np.int32).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cls", "n", "point", "hashes"],
+                [pa.array([cls[i] for i in ok], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).astype(np.uint16 if len(s) < 65536 else np.int32).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), part.column(2).take(pa.array(ok, pa.int64()))],
+                ["cls", "n", "point", "hashes", "mult"],
             )
 
 
@@ -330,10 +343,25 @@ def _read_point(x: bytes, n: int) -> np.ndarray:
 
 def _prune(t: int):
     def run(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        cls = table.column("cls").to_numpy()
-        pairs = spanning(n, [_read_point(x, k) for x, k in zip(table.column("point").to_pylist(), n)], t)
-        a, b = (cls[[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        """Edges that join, of each group of a leader, all members whose bounds allow links. Members that earlier groups joined stay joined."""
+        head = table.filter(pc.is_valid(table.column("groups")))
+        flat, sizes = np.frombuffer(head.column("groups")[0].as_py(), np.int64), np.frombuffer(head.column("sizes")[0].as_py(), np.int32)
+        table = table.filter(pc.is_valid(table.column("point")))  # nulls would turn integers into floats
+        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+        point = [_read_point(x, k) for x, k in zip(table.column("point").to_pylist(), n.tolist())]
+        where = np.argsort(cls)
+        root = np.arange(len(cls))
+        a, b = [], []
+        for members in sorted(np.split(flat, np.cumsum(sizes)[:-1]), key=len, reverse=True):
+            i = where[np.searchsorted(cls[where], members)]
+            if len(np.unique(root[i])) == 1:
+                continue
+            for x, y in spanning(n[i], [point[k] for k in i], t):
+                x, y = i[x], i[y]
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    a.append(cls[x])
+                    b.append(cls[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -343,6 +371,9 @@ def _verify(t: int):
     def run(table: pa.Table) -> pa.Table:
         """Links in a tile: each class's linked documents there (w), and links that join all that are linked (a, b)."""
         tile, tiles_in = table.column("tile")[0].as_py(), table.column("tiles")[0].as_py()
+        once = np.unique(table.column("cls").to_numpy(), return_index=True)[1]
+        if len(once) < table.num_rows:
+            table = table.take(pa.array(once))
         n, cls, mult = (table.column(c).to_numpy() for c in ("n", "cls", "mult"))
         half = table.column("chunk").to_numpy()
         k = overlaps([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
@@ -394,21 +425,28 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     rows = cut(docs.mapInArrow(_sizes, "doc_id long, n long, cls long"), "sizes")
     classes = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("mult"), F.min("doc_id").alias("first"))
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = docs.mapInArrow(_emitter(buckets, t), "bucket int, blob binary").repartition(F.col("bucket")).mapInArrow(_meet, "g long, tile long, cls long")
-    met = cut(met.distinct(), "met")
-    wanted = met.select("cls").distinct().join(classes, "cls").select("cls", "first", "mult")
-    wanted = cut(wanted, "wanted")
+    met = docs.mapInArrow(_emitter(buckets, t), "bucket int, blob binary").repartition(F.col("bucket")).mapInArrow(_meet, "leader long, tile long, members binary")
+    met = met.repartition("leader", "tile").sortWithinPartitions("leader", "tile").mapInArrow(by_group(_gather, ["leader", "tile"]), "leader long, tile long, groups binary, sizes binary, members array<long>")
+    met = cut(met, "met")
+    members = met.select("leader", "tile", F.explode("members").alias("cls"))
+    wanted = cut(members.select("cls").distinct().join(classes, "cls").select("cls", "first", "mult"), "wanted")
+    # a text is read again for its key and class; keys may repeat, so that a set may come more than once
     n = wanted.count()
-    ids = wanted.select(F.col("first").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    have = docs.where("doc_id IS NOT NULL").join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    # keys may repeat, so that texts of other classes come along; each wanted class is kept once
-    sets = have.mapInArrow(_sets_of, "cls long, n long, point binary, hashes binary").dropDuplicates(["cls"]).join(wanted.select("cls", "mult"), "cls")
-    sets = cut(sets, "sets")
-    pairs = met.join(sets.select("cls", "n", "point"), "cls").repartition("g", "tile").sortWithinPartitions("g", "tile").mapInArrow(by_group(_prune(t), ["g", "tile"]), "a long, b long")
+    keyed = wanted.where("first IS NOT NULL").select(F.col("first").alias("doc_id"), F.col("cls").alias("want"), "mult")
+    have = docs.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed, "doc_id").select("text", "want", "mult").mapInArrow(_sets_of, _SETS)
+    lost = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("want"), F.lit(None).cast("long").alias("mult")).mapInArrow(_sets_of, _SETS)
+    lost = lost.drop("mult").dropDuplicates(["cls"]).join(wanted.where("first IS NULL").select("cls", "mult"), "cls").select("cls", "n", "point", "hashes", "mult")
+    sets = cut(have.unionByName(lost), "sets")
+    points = sets.select("cls", "n", "point").dropDuplicates(["cls"])
+    empty = [F.lit(None).cast(k).alias(c) for c, k in (("groups", "binary"), ("sizes", "binary"))]
+    parts = members.join(points, "cls").select("leader", "tile", "cls", "n", "point", *empty)
+    parts = parts.unionByName(met.select("leader", "tile", F.lit(None).cast("long").alias("cls"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), "groups", "sizes"))
+    pairs = parts.repartition("leader", "tile").sortWithinPartitions("leader", "tile").mapInArrow(by_group(_prune(t), ["leader", "tile"]), "a long, b long")
     near = components(pairs.distinct())
     comp = cut(near.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
     sized = comp.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_TILE).cast("long").alias("tiles"))
-    members = comp.join(sized, "comp").join(sets.select("cls", "n", "hashes", "mult"), "cls")
+    # a row for each class that has a neighbour; the sets stay where they are if these are few
+    members = small_join(sets.select("cls", "n", "hashes", "mult"), comp.join(sized, "comp"), ["cls"])
     members = members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("tiles")))
     # chunk i meets chunk j in tile i * tiles + j, for i < j
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.when(j != F.col("chunk"), F.least(j, F.col("chunk")) * F.col("tiles") + F.greatest(j, F.col("chunk"))))
