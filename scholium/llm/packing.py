@@ -11,6 +11,7 @@ once. Boundaries are sentence and document ends, and every `capacity` - 1 tokens
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import zlib
@@ -37,7 +38,7 @@ GRID = 16
 GATHER, REDO = 1 << 19, 8
 
 #: Distinct words remembered by a process, some 150 bytes each; beyond it the memory starts anew.
-_CACHE_WORDS = 1_500_000
+_CACHE_WORDS = 800_000
 
 
 class WordTokens:
@@ -307,6 +308,14 @@ def pack_stream(docs: Iterable[tuple[object, np.ndarray]], price: np.ndarray, ca
     yield from flush(True)
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of this process have freed: workers are reused, and their heaps don't shrink by themselves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
     """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece; with digest, ids_crc32 in place of ids: the checksum of
     the ids as little-endian unsigned 32-bit integers.
@@ -325,6 +334,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
+        give_back()
         tok = tokens_of(tokenizer)
         price = cut_prices(tok.tok.get_vocab())
 
