@@ -78,10 +78,14 @@ def block_keys(sets: list[np.ndarray], t: int = PERCENT) -> tuple[np.ndarray, np
         key = mix(total + mix(tag + number.astype(np.uint64)) * np.uint64(2 * 7 + 1))
         filled = np.bincount(owner, minlength=len(use))
         need = d[use] + 1
-        for j in np.flatnonzero(filled < need):  # then empty blocks count too, last of all
-            empty = np.setdiff1d(np.arange(blocks[j]), number[owner == j])
-            e = mix(mix((np.uint64(int(k[use][j])) << np.uint64(40)) + empty.astype(np.uint64)) * np.uint64(15) + np.uint64(1))
-            owner, count, key = np.append(owner, np.full(len(e), j)), np.append(count, np.zeros(len(e), np.int64)), np.append(key, e)
+        short = np.flatnonzero(filled < need)  # then empty blocks count too, last of all
+        first = np.searchsorted(owner, short)
+        empty = [np.setdiff1d(np.arange(blocks[j]), number[a : a + filled[j]]) for j, a in zip(short, first)]
+        if empty:
+            j = np.repeat(short, [len(e) for e in empty])
+            e = (k[use][j].astype(np.uint64) << np.uint64(40)) + np.concatenate(empty).astype(np.uint64)
+            e = mix(mix(e) * np.uint64(15) + np.uint64(1))
+            owner, count, key = np.append(owner, j), np.append(count, np.zeros(len(e), np.int64)), np.append(key, e)
         order = np.lexsort((key, -count, owner))
         owner, key = owner[order], key[order]
         begin = np.searchsorted(owner, np.arange(len(use)))

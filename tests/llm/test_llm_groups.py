@@ -156,6 +156,19 @@ def test_similar_sets_share_a_block():
             assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
 
 
+def test_lots_of_short_texts_have_all_their_keys():
+    rng = np.random.default_rng(12)
+    sets = shingle_sets([" ".join(f"w{x}" for x in rng.integers(0, 10**9, 8 + i % 2)).encode() for i in range(300)])
+    who, key = setjoin.block_keys(sets)
+    for i, s in enumerate(sets):
+        assert sorted(key[who == i].tolist()) == sorted(setjoin.block_keys([s])[1].tolist())
+
+
+def test_join_of_short_texts(spark):
+    rng = random.Random(12)
+    check_join(spark, [(i, t) for i, t in enumerate(t for k in range(300) for t in family(rng, 8 + k % 3, 2, 1))])
+
+
 def test_shingles_of_long_words():
     t = ["a" * 5000 + " b c d e f", "x y", None and "", "z"]
     assert [len(s) for s in shingle_sets([(x or "").encode() for x in t])] == [2, 1, 0, 1]
