@@ -2,7 +2,8 @@
 
 Each vector keeps a list of its K nearest found so far. A forest of random hyperplanes gives the first lists; then neighbours of a common
 neighbour, listed or listing, are compared and improve each other's lists. Pairs in the lists at or above the threshold are links. Where lists are full of links, more may be missing:
-a list grows to everything that links reach from it, its component, whose pairs are compared whole, in tiles.
+a list grows to everything that links reach from it, its component, and further lists are made of each vector's K nearest outside its component, until these hold no link.
+Then components are compared whole, in tiles.
 Recall is audited against brute force on a bounded sample of vectors; below the wanted recall, another forest and round follow.
 
 Equal vectors are one node throughout. Vectors only meet within a label and a dimension.
@@ -36,7 +37,7 @@ SEED = 7
 
 
 def _leaves(kind: np.dtype, forest: int):
-    """(cls, leaf, salt, vec) of each vector in each tree: a leaf is the label, and the signs against the tree's hyperplanes."""
+    """(cls, leaf, salt, vec) of each vector in each tree, and its comp if it has one: a leaf is the label, and the signs against the tree's hyperplanes."""
 
     def run(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -55,7 +56,7 @@ def _leaves(kind: np.dtype, forest: int):
                         code = np.where(j < depth, code * 2 + bits[:, j], code)
                     leaf = (group * np.int64(1000003)) ^ ((code * 64 + t) * np.int64(-7046029254386353131))
                     salt = np.random.default_rng([SEED, forest, t]).integers(1 << 62) ^ (part.column(0).to_numpy() * np.int64(0x1E3779B97F4A7C15))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf), pa.array(salt), part.column(4)], ["cls", "leaf", "salt", "vec"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf), pa.array(salt), *part.columns[4:]], ["cls", "leaf", "salt", *part.schema.names[4:]])
 
     return run
 
@@ -91,7 +92,7 @@ def _lists(cls, near, sims) -> pa.RecordBatch:
 
 
 def _compare(kind: np.dtype, keys: list[str], size: int):
-    """For each chunk of rows with equal keys: each member's K nearest in it, above its bound where it has one."""
+    """For each chunk of rows with equal keys: each member's K nearest in it, above its bound where it has one, and outside its comp where it has one."""
 
     def run(batches):
         out: tuple[list, list, list] = ([], [], [])
@@ -107,13 +108,16 @@ def _compare(kind: np.dtype, keys: list[str], size: int):
             x = unit(matrix(table.column("vec").to_pylist(), kind)).astype(np.float32)
             s = x @ x.T
             np.fill_diagonal(s, -2)
+            if "comp" in table.column_names:
+                comp = table.column("comp").to_numpy()
+                s[comp[:, None] == comp[None, :]] = -2
             k = min(K, len(cls) - 1)
             if k < 1:
                 continue
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             best = np.take_along_axis(s, top, 1)
             for i in range(len(cls)):
-                ok = best[i] > bound[i] if bound is not None else slice(None)
+                ok = best[i] > (bound[i] if bound is not None else -2)
                 near = cls[top[i][ok]]
                 if len(near):
                     out[0].append(cls[i])
@@ -167,7 +171,7 @@ def _round(nodes: DataFrame, lists: DataFrame, kind: np.dtype) -> DataFrame:
     e = _edges(lists, None)
     bounds = e.groupBy("cls").agg(F.first("bound").alias("bound"))
     members = e.select(F.col("cls").alias("center"), F.col("other").alias("cls")).unionByName(e.select(F.col("other").alias("center"), "cls")).distinct()
-    members = members.join(nodes.select("cls", "vec").join(bounds, "cls"), "cls")
+    members = members.join(nodes.select("cls", "vec", *[c for c in nodes.columns if c == "comp"]).join(bounds, "cls"), "cls")
     near = members.repartition("center").sortWithinPartitions("center", F.xxhash64("cls")).mapInArrow(_compare(kind, ["center"], LOCAL), _LISTS)
     return cut(_merged(lists.unionByName(near)), "lists")
 
@@ -208,11 +212,43 @@ def _verify(kind: np.dtype, threshold: float):
     return run
 
 
-def _links(nodes: DataFrame, lists: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
-    """A table of links: (cls, null, w) and (cls, b, null), complete within what the lists' links reach."""
-    # the lists hold single-precision similarities; the tiles decide in double
-    near = components(_edges(lists, threshold - 1e-5).select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    comp = cut(near.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
+def _first_lists(deep: DataFrame, kind: np.dtype, forest: int) -> DataFrame:
+    """Lists from the leaves of one forest, several a node."""
+    comp = ", comp long" if "comp" in deep.columns else ""
+    near = deep.mapInArrow(_leaves(kind, forest), f"cls long, leaf long, salt long, vec binary{comp}")
+    return near.repartition("leaf").sortWithinPartitions("leaf", "salt").mapInArrow(_compare(kind, ["leaf"], CHUNK), _LISTS)
+
+
+def _components(nodes: DataFrame, deep: DataFrame, lists: DataFrame, kind: np.dtype, forest: int, threshold: float) -> DataFrame:
+    """(cls, comp) of all that the lists' links reach. Where a list is full of links, lists of the nearest outside the components follow, until they hold no link."""
+    least = threshold - 1e-5  # the lists hold single-precision similarities; the tiles decide in double
+    pairs = cut(_edges(lists, least).select(F.col("cls").alias("a"), F.col("other").alias("b")), "pairs")
+    more = bool(_edges(lists, None).where(F.col("bound") >= least).head(1))
+    while True:
+        comp = cut(components(pairs).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
+        if not more:
+            drop(pairs)
+            return comp
+        whole = cut(nodes.select("cls", "vec").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "outside")
+        first = cut(_merged(_first_lists(deep.join(whole.select("cls", "comp"), "cls").select(*deep.columns, "comp"), kind, forest)), "lists")
+        outer = _round(whole, first, kind)
+        found = cut(_edges(outer, least).select(F.col("cls").alias("a"), F.col("other").alias("b")), "pairs")
+        more = bool(found.head(1))
+        for t in (whole, first, outer):
+            drop(t)
+        if more:  # each component with a link outside joins another one, so that few passes follow
+            both = cut(pairs.unionByName(found), "pairs")
+            drop(pairs)
+            drop(comp)
+            pairs = both
+        drop(found)
+        if not more:
+            drop(pairs)
+            return comp
+
+
+def _links(nodes: DataFrame, comp: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
+    """A table of links: (cls, null, w) and (cls, b, null), complete within components."""
     sized = comp.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_TILE).cast("long").alias("tiles"))
     members = comp.join(sized, "comp").join(nodes.select("cls", "vec", "mult"), "cls").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("tiles")))
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.when(j != F.col("chunk"), F.least(j, F.col("chunk")) * F.col("tiles") + F.greatest(j, F.col("chunk"))))
@@ -265,15 +301,15 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     deep = small_join(nodes, depth, ["grp"]).select("cls", "dim", "depth", "grp", "vec")
     lists = None
     for r in range(ROUNDS):
-        near = deep.mapInArrow(_leaves(kind, r), "cls long, leaf long, salt long, vec binary")
-        near = near.repartition("leaf").sortWithinPartitions("leaf", "salt").mapInArrow(_compare(kind, ["leaf"], CHUNK), _LISTS)
+        near = _first_lists(deep, kind, r)
         first = cut(_merged(near if lists is None else near.unionByName(lists)), "lists")
         nxt = _round(nodes, first, kind)
         drop(first)
         if lists is not None:
             drop(lists)
         lists = nxt
-        found = _links(nodes, lists, kind, threshold)
+        comp = _components(nodes, deep, lists, kind, r, threshold)
+        found = _links(nodes, comp, kind, threshold)
         weight = found.where("w IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
         recall = _audit(nodes, weight, kind, threshold)
         log.info("round %d: recall %.4f", r + 1, recall)

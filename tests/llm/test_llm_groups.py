@@ -221,6 +221,36 @@ def test_links_against_brute_force(spark):
     assert neardup.link_vectors(vectors(spark, [])).count() == 0
 
 
+def brute_links(rows):
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    pairs = [(i, j) for i, j in np.argwhere(link).tolist() if j < i and rows[i][2] == rows[j][2]]
+    deg = Counter(a for p in pairs for a in p)
+    return {r[0]: (deg[i], c) for i, (r, c) in enumerate(zip(rows, roots(len(rows), pairs, [r[0] for r in rows])))}
+
+
+def tight_groups(rng, groups, size, dim=64, inside=0.999, across=0.985):
+    """Groups of vectors whose cosine is `inside` within each, and `across` between any two of them."""
+    q = np.linalg.qr(rng.standard_normal((dim, 1 + groups + groups * size)))[0].T
+    out = []
+    for g in range(groups):
+        for i in range(size):
+            v = math.sqrt(across) * q[0] + math.sqrt(inside - across) * q[1 + g] + math.sqrt(1 - inside) * q[1 + groups + g * size + i]
+            out.append(v.tolist())
+    return out
+
+
+@pytest.mark.parametrize("groups, size, far", [(2, 9, 0), (4, 12, 400)])
+def test_links_across_saturated_lists(spark, groups, size, far):
+    rng = np.random.default_rng(21)
+    rows = [(i, v, 0, "q") for i, v in enumerate(tight_groups(rng, groups, size) + rng.standard_normal((far, 64)).tolist())]
+    want = brute_links(rows)
+    assert want[0] == (groups * size - 1, 0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in neardup.link_vectors(vectors(spark, rows)).collect()} == want
+
+
 def test_search_against_brute_force(spark):
     rows = [r for r in planted(2) if r[0] != 3 or r[2] != 0]
     got = mih.search(vectors(spark, rows), F.col("vec_id") % 5 == 0).collect()
