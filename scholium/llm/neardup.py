@@ -4,7 +4,7 @@ Each vector keeps a list of its K nearest found so far. A forest of random hyper
 neighbour, listed or listing, are compared and improve each other's lists. Pairs in the lists at or above the threshold are links. Where lists are full of links, more may be missing:
 a list grows to everything that links reach from it, its component, and further lists are made of each vector's K nearest outside its component, until these hold no link.
 Then components are compared whole, in tiles.
-Recall is audited against brute force on a bounded sample of vectors; below the wanted recall, another forest and round follow.
+Recall is audited against brute force on bounded samples of vectors; below the wanted recall, another forest and round follow, and in the end an error.
 
 Equal vectors are one node throughout. Vectors only meet within a label and a dimension.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import logging
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ THRESHOLD = 0.98
 K, TREES, LEAF, CHUNK = 8, 6, 192, 2048
 #: Neighbours of one node compared at once; a hub's others come in further lots.
 LOCAL = 96
-#: Vectors of the recall audit, and the recall below which another round follows, up to ROUNDS.
+#: Vectors of each sample of the recall audit, and the recall below which another round follows; after ROUNDS of them it's an error.
 AUDIT, RECALL, ROUNDS = 512, 0.99, 4
 VERIFY_TILE = 1024
 SEED = 7
@@ -258,10 +259,17 @@ def _links(nodes: DataFrame, comp: DataFrame, kind: np.dtype, threshold: float)
 
 
 def _audit(nodes: DataFrame, weight: DataFrame, kind: np.dtype, threshold: float) -> float:
-    """Found links over all links, of a bounded sample of vectors: those with the least hash."""
-    picked = nodes.orderBy(F.xxhash64("cls"), "cls").limit(AUDIT).select("cls", "grp", "vec").toPandas()
-    if not len(picked):
+    """Mean over vectors with links of found links over all links: the lesser of that of small groups and that of large ones.
+
+    Bounded samples, those with the least hash, are drawn apart from vectors with no link found, with up to K and with more. The first two are the small
+    groups, weighted by the numbers of vectors they stand for, so that vectors whose links are all missed count.
+    """
+    part = nodes.join(weight, "cls", "left").withColumn("part", F.when(F.col("w").isNull(), 0).when(F.col("w") <= K, 1).otherwise(2))
+    stand = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    picked = [part.where(F.col("part") == i).orderBy(F.xxhash64("cls"), "cls").limit(AUDIT).select("cls", "grp", "vec", "part", F.coalesce("w", F.lit(0)).alias("w")).toPandas() for i in sorted(stand)]
+    if not picked:
         return 1.0
+    picked = pd.concat(picked, ignore_index=True)
     sample = {g: (p["cls"].to_numpy(), unit(matrix([bytes(v) for v in p["vec"]], kind))) for g, p in picked.groupby("grp")}
 
     def run(batches):
@@ -277,8 +285,15 @@ def _audit(nodes: DataFrame, weight: DataFrame, kind: np.dtype, threshold: float
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(hit @ mult[at])], ["cls", "n"])
 
     true = nodes.select("grp", "cls", "vec", "mult").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
-    row = true.join(weight, "cls", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("w", F.lit(0)))).alias("w")).first()
-    return row["w"] / row["n"] if row["n"] else 1.0
+    true = {r["cls"]: r["n"] for r in true.collect()}
+    n = picked["cls"].map(true).fillna(0).to_numpy(np.int64)
+    each = picked["part"].map(pd.Series(stand) / picked["part"].value_counts()).to_numpy(np.float64)  # vectors that one stands for
+    got = []
+    for large in (False, True):
+        at = np.flatnonzero(((picked["part"] == 2) == large).to_numpy() & (n > 0))
+        if len(at):
+            got.append(float(np.average(np.minimum(picked["w"].to_numpy()[at], n[at]) / n[at], weights=each[at])))
+    return min(got, default=1.0)
 
 
 def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str | None = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -288,7 +303,7 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     always do. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. n_links counts rows. A component's id is its
     smallest key, kept marks the row whose key that is; of repeated keys, each such row. A null key counts as a row, and is its own component's id
     only if all its keys are null. Empty tables give no rows. Other columns of df are left aside. Without a label column, all rows meet.
-    The audited recall is in the attribute `recall` of the result.
+    The audited recall is in the attribute `recall` of the result; it is an error if it stays below RECALL.
     """
     kind = dtype_of(df, vector)
     cols = [F.col(key).cast("long").alias("id"), (F.xxhash64(F.col(label)) if label else F.lit(0).cast("long")).alias("lab"), (F.col(label).isNotNull() if label else F.lit(True)).alias("labelled")]
@@ -315,6 +330,8 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         log.info("round %d: recall %.4f", r + 1, recall)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of near duplicates is below {RECALL} after {ROUNDS} rounds")
     linked = components(found.where("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "cls")
     info = nodes.select("cls", "mult", "first").join(weight, "cls", "left").join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = info.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -251,6 +251,21 @@ def test_links_across_saturated_lists(spark, groups, size, far):
     assert {r.vec_id: (r.n_links, r.component_id) for r in neardup.link_vectors(vectors(spark, rows)).collect()} == want
 
 
+def test_audit_sees_missed_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    big = tight_groups(rng, 1, 60, dim=128)
+    pairs = [(c + rng.standard_normal(128) * 0.01).tolist() for c in rng.standard_normal((10, 128)) for _ in range(2)]
+    rows = [(i, 1, 7, bytearray(np.array(v, np.float32).tobytes())) for i, v in enumerate(big + pairs)]
+    nodes = spark.createDataFrame(rows, "cls long, mult long, grp long, vec binary")
+    for found, least, most in ((60, 0.0, 0.0), (80, 1.0, 1.0), (70, 0.4, 0.6)):  # without the links of the last 80 - found
+        weight = spark.createDataFrame([(i, 59 if i < 60 else 1) for i in range(found)], "cls long, w long")
+        assert least <= neardup._audit(nodes, weight, np.dtype(np.float32), 0.98) <= most
+    monkeypatch.setattr(neardup, "_audit", lambda *_: 0.98)
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        neardup.link_vectors(vectors(spark, [(0, [1.0, 0.0], 0, "q"), (1, [1.0, 0.1], 0, "q")]))
+
+
 def test_search_against_brute_force(spark):
     rows = [r for r in planted(2) if r[0] != 3 or r[2] != 0]
     got = mih.search(vectors(spark, rows), F.col("vec_id") % 5 == 0).collect()
