@@ -1,7 +1,7 @@
 """Secret scanning with a recursive decoding worklist.
 
 The base patterns run over the whole text. Then wrapped layers are taken off: percent escapes, Unicode and HTML
-escapes, base64, and gzip, zlib, bzip2, xz or zstd streams inside base64 or hex. Each layer is scanned again and its own
+escapes, base64, hex, and gzip, zlib, bzip2, xz or zstd streams inside base64 or hex, broken into lines or not. Each layer is scanned again and its own
 wrapped parts join the worklist, until none is left. A layer seen before in the same document isn't entered again,
 so that cycles end. Each layer knows for each of its characters the range of the document it came from; spans found in
 it are mapped back.
@@ -38,7 +38,10 @@ _TOKEN = re.compile(r"[^\s<>]+")
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|quot|apos|amp|equals|colon|lt|gt);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-_PRINTABLE = bytes(set(range(32, 127)) | {9, 10, 13})
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Every pattern and every wrapping needs as many neighbouring ASCII characters; bytes without them hold nothing.
+_ASCII = re.compile(r"[\t-\x7e]{6}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,42 +127,65 @@ def _unwrapped(layer: _Layer):
             if ("\\" in m.group() or "&" in m.group()) and _ESCAPE_ONE.search(m.group()):
                 yield "escape", _pieces(layer, *m.span(), _ESCAPE_ONE, _unescape)
     for m in _BASE64.finditer(t):
-        x = m.group()
-        body = x.rstrip("=")
-        whole = layer.at(*m.span())
-        if len(body) % 4 != 1 and not (body.isalpha() and (body.islower() or body[1:].islower()) and len(body) < 64):
-            try:
-                raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                raw = b""
-            if raw:
-                yield from _bytes_layer(raw, layer, m.start(), m.end(), whole, "base64")
-        if len(body) % 2 == 0 and len(body) >= 24 and re.fullmatch(r"[0-9a-fA-F]+", body):
-            raw = bytes.fromhex(body)
-            got = _unpack(raw)
-            if got is not None:
-                yield "hex+compressed", _Layer(got.decode("utf-8", "replace"), whole=whole)
-
-
-def _bytes_layer(raw: bytes, layer: _Layer, s: int, e: int, whole: tuple[int, int], name: str):
+        yield from _decoded(layer, m.group(), range(*m.span()))
+    if "\n" in t or "\r" in t:
+        for at in _wrapped(t):
+            yield from _decoded(layer, "".join([t[i] for i in at]), at)
+
+
+def _wrapped(t: str):
+    """Places of the characters of runs broken into lines: lines of one width, with and without the line before and the one after, and all that follow each other."""
+    for m in _LINES.finditer(t):
+        lines = [x.span() for x in _LINE.finditer(t, *m.span())]
+        width = [b - a for a, b in lines]
+        edges = [0, *[i for i in range(1, len(lines)) if width[i] != width[i - 1]], len(lines)]
+        parts = {(0, len(lines))}
+        for a, z in zip(edges[:-1], edges[1:]):
+            parts |= {(x, y) for x in (max(a - 1, 0), a) for y in (z, min(z + 1, len(lines))) if y - x > 1}
+        for a, z in sorted(parts):
+            if sum(width[a:z]) >= 12:
+                yield [i for x, y in lines[a:z] for i in range(x, y)]
+
+
+def _decoded(layer: _Layer, x: str, at):
+    """The layers in a run of base64 or hex, whose characters stand at these places of the layer."""
+    body = x.rstrip("=")
+    whole = layer.at(at[0], at[-1] + 1)
+    if len(body) % 4 != 1 and not (body.isalpha() and (body.islower() or body[1:].islower()) and len(body) < 64):
+        try:
+            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            raw = b""
+        if raw:
+            yield from _bytes_layer(raw, layer, at, whole, "base64")
+    if len(body) % 2 == 0 and len(body) >= 24 and re.fullmatch(r"[0-9a-fA-F]+", body):
+        yield from _bytes_layer(bytes.fromhex(body), layer, at, whole, "hex")
+
+
+def _texts(raw: bytes):
+    """What bytes may say: as UTF-8, and as UTF-16 of either order."""
+    for code in ("utf-8", "utf-16-le", "utf-16-be"):
+        text = raw.decode(code, "replace")
+        if _ASCII.search(text):
+            yield text
+
+
+def _bytes_layer(raw: bytes, layer: _Layer, at, whole: tuple[int, int], name: str):
     got = _unpack(raw)
     if got is not None:
-        yield name + "+compressed", _Layer(got.decode("utf-8", "replace"), whole=whole)
-        return
-    if len(raw.translate(None, _PRINTABLE)) * 10 > len(raw):
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return
-        if not text.isprintable():
-            return
-    text = raw.decode("utf-8", "replace")
-    if layer.whole or len(text) != len(raw):
-        yield name, _Layer(text, whole=whole)
+        for text in _texts(got):
+            yield name + "+compressed", _Layer(text, whole=whole)
         return
-    starts = [layer.at(k := s + i // 3 * 4 + i % 3, k + 1)[0] for i in range(len(raw))]
-    ends = [layer.at(k := min(e, s + i // 3 * 4 + i % 3 + 2) - 1, k + 1)[1] for i in range(len(raw))]
-    yield name, _Layer(text, starts, ends)
+    for text in _texts(raw):
+        if layer.whole or len(text) != len(raw):
+            yield name, _Layer(text, whole=whole)
+            continue
+        if name == "hex":
+            first, last = [2 * i for i in range(len(raw))], [2 * i + 1 for i in range(len(raw))]
+        else:
+            first = [i // 3 * 4 + i % 3 for i in range(len(raw))]
+            last = [min(len(at), k + 2) - 1 for k in first]
+        yield name, _Layer(text, [layer.at(at[k], at[k] + 1)[0] for k in first], [layer.at(at[k], at[k] + 1)[1] for k in last])
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:

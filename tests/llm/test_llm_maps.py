@@ -105,6 +105,42 @@ def test_spans_map_to_their_place():
     assert b"token=abcdef123" in base64.b64decode(w[(a - 3) // 4 * 4 : -(-(b - 3) // 4) * 4])
 
 
+def broken(s, width, end="\n"):
+    return end.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+def found_in(text, kind=0):
+    base, more = secrets_scan.scan(text)
+    return [(a, b) for k, a, b in [*base, *[x[:3] for x in more]] if k == kind]
+
+
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (20, "\n  ")])
+def test_wrapped_lines_are_joined(width, end):
+    rng = random.Random(5)
+    filler = " ".join(f"{rng.randrange(10**9)}" for _ in range(60)).encode()
+    for raw in (filler + b" token=abcdef123456 " + filler, gzip.compress(filler + b" token=abcdef123456"), filler[:40] + b" token=abcdef123456 x"):
+        code = base64.b64encode(raw).decode()
+        for before, after in (("see ", " there"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----\n"), ("key:\n", "\nHello world")):
+            text = before + broken(code, width, end) + after
+            assert any(len(before) <= a < b <= len(text) - len(after) for a, b in found_in(text)), (raw[:10], before)
+    assert found_in("see " + broken((filler + b" token=abcdef123456").hex(), 60) + " there")
+
+
+@pytest.mark.parametrize("code", ["utf-8", "utf-16", "utf-16-le", "utf-16-be"])
+def test_layers_in_other_scripts(code):
+    raw = "имя: сервер\n\tрежим: тест\npassword=abcdef123456\nконец: 漢字漢字漢字\n".encode(code)
+    for w in (base64.b64encode(raw).decode(), raw.hex(), base64.b64encode(zlib.compress(raw)).decode()):
+        assert found_in(f"see {w} there"), w
+
+
+def test_spans_of_hex_and_lines_map_to_their_place():
+    w = b"xxxxxx token=abcdef123 yyyyyy".hex()
+    assert bytes.fromhex(w[found_in("ab " + w)[0][0] - 3 : found_in("ab " + w)[0][1] - 3]) == b"token=abcdef123"
+    w = broken(base64.b64encode(b"x" * 30 + b" token=abcdef123 " + b"y" * 30).decode(), 52)
+    a, b = min(found_in("ab " + w), key=lambda x: x[1] - x[0])
+    assert b - a < 30 and "\n" in ("ab " + w)[a:b]
+
+
 def test_secret_edge_cases(spark):
     got = secrets_scan.find_secrets(odd(spark).drop("shard"), "text", redact=True).collect()
     assert len(got) == len(ODD) and sum(r.redacted is None for r in got) == 1
