@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from scholium.llm._tables import read
 
 KINDS = ("assign", "access", "hex")
-#: Bytes of one unpacked layer. Texts themselves are read whole, whatever their length.
-UNPACKED = 1 << 26
+#: Bytes of one piece of an unpacked layer, longer ones are several; of what is unpacked at once. Texts themselves are read whole, whatever their length.
+UNPACKED, PART = 1 << 26, 1 << 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of any length with the short ones dropped
@@ -97,22 +97,49 @@ def _unescape(x: str) -> str:
     return codecs.decode(x, "unicode_escape").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """raw decompressed, if it begins a known kind of stream that isn't damaged; of a stream longer than UNPACKED, which is a bomb, the first UNPACKED bytes."""
+def _members(raw: bytes):
+    """What the known kinds of streams at the beginning of raw unpack to, one after another, in parts of at most PART bytes."""
+    while raw:
+        if raw.startswith(b"\x1f\x8b") or raw[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda"):
+            d = zlib.decompressobj(31 if raw.startswith(b"\x1f\x8b") else 15)
+            while not d.eof:
+                got = d.decompress(raw, PART)
+                raw = d.unconsumed_tail
+                yield got
+                if not got and not raw:
+                    break
+        elif raw.startswith((b"BZh", b"\xfd7zXZ")):
+            d = bz2.BZ2Decompressor() if raw.startswith(b"BZh") else lzma.LZMADecompressor()
+            while not d.eof:
+                yield d.decompress(raw, PART)
+                raw = b""
+                if not d.eof and d.needs_input:
+                    break
+        elif raw.startswith(b"\x28\xb5\x2f\xfd"):
+            d = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+            while got := d.read(PART):
+                yield got
+            return
+        else:
+            return
+        raw = d.unused_data.lstrip(b"\0") if d.eof else b""
+
+
+def _unpack(raw: bytes):
+    """raw decompressed, if it begins a known kind of stream, as far as it isn't damaged, in pieces of UNPACKED bytes that overlap by half."""
+    held = bytearray()
+    more = False
     try:
-        if raw.startswith(b"\x1f\x8b"):
-            return zlib.decompressobj(31).decompress(raw, UNPACKED)
-        if raw[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda"):
-            return zlib.decompressobj().decompress(raw, UNPACKED)
-        if raw.startswith(b"BZh"):
-            return bz2.BZ2Decompressor().decompress(raw, UNPACKED)
-        if raw.startswith(b"\xfd7zXZ"):
-            return lzma.LZMADecompressor().decompress(raw, UNPACKED)
-        if raw.startswith(b"\x28\xb5\x2f\xfd"):
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(UNPACKED)
+        for got in _members(raw):
+            held += got
+            while len(held) >= UNPACKED:
+                yield bytes(held[:UNPACKED])
+                del held[: UNPACKED // 2]
+                more = True
     except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
-        return None
-    return None
+        pass
+    if len(held) > (UNPACKED // 2 if more else 0):
+        yield bytes(held)
 
 
 def _unwrapped(layer: _Layer):
@@ -171,10 +198,12 @@ def _texts(raw: bytes):
 
 
 def _bytes_layer(raw: bytes, layer: _Layer, at, whole: tuple[int, int], name: str):
-    got = _unpack(raw)
-    if got is not None:
+    packed = False
+    for got in _unpack(raw):
+        packed = True
         for text in _texts(got):
             yield name + "+compressed", _Layer(text, whole=whole)
+    if packed:
         return
     for text in _texts(raw):
         if layer.whole or len(text) != len(raw):
@@ -197,21 +226,25 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = base_spans(text)
     known, more = set(base), []
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [_Layer(text)]
-    while work:
-        layer = work.pop()
-        for how, inner in _unwrapped(layer):
-            key = hashlib.sha256(repr(inner.whole).encode() + inner.text.encode("utf-8", "surrogatepass")).digest()
-            if inner.text == layer.text or key in seen:
-                continue
-            seen.add(key)
-            inner.chain = f"{layer.chain}>{how}".lstrip(">")
-            for kind, s, e in base_spans(inner.text):
-                span = (kind, *inner.at(s, e))
-                if span not in known:
-                    known.add(span)
-                    more.append((*span, inner.chain))
-            work.append(inner)
+    layer = _Layer(text)
+    work = [(layer, _unwrapped(layer))]
+    while work:  # the innermost first, so that only one piece of a long layer is held
+        layer, inside = work[-1]
+        how, inner = next(inside, (None, None))
+        if inner is None:
+            work.pop()
+            continue
+        key = hashlib.sha256(repr(inner.whole).encode() + inner.text.encode("utf-8", "surrogatepass")).digest()
+        if inner.text == layer.text or key in seen:
+            continue
+        seen.add(key)
+        inner.chain = f"{layer.chain}>{how}".lstrip(">")
+        for kind, s, e in base_spans(inner.text):
+            span = (kind, *inner.at(s, e))
+            if span not in known:
+                known.add(span)
+                more.append((*span, inner.chain))
+        work.append((inner, _unwrapped(inner)))
     return base, more
 
 

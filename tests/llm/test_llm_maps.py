@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -11,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from scholium.llm import packing, quality, secrets_scan, sharding, toxicity
@@ -141,6 +143,21 @@ def test_spans_of_hex_and_lines_map_to_their_place():
     assert b - a < 30 and "\n" in ("ab " + w)[a:b]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_all_of_a_stream_is_scanned(pack, monkeypatch):
+    parts = pack(b"nothing here "), pack(b"token=abcdef123456")
+    for raw in (b"".join(parts), pack(b"\0" * 3000 + b"token=abcdef123456"), pack(b"\0" * 6000 + b"token=abcdef123456" + b"\0" * 6000)):
+        with monkeypatch.context() as m:
+            m.setattr(secrets_scan, "UNPACKED", 1024)
+            assert found_in(f"see {base64.b64encode(raw).decode()} there")
+    for n in (0, 1, 1023, 1024, 1025, 1536, 5000):
+        data = bytes(random.Random(n).randbytes(n))
+        with monkeypatch.context() as m:
+            m.setattr(secrets_scan, "UNPACKED", 1024), m.setattr(secrets_scan, "PART", 100)
+            got = list(secrets_scan._unpack(pack(data)))
+        assert b"".join(x if not i else x[512:] for i, x in enumerate(got)) == data
+
+
 def test_secret_edge_cases(spark):
     got = secrets_scan.find_secrets(odd(spark).drop("shard"), "text", redact=True).collect()
     assert len(got) == len(ODD) and sum(r.redacted is None for r in got) == 1
