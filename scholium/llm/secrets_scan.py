@@ -2,14 +2,13 @@
 
 The base patterns run over the whole text. Then wrapped layers are taken off: percent escapes, Unicode and HTML
 escapes, base64, hex, and gzip, zlib, bzip2, xz or zstd streams inside base64 or hex, broken into lines or not. Each layer is scanned again and its own
-wrapped parts join the worklist, until none is left. A layer seen before in the same document isn't entered again,
-so that cycles end. Each layer knows for each of its characters the range of the document it came from; spans found in
+wrapped parts join the worklist, until none is left. A layer with a text that came from the same place before isn't entered again,
+so that cycles end, and a text that is wrapped twice is found at both places. Each layer knows for each of its characters the range of the document it came from; spans found in
 it are mapped back.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import codecs
@@ -18,6 +17,7 @@ import html
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm._tables import read
+from scholium.runtime import ship
 
 KINDS = ("assign", "access", "hex")
 #: Bytes of one piece of an unpacked layer, longer ones are several; of what is unpacked at once. Texts themselves are read whole, whatever their length.
@@ -32,13 +33,17 @@ UNPACKED, PART = 1 << 26, 1 << 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of any length with the short ones dropped
-_WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 
-_TOKEN = re.compile(r"[^\s<>]+")
+_TOKEN = re.compile(r"\S+")
+#: Tokens on either side of an escape that are decoded with it, where only spaces part them: no pattern spans more than three.
+REACH = 2
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|quot|apos|amp|equals|colon|lt|gt);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: How the known kinds of streams begin in base64.
+_STREAM = re.compile("H4sI|Qlpo|/Td6|KLUv|eAE|eF[4-7]|eJ[w-z]|eN[o-r]")
+_HEX_RUN = re.compile(r"[0-9a-fA-F]+")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Every pattern and every wrapping needs as many neighbouring ASCII characters; bytes without them hold nothing.
 _ASCII = re.compile(r"[\t-\x7e]{6}")
@@ -69,6 +74,30 @@ class _Layer:
         return (s, e) if self.starts is None else (self.starts[s], max(self.ends[s:e]))
 
 
+def _around(t: str, one: re.Pattern):
+    """Stretches (start, end) of tokens with escapes and their neighbours in a line, apart from each other."""
+    tokens = [m.span() for m in _TOKEN.finditer(t)]
+    first = [a for a, _ in tokens]
+    last, lo, hi = -1, 0, -1
+    for m in one.finditer(t):
+        i = bisect_right(first, m.start()) - 1
+        if i == last:
+            continue
+        last, a, z = i, i, i
+        while a > max(0, i - REACH) and not t[tokens[a - 1][1] : tokens[a][0]].strip(" "):
+            a -= 1
+        while z < min(len(tokens) - 1, i + REACH) and not t[tokens[z][1] : tokens[z + 1][0]].strip(" "):
+            z += 1
+        if a <= hi:
+            hi = max(hi, z)
+            continue
+        if hi >= 0:
+            yield tokens[lo][0], tokens[hi][1]
+        lo, hi = a, z
+    if hi >= 0:
+        yield tokens[lo][0], tokens[hi][1]
+
+
 def _pieces(layer: _Layer, s: int, e: int, one: re.Pattern, decode) -> _Layer:
     text, starts, ends, at = [], [], [], s
     for m in one.finditer(layer.text, s, e):
@@ -145,14 +174,12 @@ def _unpack(raw: bytes):
 def _unwrapped(layer: _Layer):
     """The layers directly inside this one."""
     t = layer.text
-    if _PERCENT_ONE.search(t):
-        for m in _TOKEN.finditer(t):
-            if "%" in m.group() and _PERCENT_ONE.search(m.group()):
-                yield "url", _pieces(layer, *m.span(), _PERCENT_ONE, _unpercent)
-    if ("\\" in t or "&" in t) and _ESCAPE_ONE.search(t):
-        for m in _TOKEN.finditer(t):
-            if ("\\" in m.group() or "&" in m.group()) and _ESCAPE_ONE.search(m.group()):
-                yield "escape", _pieces(layer, *m.span(), _ESCAPE_ONE, _unescape)
+    if "%" in t:
+        for s, e in _around(t, _PERCENT_ONE):
+            yield "url", _pieces(layer, s, e, _PERCENT_ONE, _unpercent)
+    if "\\" in t or "&" in t:
+        for s, e in _around(t, _ESCAPE_ONE):
+            yield "escape", _pieces(layer, s, e, _ESCAPE_ONE, _unescape)
     for m in _BASE64.finditer(t):
         yield from _decoded(layer, m.group(), range(*m.span()))
     if "\n" in t or "\r" in t:
@@ -175,18 +202,26 @@ def _wrapped(t: str):
 
 
 def _decoded(layer: _Layer, x: str, at):
-    """The layers in a run of base64 or hex, whose characters stand at these places of the layer."""
+    """The layers in a run of base64 or hex, whose characters stand at these places of the layer. Letters that happen to stand before it shift it, so every shift is tried."""
     body = x.rstrip("=")
-    whole = layer.at(at[0], at[-1] + 1)
-    if len(body) % 4 != 1 and not (body.isalpha() and (body.islower() or body[1:].islower()) and len(body) < 64):
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            raw = b""
-        if raw:
-            yield from _bytes_layer(raw, layer, at, whole, "base64")
-    if len(body) % 2 == 0 and len(body) >= 24 and re.fullmatch(r"[0-9a-fA-F]+", body):
-        yield from _bytes_layer(bytes.fromhex(body), layer, at, whole, "hex")
+    if not (body.isalpha() and (body.islower() or body[1:].islower()) and len(body) < 64):
+        code = body.replace("-", "+").replace("_", "/")
+        for k in range(4):
+            some = code[k : len(code) - ((len(code) - k) % 4 == 1)]
+            if len(some) < 11:
+                break
+            raw = binascii.a2b_base64(some + "=" * (-len(some) % 4))
+            yield from _bytes_layer(raw, layer, at[k:], layer.at(at[k], at[-1] + 1), "base64")
+        for m in _STREAM.finditer(code, 1):
+            k = m.start()
+            head = code[k : min(len(code), k + 4096)]
+            if next(_unpack(binascii.a2b_base64(head[: len(head) // 4 * 4])), None):
+                some = code[k : len(code) - ((len(code) - k) % 4 == 1)]
+                yield from _bytes_layer(binascii.a2b_base64(some + "=" * (-len(some) % 4)), layer, at[k:], layer.at(at[k], at[-1] + 1), "base64")
+    if len(body) >= 24 and _HEX_RUN.fullmatch(body):
+        for k in range(2):
+            some = body[k : len(body) - (len(body) - k) % 2]
+            yield from _bytes_layer(bytes.fromhex(some), layer, at[k:], layer.at(at[k], at[-1] + 1), "hex")
 
 
 def _texts(raw: bytes):
@@ -217,6 +252,10 @@ def _bytes_layer(raw: bytes, layer: _Layer, at, whole: tuple[int, int], name: st
         yield name, _Layer(text, [layer.at(at[k], at[k] + 1)[0] for k in first], [layer.at(at[k], at[k] + 1)[1] for k in last])
 
 
+def _identity(text: str, place: tuple[int, int]) -> bytes:
+    return hashlib.sha256(repr(place).encode() + text.encode("utf-8", "surrogatepass")).digest()
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:
     """Base spans of a text, and the further ones found in its layers as (kind number, start, end, layers).
 
@@ -225,7 +264,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     text = text or ""
     base = base_spans(text)
     known, more = set(base), []
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    seen = {_identity(text, (0, len(text)))}
     layer = _Layer(text)
     work = [(layer, _unwrapped(layer))]
     while work:  # the innermost first, so that only one piece of a long layer is held
@@ -234,8 +273,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         if inner is None:
             work.pop()
             continue
-        key = hashlib.sha256(repr(inner.whole).encode() + inner.text.encode("utf-8", "surrogatepass")).digest()
-        if inner.text == layer.text or key in seen:
+        if not inner.text or inner.text == layer.text:
+            continue
+        key = _identity(inner.text, inner.whole or (inner.starts[0], inner.ends[-1]))
+        if key in seen:
             continue
         seen.add(key)
         inner.chain = f"{layer.chain}>{how}".lstrip(">")
@@ -295,6 +336,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     A null text counts as empty, and stays null when redacted. Empty tables give no rows. Repeated rows are scanned each on its own. A kept column
     whose name clashes with one of these, in any case of letters, comes out with _in after it.
     """
+    ship(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     out_name = {c: c + "_in" if c.lower() in names else c for c in keep}

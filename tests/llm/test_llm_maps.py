@@ -135,6 +135,37 @@ def test_layers_in_other_scripts(code):
         assert found_in(f"see {w} there"), w
 
 
+def test_repeated_wrapped_secrets_are_all_found():
+    b64, hexed = base64.b64encode(b"token=abcdef123456").decode(), b"token=abcdef123456".hex()
+    packed = base64.b64encode(gzip.compress(b"token=abcdef123456")).decode()
+    for w in ("password%3Dhunter2222", "password\\u003dhunter2222", "password&#61;hunter2222", b64, hexed, packed):
+        text = f"a {w} b {w} c\n{w}"
+        base, more = secrets_scan.scan(text)
+        assert len({x[:3] for x in more if x[0] == 0}) >= 3, w
+        masked = secrets_scan.mask(text, base + [x[:3] for x in more])
+        assert not [x for x in found_in(masked)] and not [x for x in found_in(masked, 2)], masked
+    inner = base64.b64encode(f"{b64} and {b64}".encode()).decode()
+    assert len(found_in(f"x {inner} y {inner}")) >= 4
+
+
+@pytest.mark.parametrize("text", ["password%3A hunter2222", "password: hun%74er2222", "password %3D hunter2222", "pass%77ord : hunter2222 x", "token\\u003a 'abcdef\\u0031'", "x <a href='?password%3Dhunter2222'>"])
+def test_escapes_are_read_with_their_neighbours(text):
+    base, more = secrets_scan.scan("see " + text + " there")
+    (a, b), = {(x[1], x[2]) for x in more if x[0] == 0} or {x[1:] for x in base if x[0] == 0}
+    assert 4 <= a < b <= 4 + len(text) and not found_in(secrets_scan.mask("see " + text + " there", base + [x[:3] for x in more]))
+
+
+@pytest.mark.parametrize("before", ["", "a", "ab/", "path/", "id-7_", "data/x/yz/"])
+def test_letters_before_a_run_do_not_hide_it(before):
+    for raw in (b"xx token=abcdef123456 yy", zlib.compress(b"token=abcdef123456")):
+        assert found_in(before + base64.b64encode(raw).decode()), raw
+    assert found_in("f" * (len(before) % 2) + b"token=abcdef123456".hex())
+
+
+def test_many_escapes_take_linear_time():
+    assert len(found_in("%41x" * 30000 + " " + "password%3Dhunter2222 " * 3000)) >= 1
+
+
 def test_spans_of_hex_and_lines_map_to_their_place():
     w = b"xxxxxx token=abcdef123 yyyyyy".hex()
     assert bytes.fromhex(w[found_in("ab " + w)[0][0] - 3 : found_in("ab " + w)[0][1] - 3]) == b"token=abcdef123"
