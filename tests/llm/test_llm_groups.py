@@ -388,10 +388,36 @@ def test_audit_locates_damage(spark):
     got = {(r.key, r.status) for r in fixity.damage(a, fixity.Tree(bad, "k", rec, F.col("file"), fanout=4)).collect()}
     lost = {(r[0], "missing") for r in rows if r[0] is not None and r[0] >= 690 and r[0] % 2}
     assert got == {(3, "damaged"), (333, "damaged"), (334, "damaged")} | lost
+    assert {(r.key, r.status) for r in fixity.damage(fixity.Tree(bad, "k", rec, F.col("file"), fanout=4), a).collect()} == {(3, "damaged"), (333, "damaged"), (334, "damaged")} | {(k, "extra") for k, _ in lost}
     none = fixity.Tree(df.where("k < 0"), "k", rec, F.col("file"), fanout=4)
     assert fixity.damage(none, none).count() == 0
 
 
+def replica_damage(a, b):
+    """Of lists of (file, key, body): by file and key, records of the two that don't match."""
+    out = []
+    for g in {x[:2] for x in a} | {x[:2] for x in b}:
+        x, y = (Counter(r[2] or "" for r in rows if r[:2] == g) for rows in (a, b))
+        left, right = sum((x - y).values()), sum((y - x).values())
+        out += [(*g, "damaged")] * min(left, right) + [(*g, "missing" if left > right else "extra")] * abs(left - right)
+    return Counter(out)
+
+
+def test_audit_against_brute_force(spark):
+    """Records lost, added and changed anywhere, repeated and null keys, empty, null and long bodies, and columns named like the tree's own."""
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        a = [(i % 2, rng.choice([None, i, i // 3, 5]), rng.choice(["x", "", None, f"body {i}", "long " * 20000])) for i in range(260)]
+        b = [(f, k, rng.choice(["changed", t])) if rng.random() < 0.03 else (f, k, t) for f, k, t in a if rng.random() > 0.05]
+        b += [(rng.randrange(2), rng.choice([None, 7, 1000 + i]), "new") for i in range(9)]
+        trees = []
+        for rows in (a, b):
+            df = spark.createDataFrame([(*r, "n", "d") for r in rows], "file int, key long, body string, node string, digest string")
+            trees.append(fixity.Tree(df, "key", F.coalesce("body", F.lit("")), F.col("file"), fanout=4))
+        got = Counter((r.file, r.key, r.status) for r in fixity.damage(*trees).collect())
+        assert got == replica_damage(a, b)
+
+
 # --- pipeline
 
 
