@@ -6,7 +6,7 @@ tokens. With f(j) the least cost of everything before boundary j,
     f(j) = penalty(j) + min over i with pos(j) - pos(i) <= capacity of f(i) + capacity - (pos(j) - pos(i)),
 
 so f(i) + pos(i) is all that matters of i, and its sliding-window minimum is kept by a monotone queue: each boundary enters and leaves
-once. Boundaries are sentence and document ends, and every `capacity` - 1 tokens at most one that is neither, where a sentence is longer.
+once. Boundaries are all sentence and document ends, and between them clause ends and, in longer stretches, places in mid-sentence, thinned out to one in GRID tokens.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from scholium.llm._shingles import SEGMENT, words
 from scholium.llm._tables import read
+from scholium.runtime import ship
 
 CAPACITY, END_ID = 4096, 2
 #: What a cut costs, in tokens of padding.
 SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2, 6, 16
 #: A hard boundary is offered every so many tokens inside a longer sentence or clause.
 HARD_EVERY = 32
-#: Of the boundaries in a stretch of so many tokens, only the cheapest is offered.
+#: Of the boundaries in a stretch of so many tokens that end neither a sentence nor a document, only the cheapest is offered, and none beside a sentence's end.
 GRID = 16
 #: Tokens gathered before cuts are chosen; the last sequences' worth is chosen again with what follows.
 GATHER, REDO = 1 << 19, 8
@@ -247,18 +248,19 @@ def _boundaries(length: int, price: np.ndarray, cap: int) -> tuple[np.ndarray, n
         marks, costs = np.append(marks, length), np.append(costs, 0)
     costs[-1] = 0
     gaps = np.diff(marks, prepend=0)
-    step = min(HARD_EVERY, cap)
+    step, grid = min(HARD_EVERY, max(1, cap // 4)), min(GRID, max(1, cap // 4))  # so that no gap is longer than a sequence
     long = np.flatnonzero(gaps > step)
     if len(long):
         hard = np.concatenate([np.arange(marks[k] - gaps[k] + step, marks[k], step) for k in long])
         marks, costs = np.concatenate([marks, hard]), np.concatenate([costs, np.full(len(hard), HARD_CUT)])
         order = np.argsort(marks, kind="stable")
         marks, costs = marks[order], costs[order]
-    # of the boundaries within a short stretch, the cheapest, and of those the last
-    stretch = marks // GRID
+    # every sentence's and the document's end; of a short stretch without any, the cheapest, and of those the last
+    stretch = marks // grid
     order = np.lexsort((-marks, costs, stretch))
     first = np.concatenate([[True], stretch[1:] != stretch[:-1]])
-    keep = np.sort(order[first])
+    keep = costs <= SENTENCE_CUT
+    keep[order[first]] = True
     return marks[keep], costs[keep]
 
 
@@ -322,13 +324,16 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
 
     A document is its text's ids and then END_ID; a null or empty text is END_ID alone, a document each. Each partition packs its own rows
     in their order: no row moves. Sequence ids are the partition's number times 2**33 plus the sequence's there. Null and
-    repeated keys stay as they are; each row is packed. Empty tables give no rows. Other columns of df are left aside.
+    repeated keys stay as they are; each row is packed. Empty tables give no rows. Other columns of df are left aside. A key named like a result, in any case of letters, comes out with _in after it.
     """
+    ship(df.sparkSession)
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     kind, name = df.schema[key].dataType.simpleString(), "ids_crc32" if digest else "ids"
+    rest = ("start", "length", name, "doc_tokens", "sequence_id", "offset")
+    key_as = key + "_in" if key.lower() in rest else key
 
     def run(batches):
         from pyspark import TaskContext
@@ -354,9 +359,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
                 else:
                     offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p[2] for p in some]).astype(np.int32)))
-                rest = [pa.array([p[k] for p in some], pa.int64()) for k in (3, 5)]
+                sizes = [pa.array([p[k] for p in some], pa.int64()) for k in (3, 5)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in some], keys), pa.array([p[1] for p in some], pa.int64()), pa.array(lengths), ids, rest[0], pa.array([first + p[4] for p in some], pa.int64()), rest[1]],
+                    [pa.array([p[0] for p in some], keys), pa.array([p[1] for p in some], pa.int64()), pa.array(lengths), ids, sizes[0], pa.array([first + p[4] for p in some], pa.int64()), sizes[1]],
                     ["key", "start", "length", name, "doc_tokens", "sequence_id", "offset"],
                 )
 
@@ -364,7 +369,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
 
     keys = to_arrow_type(df.schema[key].dataType)
     out = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, start long, length long, {name} {'long' if digest else 'array<int>'}, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("key", key)
+    return out.select(F.col("key").alias(key_as), *rest)
 
 
 def op6_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
