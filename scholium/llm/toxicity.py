@@ -9,7 +9,6 @@ shorter than an n-gram are not taken.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +19,16 @@ from pyspark.sql import functions as F
 from scholium.llm import _learning as L
 from scholium.llm import _zdict as Z
 from scholium.llm._tables import read
+from scholium.runtime import cut, drop
 
 WINDOW, GRAM, DICTIONARY = 192, 6, 32768
 #: Bound of the labelled rows learned from: ordinary, toxic.
 SAMPLE = (6000, 3000)
-TRAIN_WINDOWS, TRAIN_WINDOW = 8, 1024
-#: A distinguishing n-gram occurs in this many sampled texts at least, and in a share of them this many times the other class's.
-#: Ordinary text has little that toxic text hasn't: its dictionary stays small, and at a lower ratio fills with chance (measured: recall 0.87 at 10, 0.98 at 40).
-RECUR, RATIO = 3, 40
-#: n-grams kept for a dictionary of bounded size, most frequent first.
-GRAMS = 20_000
+#: A distinguishing n-gram occurs in this many sampled texts at least, and in a share of them this many times the other class's. Ordinary text has little that
+#: toxic text hasn't: its dictionary stays small, and at a low ratio fills with chance. The ratio is chosen on the learning rows that calibrate.
+RECUR, RATIOS = 3, (5, 10, 20, 40)
+#: Codes of n-grams counted in one go.
+FLUSH = 1 << 22
 THRESHOLD = 0.5
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
@@ -44,10 +43,14 @@ def _codes(raw: bytes) -> np.ndarray:
     n = len(a) - GRAM + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    out = np.zeros(n, np.int64)
-    for i in range(GRAM):
-        out = (out << 8) | a[i : i + n]
-    return np.unique(out)
+    found = []
+    for at in range(0, n, FLUSH):
+        m = min(FLUSH, n - at)
+        out = np.zeros(m, np.int64)
+        for i in range(GRAM):
+            out = (out << 8) | a[at + i : at + i + m]
+        found.append(np.unique(out))
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
 def segments(counts: dict[bytes, int], size: int) -> list[bytes]:
@@ -116,38 +119,79 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows a class outside the held-out fold. Scores follow the classes' shares; without labels, all are 0.5."""
+    """A model from at most `sample` labelled rows a class outside the held-out fold. Scores follow the classes' shares; without labels of both, all are 0.5."""
     rows, share = L.labelled_sample(docs, labels, key, text, label, sample)
 
     def count(batches):
         got: tuple[list, list] = ([], [])
-        n = [0, 0]
+        n, size = [0, 0], 0
+
+        def flush():
+            for y in (0, 1):
+                codes, c = np.unique(np.concatenate(got[y]), return_counts=True) if got[y] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                codes, c = np.append(codes, -1), np.append(c, n[y])  # -1 carries the number of texts
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), y), pa.int32()), pa.array(codes, pa.int64()), pa.array(c, pa.int64())], ["y", "code", "n"])
+
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = sorted(Z.windows(normal(t).decode("utf-8", "replace"), TRAIN_WINDOW), key=zlib.crc32)[:TRAIN_WINDOWS]
+                codes = _codes(normal(t))
                 n[y] += 1
-                if parts:
-                    got[y].append(np.unique(np.concatenate([_codes(p) for p in parts])))
-        for y in (0, 1):
-            codes, c = np.unique(np.concatenate(got[y]), return_counts=True) if got[y] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            codes, c = np.append(codes, -1), np.append(c, n[y])  # -1 carries the number of texts
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), y), pa.int32()), pa.array(codes, pa.int64()), pa.array(c, pa.int64())], ["y", "code", "n"])
+                got[y].append(codes)
+                size += len(codes)
+                if size > FLUSH:
+                    yield from flush()
+                    got, n, size = ([], []), [0, 0], 0
+        yield from flush()
 
     n = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
     grams = rows.where("NOT calibrates").select("y", "text").repartition(12).mapInArrow(count, "y int, code long, n long").groupBy("code").agg(*n).where("n0 >= {0} OR n1 >= {0} OR code = -1".format(RECUR))
-    grams = grams.persist()
+    grams = cut(grams, "grams")
     total = grams.where("code = -1").first()
     n0, n1 = (max(1, total["n0"]), max(1, total["n1"])) if total else (1, 1)
-    picked = []
-    for a, b, na, nb in (("n1", "n0", n1, n0), ("n0", "n1", n0, n1)):
-        own = grams.where((F.col("code") >= 0) & (F.col(a) >= RECUR) & (F.col(a) / na > RATIO * (F.col(b) + 0.5) / nb)).orderBy(F.desc(a), "code").limit(GRAMS).collect()
-        picked.append(segments({int(r["code"]).to_bytes(8, "big")[8 - GRAM :]: r[a] for r in own}, DICTIONARY))
-    grams.unpersist()
-    model = Model(*picked)
-    model.calibrated = Z.Calibrated(*L.features_of(rows, model), share=min(0.95, max(0.05, share)))
+    models = []
+    for ratio in RATIOS:
+        picked = []
+        for a, b, na, nb in (("n1", "n0", n1, n0), ("n0", "n1", n0, n1)):
+            # each n-gram takes a byte of the dictionary at least, so no more of them can be used
+            own = grams.where((F.col("code") >= 0) & (F.col(a) >= RECUR) & (F.col(a) / na > ratio * (F.col(b) + 0.5) / nb)).orderBy(F.desc(a), "code").limit(DICTIONARY).collect()
+            picked.append(segments({int(r["code"]).to_bytes(8, "big")[8 - GRAM :]: r[a] for r in own}, DICTIONARY))
+        models.append(Model(*picked))
+    drop(grams)
+    share = min(0.95, max(0.05, share))
+    x, y = L.features_of(rows, Several(models))
+    x = x.reshape(len(x), len(models), Model.WIDTH)
+    best = min(range(len(models)), key=lambda i: (loss(x[:, i], y, share), -i))
+    model = models[best]
+    model.calibrated = Z.Calibrated(x[:, best], y, share=share)
+    model.ratio = RATIOS[best]
     return model
 
 
+class Several:
+    """The features of several models side by side."""
+
+    def __init__(self, models: list[Model]):
+        self.models, self.WIDTH = models, Model.WIDTH * len(models)
+
+    def features(self, text: str | None) -> list[float]:
+        return [v for m in self.models for v in m.features(text)]
+
+
+def loss(x: np.ndarray, y: np.ndarray, share: float, folds: int = 4) -> float:
+    """Mean log loss of classes weighted by their shares, over folds of the rows whose calibration hasn't seen them; 0 if a class is lacking."""
+    if not len(y) or y.sum() < folds or len(y) - y.sum() < folds:
+        return 0.0
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+    total = 0.0
+    for k in range(folds):
+        out = np.zeros(len(y), bool)
+        for c in (0, 1):  # each class is dealt out in turn
+            out[np.flatnonzero(y == c)[k::folds]] = True
+        p = np.clip(Z.Calibrated(x[~out], y[~out], share)(x[out]), 1e-6, 1 - 1e-6)
+        total -= float((weight[out] * np.where(y[out] == 1, np.log(p), np.log(1 - p))).sum())
+    return total
+
+
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, held_out, score, predicted) for each row of df.
 
