@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.runtime import cut
+from scholium.runtime import cut, ship
 
 #: Rows whose id's checksum leaves this remainder are held out of all learning.
 FOLDS, HELD_OUT = 5, 0
@@ -25,9 +25,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     and the share of class 1 among all labelled documents outside the held-out fold.
 
     calibrates marks a third of the texts, by hash: dictionaries are built from the others, else the calibration would
-    see texts that the dictionaries hold. Labels other than 0 and 1 and null keys are left out; a key with several labels takes their rounded mean. The bound
-    is on learning only: scoring covers every row.
+    see texts that the dictionaries hold. Labels other than 0 and 1 and null keys are left out; a key with several labels takes their rounded mean, and of a key
+    with several texts the least one is learned from. The bound is on learning only: scoring covers every row.
     """
+    ship(docs.sparkSession)
     lab = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     lab = lab.where(~held_out(F.col("__k")))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -37,7 +38,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
         part = lab.where(F.col("y") == y).orderBy(F.xxhash64(F.col("__k").cast("string")), "__k").limit(per_class[y])
         ids = part if ids is None else ids.unionByName(part)
     # at most the two bounds of rows, so it may be broadcast
-    got = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(ids), "__k").select("y", "text", (F.pmod(F.xxhash64(F.col("text")), F.lit(3)) == 0).alias("calibrates")).limit(2 * sum(per_class))
+    got = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(ids), "__k").groupBy("__k", "y").agg(F.min("text").alias("text"))
+    got = got.select("y", "text", (F.pmod(F.xxhash64(F.col("text")), F.lit(3)) == 0).alias("calibrates"))
     return cut(got, "sample"), (n1 / (n0 + n1) if n0 + n1 else 0.5)
 
 
@@ -60,6 +62,7 @@ def features_of(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
 
 def score_with(df: DataFrame, text: str, model, keep: list[Column], name: str = "score") -> DataFrame:
     """The kept columns and a score from 0 to 1 of each whole text; null counts as empty."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

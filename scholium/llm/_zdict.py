@@ -85,16 +85,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Calibrated:
-    """A logistic function of standardised features; with only one class seen, that class's share."""
+    """A logistic function of standardised features; with only one class seen, 0.5, as nothing tells texts apart."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, share: float = 0.5):
-        self.prior = float(share)
+        self.prior = 0.5
         self.w = None
         if len(y) and 0 < y.sum() < len(y):
             self.mean, self.std = x.mean(0), x.std(0) + 1e-9
             self.w = logistic((x - self.mean) / self.std, y, share)
-        elif len(y):
-            self.prior = float(y[0])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.w is None or not len(x):

@@ -6,8 +6,6 @@ Junk that repeats itself is short under either dictionary, so the calibration al
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +18,8 @@ from scholium.llm._tables import read
 WINDOW, DICTIONARY = 1024, 65536
 #: Bound of the labelled rows learned from: bad, good.
 SAMPLE = (3000, 3000)
-#: Windows of a sampled text that the dictionaries are trained on, chosen by hash over the whole text.
-TRAIN_WINDOWS = 4
+#: Windows of all sampled texts of a class together that its dictionary is trained on: every one, or in larger samples those of least hash.
+TRAIN_WINDOWS = 16_384
 THRESHOLD = 0.3
 
 
@@ -43,20 +41,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows a class outside the held-out fold. Without labels, all scores are 0.5."""
+    """A model from at most `sample` labelled rows a class outside the held-out fold. Without labels of both classes, all scores are 0.5."""
     rows, _ = L.labelled_sample(docs, labels, key, text, label, sample)
 
     def pick(batches):
         for b in batches:
-            ys, out = [], []
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = sorted(Z.windows(t or "", WINDOW), key=zlib.crc32)[:TRAIN_WINDOWS]
-                ys += [y] * len(parts)
-                out += parts
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(out, pa.binary())], ["y", "w"])
+                if parts := Z.windows(t or "", WINDOW):
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["y", "w"])
 
-    got = rows.where("NOT calibrates").select("y", "text").mapInArrow(pick, "y int, w binary").toPandas()  # bounded: rows of the sample, times windows
-    parts = [sorted(bytes(w) for w in got["w"][got["y"] == y]) for y in (0, 1)]
+    got = rows.where("NOT calibrates").select("y", "text").mapInArrow(pick, "y int, w binary")
+    parts = [[bytes(r["w"]) for r in got.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(TRAIN_WINDOWS).select("w").toLocalIterator()] for y in (0, 1)]
     model = Model(Z.dictionary(parts[1], DICTIONARY), Z.dictionary(parts[0], DICTIONARY))
     model.calibrated = Z.Calibrated(*L.features_of(rows, model))
     return model
