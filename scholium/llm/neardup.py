@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scholium.llm._runs import by_group
 from scholium.llm._tables import read
 from scholium.llm._vectors import dtype_of, matrix, pack_vectors, unit
-from scholium.runtime import components, cut, drop, small_join
+from scholium.runtime import components, cut, drop, ship, small_join
 
 log = logging.getLogger(__name__)
 
@@ -305,6 +305,7 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     only if all its keys are null. Empty tables give no rows. Other columns of df are left aside. Without a label column, all rows meet.
     The audited recall is in the attribute `recall` of the result; it is an error if it stays below RECALL.
     """
+    ship(df.sparkSession)
     kind = dtype_of(df, vector)
     cols = [F.col(key).cast("long").alias("id"), (F.xxhash64(F.col(label)) if label else F.lit(0).cast("long")).alias("lab"), (F.col(label).isNotNull() if label else F.lit(True)).alias("labelled")]
     rows = pack_vectors(df, vector, cols)

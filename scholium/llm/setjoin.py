@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scholium.llm._runs import by_group
 from scholium.llm._shingles import mix, shingle_sets
 from scholium.llm._tables import read
-from scholium.runtime import BROADCAST_ROWS, components, cut, drop, small_join
+from scholium.runtime import BROADCAST_ROWS, components, cut, drop, ship, small_join
 
 WIDTH, PERCENT = 5, 80
 #: Members of a group that one task compares among themselves, or against as many others.
@@ -423,6 +423,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """
     if not 50 <= percent <= 100:
         raise ValueError("the threshold lies from 50 to 100 percent")
+    ship(df.sparkSession)
     spark = df.sparkSession
     t = percent
     docs = _text(df, key, text)

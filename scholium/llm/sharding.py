@@ -16,6 +16,8 @@ from scholium.operators.numbering import number_rows
 MULTIPLIER = 2862933555777941757
 _M = [MULTIPLIER & 0x3FFFFF, (MULTIPLIER >> 22) & 0x3FFFFF, MULTIPLIER >> 44]
 SHARDS = 16
+#: Steps of a chain; more are an error. The expected number is the logarithm of the shard count, 22 at most, and the odds of needing 128 are under 1e-40.
+STEPS = 128
 
 
 def _key(df: DataFrame, key: str) -> Column:
@@ -48,10 +50,13 @@ def jump_hash(key: Column, shards: list[int]) -> Column:
     start = [key.bitwiseAND(0x3FFFFF).alias("k0"), F.shiftrightunsigned(key, 22).bitwiseAND(0x3FFFFF).alias("k1"), F.shiftrightunsigned(key, 44).alias("k2")]
     for i in range(len(shards)):
         start += [zero.alias(f"b{i}"), F.lit(False).alias(f"d{i}")]
-    # each step moves every unfinished bucket up by one at least, so max(shards) steps always suffice; the expected
-    # number is the logarithm, and a finished chain only passes through
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(max(shards))), F.struct(*start), step)
-    return F.transform(F.array(chain), lambda s: F.struct(*[s[f"b{i}"].cast("int").alias(f"s{n}") for i, n in enumerate(shards)]))[0]
+    # each step moves every unfinished bucket up by one at least, so max(shards) steps always suffice; a finished chain only passes through
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(min(max(shards), STEPS))), F.struct(*start), step)
+
+    def ended(s: Column, i: int) -> Column:
+        return s[f"b{i}"].cast("int") if max(shards) <= STEPS else F.when(s[f"d{i}"], s[f"b{i}"].cast("int")).otherwise(F.raise_error(F.lit("a chain of more steps than STEPS")).cast("int"))
+
+    return F.transform(F.array(chain), lambda s: F.struct(*[ended(s, i).alias(f"s{n}") for i, n in enumerate(shards)]))[0]
 
 
 def shard(df: DataFrame, key: str, shards: int, text: str, grown: bool = True) -> DataFrame:

@@ -41,6 +41,8 @@ def jump(key: int, n: int) -> int:
 
 
 def test_jump_hash_is_the_published_one(spark):
+    many = spark.range(200).select("id", sharding.jump_hash(F.col("id"), [2**31 - 1]).alias("h")).collect()
+    assert all(r.h[0] == jump(r.id, 2**31 - 1) for r in many)
     rng = random.Random(1)
     keys = [0, 1, -1, 2**63 - 1, -(2**63)] + [rng.randrange(-(2**63), 2**63) for _ in range(300)]
     d = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump_hash(F.col("k"), [1, 16, 17, 100]).alias("h"))
@@ -239,7 +241,11 @@ def test_classifier_edge_cases(spark, module):
     none = module.fit(empty(spark), spark.createDataFrame([], f"doc_id long, {label} int"))
     assert {r["score"] for r in module.score(d, none).collect()} == {0.5}
     single = module.fit(d, lab.where(f"{label} = 1"))
-    assert len({r["score"] for r in module.score(d, single).collect()}) == 1
+    assert {r["score"] for r in module.score(d, single).collect()} == {0.5}
+    # of a key with several texts, one is learned from, always the same
+    twice = d.unionByName(d.withColumn("text", F.concat("text", F.lit(" zeta"))))
+    a, b = (module.score(d, module.fit(x, lab)).orderBy("doc_id").collect() for x in (twice, twice.repartition(7)))
+    assert a == b
 
 
 def test_keep_good_keeps_columns(spark):
@@ -298,10 +304,21 @@ def test_packing_round_trip(spark):
     total = sum(r.length for p in at.values() for r in p)
     assert total / (len(at) * 4096) > 0.98
     check_packing(spark, odd(spark).select("doc_id", "text"))
+    named = packing.pack(spark.createDataFrame([(1, "a b"), (2, None)], "Offset long, text string"), "Offset")
+    assert named.columns[0] == "Offset_in" and named.count() == 2
     check_packing(spark, odd(spark).select("doc_id", "text").coalesce(1), capacity=64)
+    check_packing(spark, odd(spark).select("doc_id", "text").coalesce(1), capacity=7)
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_every_sentence_end_may_be_cut():
+    rng = random.Random(9)
+    price = np.array([rng.choice([0] * 8 + [packing.SENTENCE_CUT, packing.CLAUSE_CUT]) for _ in range(5000)], np.int8)
+    marks, costs = packing._boundaries(len(price), price, 4096)
+    assert set(np.flatnonzero(price == packing.SENTENCE_CUT) + 1) <= set(marks) and marks[-1] == len(price)
+    assert np.diff(marks, prepend=0).max() <= packing.HARD_EVERY + 2 * packing.GRID
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(5)
     for more in (False, True):
