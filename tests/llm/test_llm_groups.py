@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,12 +304,56 @@ def test_search_recall_on_embeddings(spark):
 
 
 def test_probing_misses_no_code():
+    """All codes within the radius of pigeonholes come, each once, whatever the cells; both ways of probing agree."""
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 1 << 63, (500, 2), dtype=np.uint64)
-    q = codes[:20] ^ (rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64))
-    index = mih.SubstringIndex(codes)
-    for r in (0, 3, 8, 17, 40):
-        assert (index.within(q, r, 0) == (mih.hamming(q, codes) <= r)).all()
+    x = rng.standard_normal((600, 24))
+    codes = mih.Codes(x, 64)
+    q = x[:40] + rng.standard_normal((40, 24)) * 0.3
+    cx, cq = codes.encode(x), codes.encode(q)
+    dist = mih.hamming(cq, cx)
+    for block, radius in ((16384, 0), (16384, 9), (100, 9), (20, 14), (20, 40)):
+        plan = mih.Plan(len(x), 64, block)
+        plan.radius, plan.short, plan.most = radius, len(x), 64
+        got = Counter()
+        rows = [[], []]
+        for ask, (ids, code) in enumerate(((np.arange(600), cx), (np.arange(40), cq))):
+            batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([bytes(c) for c in code], pa.binary())], ["cls", "code"])
+            for b in mih._entries(plan, bool(ask))([batch]):
+                rows[ask] += b.to_pylist()
+        for cell in {r["cell"] for r in rows[1]}:
+            here = [(cell, r["cls"], r["code"], None) for r in rows[0] if r["cell"] == cell] + [(cell, r["cls"], r["code"], q[r["cls"]].tobytes()) for r in rows[1] if r["cell"] == cell]
+            table = pa.table({n: pa.array(c, k) for n, c, k in zip(("cell", "cls", "code", "vec"), zip(*here), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+            got.update((r["ask"], r["cls"]) for r in mih._match(plan, codes, np.dtype(np.float64))(table).to_pylist())
+        near = (np.bitwise_count(plan.substrings(cq)[:, None] ^ plan.substrings(cx)[None]) <= plan.near).any(-1)
+        assert set(got) == set(zip(*np.nonzero(near))) and max(got.values()) == 1
+        assert set(zip(*np.nonzero(dist <= min(radius, plan.m * plan.s)))) <= set(got)
+    values = np.unique(rng.integers(0, 1 << 12, 3000))
+    query = rng.integers(0, 1 << 12, 50)
+    for near in (np.full(50, 1), rng.integers(-1, 3, 50), np.full(50, 9)):
+        want = set(zip(*np.nonzero(np.bitwise_count(query[:, None] ^ values[None]) <= near[:, None])))
+        assert set(zip(*mih.probe(values, query, near, 12))) == want
+
+
+def test_search_in_crowded_cells(spark, monkeypatch):
+    """A third of all rows are near copies that share cells, cut into tiles; equal vectors and equal codes are many."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    vec = [base + rng.standard_normal(16) * 1e-3 for _ in range(200)] + [base] * 60 + list(rng.standard_normal((400, 16)))
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), i) for i, v in enumerate(vec)], "vec_id long, embedding array<float>, rank int")
+    monkeypatch.setattr(mih, "BLOCK", 16)
+    got = mih.search(df, F.col("vec_id") % 3 == 0)
+    assert got.recall >= 0.9
+    rows = got.collect()
+    x = np.array([v.astype(np.float32) for v in vec], float)
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    hit = 0
+    for i in range(0, len(vec), 3):
+        s = np.round(u @ u[i], 12)
+        s[i] = -2
+        mine = {r.vec_id: r.score for r in rows if r.query_id == i}
+        assert len(mine) == 5 and all(abs(s[j] - v) < 1e-9 for j, v in mine.items())
+        hit += sum(s[j] >= np.sort(s)[-5] - 1e-12 for j in mine)
+    assert hit >= 0.9 * 5 * len(range(0, len(vec), 3))
 
 
 # --- mixing
