@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm._tables import give_back
 from scholium.runtime import cut, ship
 
 #: Rows whose id's checksum leaves this remainder are held out of all learning.
@@ -48,6 +51,7 @@ def features_of(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     width = model.WIDTH
 
     def run(batches):
+        give_back()
         for b in batches:
             for at in range(0, b.num_rows, STEP):
                 part = b.slice(at, STEP)
@@ -65,8 +69,10 @@ def score_with(df: DataFrame, text: str, model, keep: list[Column], name: str =
     ship(df.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = [model.scores(texts.iloc[at : at + STEP]) for at in range(0, len(texts), STEP)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
+        for texts in batches:
+            out = [model.scores(texts.iloc[at : at + STEP]) for at in range(0, len(texts), STEP)]
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return df.select(*keep, score(F.col(text)).alias(name))

@@ -11,7 +11,6 @@ once. Boundaries are all sentence and document ends, and between them clause end
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import zlib
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm._shingles import SEGMENT, words
-from scholium.llm._tables import read
+from scholium.llm._tables import give_back, read
 from scholium.runtime import ship
 
 CAPACITY, END_ID = 4096, 2
@@ -310,14 +309,6 @@ def pack_stream(docs: Iterable[tuple[object, np.ndarray]], price: np.ndarray, ca
     yield from flush(True)
 
 
-def give_back() -> None:
-    """Returns to the system what earlier tasks of this process have freed: workers are reused, and their heaps don't shrink by themselves."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
     """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece; with digest, ids_crc32 in place of ids: the checksum of
     the ids as little-endian unsigned 32-bit integers.

@@ -13,7 +13,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.llm import _learning as L
@@ -28,7 +28,7 @@ SAMPLE = (6000, 3000)
 #: toxic text hasn't: its dictionary stays small, and at a low ratio fills with chance. The ratio is chosen on the learning rows that calibrate.
 RECUR, RATIOS = 3, (5, 10, 20, 40)
 #: Codes of n-grams counted in one go.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 THRESHOLD = 0.5
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
@@ -148,13 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     grams = cut(grams, "grams")
     total = grams.where("code = -1").first()
     n0, n1 = (max(1, total["n0"]), max(1, total["n1"])) if total else (1, 1)
+    # for each class and ratio, the most frequent n-grams; each takes a byte of the dictionary at least, so no more of them can be used
+    stronger = lambda a, b, na, nb, ratio: (F.col(a) >= RECUR) & (F.col(a) / na > ratio * (F.col(b) + 0.5) / nb)
+    sides = [F.when(stronger(*c, r), F.struct(F.lit(y).alias("y"), F.lit(r).alias("ratio"), F.col(c[0]).alias("n"))) for y, c in ((1, ("n1", "n0", n1, n0)), (0, ("n0", "n1", n0, n1))) for r in RATIOS]
+    own = grams.where("code >= 0").select("code", F.explode(F.array_compact(F.array(*sides))).alias("x")).select("code", "x.*")
+    best = Window.partitionBy("y", "ratio").orderBy(F.desc("n"), "code")
+    own = own.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= DICTIONARY).select("y", "ratio", "code", "n").toPandas()
     models = []
     for ratio in RATIOS:
         picked = []
-        for a, b, na, nb in (("n1", "n0", n1, n0), ("n0", "n1", n0, n1)):
-            # each n-gram takes a byte of the dictionary at least, so no more of them can be used
-            own = grams.where((F.col("code") >= 0) & (F.col(a) >= RECUR) & (F.col(a) / na > ratio * (F.col(b) + 0.5) / nb)).orderBy(F.desc(a), "code").limit(DICTIONARY).collect()
-            picked.append(segments({int(r["code"]).to_bytes(8, "big")[8 - GRAM :]: r[a] for r in own}, DICTIONARY))
+        for y in (1, 0):
+            mine = own[(own["y"] == y) & (own["ratio"] == ratio)]
+            picked.append(segments({int(c).to_bytes(8, "big")[8 - GRAM :]: int(k) for c, k in zip(mine["code"], mine["n"])}, DICTIONARY))
         models.append(Model(*picked))
     drop(grams)
     share = min(0.95, max(0.05, share))
