@@ -134,3 +134,32 @@ def inverted_index_text(index: Column) -> Column:
 def author_list(names: Column, show: int = 3) -> Column:
     n = F.size(names)
     return F.when(n > show, F.concat(F.concat_ws(", ", F.slice(names, 1, show)), F.lit(" et al. ("), n.cast("string"), F.lit(" authors)"))).otherwise(F.concat_ws(", ", names))
+
+
+def bare_title(t: Column) -> Column:
+    """A title without markup, in lower case: emphasis and braces keep their content, other commands go."""
+    for _ in range(2):
+        t = F.regexp_replace(t, r"\\(?:emph|textbf|textit)\{([^}]*)\}", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\{([^}]*)\}", "$1"), r"\\[a-zA-Z]+", "")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"[{}$\\]", ""), r"\s+", " ")))
+
+
+def resolver_doi(d: Column) -> Column:
+    """Lower case, without a resolver's address only; empty becomes null."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(F.trim(d)), r"^https?://(?:dx\.)?doi\.org/", "")), F.lit(""))
+
+
+def web_doi(d: Column) -> Column:
+    """The DOI of a resolver's address, in lower case; null for anything else."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(d)), r"^https?://(?:dx\.)?doi\.org/(\S+)$", 1), F.lit(""))
+
+
+def slug(t: Column) -> Column:
+    """Lower-case letters and digits, anything between them one hyphen."""
+    return F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def library_key(doi: Column, pmid: Column, body: Column, title: Column) -> Column:
+    """A key by the first of: DOI, PMID, checksum of the content, title."""
+    d, p = norm_doi(doi), F.nullif(F.trim(pmid), F.lit(""))
+    return F.coalesce(F.concat(F.lit("doi-"), slug(d)), F.concat(F.lit("pmid-"), p), F.concat(F.lit("md5-"), F.substring(F.md5(body), 1, 12)), F.concat(F.lit("item-"), slug(title)))

@@ -80,3 +80,8 @@ def best_match(refs: DataFrame, candidates: DataFrame, least: float = 0.80) -> D
     b = j.withColumn("s", s).groupBy("cite_key").agg(F.max_by(F.struct("doi", "s"), F.struct("s", -F.col("pos"))).alias("b"))
     best = b.where(F.col("b.s") >= least).select("cite_key", F.col("b.doi").alias("doi"), F.col("b.s").alias("score"))
     return refs.select("cite_key").join(best, "cite_key", "left")
+
+
+def cited_references(works: DataFrame, references: str = "references") -> DataFrame:
+    """(pos, key, doi, title) of the references of citing works, in the order of works."""
+    return works.select("pos", F.posexplode(references).alias("at", "r")).select("pos", "at", F.col("r.key").alias("key"), F.col("r.doi").alias("doi"), F.col("r.title").alias("title"))

@@ -162,3 +162,29 @@ def concentration(authors: DataFrame, paper: str, institution: str) -> DataFrame
     c = authors.where(F.col(institution).isNotNull()).groupBy(paper, institution).agg(F.count("*").alias("k"))
     w = Window.partitionBy(paper)
     return c.withColumn("total", F.sum("k").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("k"), institution))).where("rn = 1").drop("rn")
+
+
+def dedup_stats(deduped: DataFrame, database: str) -> DataFrame:
+    """By database: records, kept and dropped ones."""
+    return deduped.groupBy(database).agg(F.count("*").alias("records"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("duplicates"))
+
+
+def by_any_key(cited: DataFrame, refs: DataFrame) -> DataFrame:
+    """(cite_key, found): the reference whose own key it is, else the first by name with it as another key; null without any."""
+    own = refs.select(F.col("cite_key").alias("k"), F.col("cite_key").alias("ref"), F.lit(0).alias("rank"))
+    other = refs.select(F.explode("alternate_keys").alias("k"), F.col("cite_key").alias("ref"), F.lit(1).alias("rank"))
+    best = own.unionByName(other).groupBy("k").agg(F.min_by("ref", F.struct("rank", "ref")).alias("found"))
+    return cited.join(best.withColumnRenamed("k", "cite_key"), "cite_key", "left")
+
+
+def related_work(works: DataFrame, known: DataFrame, least_words: int = 20) -> DataFrame:
+    """Works that aren't known: by DOI, by the first 80 letters of the title, or with a known cite key of over five letters in the title; those with a short abstract go too.
+
+    Cite keys are looked for as whole words of titles, so that they join.
+    """
+    doi, title = tx.norm_doi(F.col("doi")), F.nullif(F.substring(F.lower(F.trim(F.col("title"))), 1, 80), F.lit(""))
+    w = works.where(F.size(tx.words(F.coalesce("abstract", F.lit("")))) >= least_words).withColumn("__d", doi).withColumn("__t", title)
+    w = w.join(known.select(doi.alias("__d")).where("__d IS NOT NULL").distinct(), "__d", "left_anti").join(known.select(title.alias("__t")).where("__t IS NOT NULL").distinct(), "__t", "left_anti")
+    keys = known.select(F.lower("cite_key").alias("__k")).where("length(__k) > 5").distinct()
+    hit = w.select("__d", "__t", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9_:.-]+"))).alias("__k")).join(keys, "__k").select("__d", "__t").distinct()
+    return w.join(hit, w["__d"].eqNullSafe(hit["__d"]) & w["__t"].eqNullSafe(hit["__t"]), "left_anti").drop("__d", "__t")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholium.functions.text import clean_plaintext
 from scholium.runtime import ship
 
 MEDLINE = "pmid string, title string, abstract string, journal string, year string, doi string, authors array<string>, pub_types array<string>, mesh array<string>"
@@ -22,16 +23,28 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bo
 
 
 def texts(spark: SparkSession, path: str, least: int = 50, suffix: str = ".txt") -> DataFrame:
-    """(pmid, text) of the files of a folder, named by their stems; texts under `least` characters go."""
+    """(pmid, text) of the files of a folder, named by their stems and cleaned; texts under `least` characters go. A file is one row and one task's: folders of many files spread."""
     d = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)" + re.escape(suffix) + "$", 1)
-    return d.select(name.alias("pmid"), F.col("value").alias("text")).where(F.length("text") >= least)
+    return d.where(F.length("value") >= least).select(name.alias("pmid"), clean_plaintext(F.col("value")).alias("text"))
+
+
+def latex(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the LaTeX sources under a folder; bytes that aren't UTF-8 become replacement characters."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").load(path)
+    return d.select("path", F.decode("content", F.lit("utf-8")).alias("text"))
+
+
+def jsonl_stream(spark: SparkSession, path: str, schema: str | T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The same records as a stream, as files arrive in a folder. Blank lines are skipped."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(path)
 
 
 def retraction_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(doi, nature, pos) of a retraction list with the columns OriginalPaperDOI and RetractionNature."""
+    """(doi, nature, pos) of a retraction list with the columns OriginalPaperDOI and RetractionNature; pos orders rows as they stand in the files."""
     d = spark.read.option("header", True).option("multiLine", True).csv(path)
-    return d.select(F.lower(F.trim("OriginalPaperDOI")).alias("doi"), F.trim("RetractionNature").alias("nature"), F.monotonically_increasing_id().alias("pos"))
+    return d.select(F.lower(F.trim("OriginalPaperDOI")).alias("doi"), F.trim("RetractionNature").alias("nature"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"))
 
 
 def json_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -97,11 +110,14 @@ def parse_bibtex(s: str) -> list[dict]:
             at = end
         if rec.get("archiveprefix", "").lower() == "arxiv" and rec.get("eprint"):
             rec["arxiv_id"] = rec["eprint"]
+        elif m := _NOTE.search(rec.get("note", "")):
+            rec["arxiv_id"] = m.group(1)
         out.append(rec)
     return out
 
 
-REFERENCE = ["cite_key", "entry_type", "title", "author", "year", "journal", "volume", "pages", "doi", "url", "arxiv_id"]
+REFERENCE = ["cite_key", "entry_type", "title", "author", "year", "journal", "volume", "number", "pages", "publisher", "doi", "url", "arxiv_id"]
+_NOTE = re.compile(r"arxiv:?\s*(\d{4}\.\d{4,5})", re.I)
 
 
 def bibtex(df: DataFrame, text: str = "text", source: str = "source_file") -> DataFrame:
