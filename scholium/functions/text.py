@@ -38,6 +38,13 @@ def cite_keys(t: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
+def bibliography_keys(t: Column) -> Column:
+    """Keys of \\cite, \\citep, \\citet and \\nocite alone, in order, repeated ones once; \\nocite{*} names none."""
+    groups = F.regexp_extract_all(t, F.lit(r"\\(?:nocite|cite[pt]?)\{([^}]+)\}"), F.lit(1))
+    keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k))))
+    return F.array_distinct(F.filter(keys, lambda k: ~k.isin("", "*")))
+
+
 def sentences(t: Column) -> Column:
     """Cut after . ! or ? where white space and a capital or a backslash follow."""
     parts = F.filter(F.transform(F.split(F.trim(t), r"(?<=[?!.])\s+" + _STARTS), lambda s: F.trim(s)), lambda s: s != "")

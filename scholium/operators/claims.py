@@ -52,17 +52,40 @@ def overclaiming_score(hedge_drop: Column, scope_gap: Column, support: Column) -
     return 0.5 * F.least(2 * hedge_drop, F.lit(1.0)) + 0.5 * scope
 
 
+#: Words of kinds of study, by which the first 20000 characters are told; sorted within each.
+_KINDS = [
+    ("rct", ["double[- ]blind", "intention[- ]to[- ]treat", "placebo[- ]controlled", "randomi[sz]ed controlled trial", "randomly assigned", r"\brct\b"]),
+    ("review", ["a review of", "application and prospect", "literature review", "narrative review", "overview of", "prospect of", "scoping review", "state[- ]of[- ]the[- ]art", "systematic review"]),
+    ("discovery", ["atlas of", "drug mechanism", "enhancer hijack", "genome[- ]wide association", "immunometabolic", "mendelian randomi", "molecular characterization", "multi[- ]omics", "quantitative trait loci", "single[- ]cell", "structural variation", "transcriptomic atlas", r"\bgwas\b"]),
+    ("method", ["image reconstruction", "segmentation", "super[- ]resolution", "surface reconstruction", "vessel reconstruction", r"\bregistration\b"]),
+    ("prognostic", ["hazard ratio", "predict[a-z ]{0,25}(?:conversion|decline|impairment|mortality|onset|outcome|progression|recurrence|survival|treatment response)", "prognos", "recurrence prediction", "risk of (?:conversion|developing|progression)", "survival analysis", "time[- ]to[- ]event"]),
+    ("diagnostic_ml", ["classif", "detect", "diagnos", "differentiat", "disease staging", "distinguish", "grading", "screen for", "screening", "tumou?r staging"]),
+    ("method", ["benchmark", "foundation model", "new architecture", "novel framework", "we present a (?:framework|method|model)", "we propose"]),
+]
+_VALIDITY = {
+    "external_validation": ["external (?:cohort|dataset|test|validation)", "held[- ]out", "independent (?:cohort|dataset|test|validation)", "multi[- ]?cent(?:er|re)", "multi[- ]?site", "out[- ]of[- ]distribution", "prospective validation"],
+    "reports_ci": [r"95%\s*ci", "bootstrap", "confidence interval", "credible interval"],
+    "imbalance_addressed": ["class weight", "imbalanc", "oversampl", "resampl", "smote", "stratified", "undersampl", "weighted (?:cross|loss|sampl)"],
+    "leakage_addressed": ["data leakage", "group[- ]wise", "grouped (?:cross|k[- ]?fold|split)", "patient[- ]level split", "prevent[a-z ]{0,20}leakage", "subject[- ]wise"],
+}
+_MIMIC = ["differential diagnos", "differentiat[a-z ]+from", "disease control", "distinguish[a-z ]+from", "mimic", "other [a-z]+ (?:condition|disease|disorder)"]
+_HEALTHY = ["healthy control", "healthy subject", "healthy volunteer", "normal control", "typically[- ]developing"]
+
+
+def _any(words: list[str]) -> str:
+    return "(?i)" + "|".join(words)
+
+
 def study_type(text: Column) -> Column:
-    """The first kind whose words the first 20000 characters have."""
-    t = F.lower(F.substring(text, 1, 20000))
-    return (
-        F.when(t.rlike(r"randomi[sz]ed|double[- ]blind|placebo"), "rct").when(t.rlike(r"systematic review|meta-?analysis|literature review"), "review")
-        .when(t.rlike(r"genome-wide|gwas|proteomic|transcriptomic|biomarker discovery"), "discovery").when(t.rlike(r"segmentation|dice (?:score|coefficient)"), "method")
-        .when(t.rlike(r"prognos|survival|hazard ratio"), "prognostic").when(t.rlike(r"diagnos|sensitivity|specificity"), "diagnostic").when(t.rlike(r"algorithm|pipeline|software|framework"), "method").otherwise("other")
-    )
+    """The first kind whose words the first 20000 characters have: those that merely mention a diagnosis are told apart first."""
+    t = F.substring(text, 1, 20000)
+    out = F.when(t.rlike(_any(_KINDS[0][1])), _KINDS[0][0])
+    for kind, words in _KINDS[1:]:
+        out = out.when(t.rlike(_any(words)), kind)
+    return out.otherwise("other")
 
 
 def ml_validity(text: Column) -> Column:
-    t = F.lower(text)
-    comparator = F.when(t.rlike("mimic"), "mimic").when(t.rlike(r"healthy (?:controls?|volunteers?|subjects?)"), "healthy")
-    return F.struct(t.rlike(r"external(?:ly)? validat|independent (?:cohort|test set)").alias("external"), t.rlike(r"cross[- ]?validation|held[- ]?out|test set").alias("held_out"), t.rlike("leakage").alias("leakage"), t.rlike(r"calibrat|brier").alias("calibrated"), comparator.alias("comparator"))
+    """What a paper says of validation, intervals, imbalance and leakage, and with whom patients are compared: mimics are harder than the healthy."""
+    comparator = F.when(text.rlike(_any(_MIMIC)), "mimic_differential").when(text.rlike(_any(_HEALTHY)), "healthy_easy").otherwise("unclear")
+    return F.struct(*[text.rlike(_any(w)).alias(k) for k, w in _VALIDITY.items()], comparator.alias("comparator"))

@@ -149,17 +149,22 @@ def revision_diff(old: DataFrame, new: DataFrame, match: float = 0.5) -> DataFra
     return a.unionByName(b)
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): words and word pairs weighted by ln((1 + n) / (1 + df)) + 1, with rows of unit length."""
+def tfidf(df: DataFrame, key: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """(key, term, weight): words and word pairs weighted by ln((1 + n) / (1 + df)) + 1, with rows of unit length. Counts are over all rows, or over those that share `by`; keys are then unique within it and hold it."""
+    by = by or []
+    names = [f"__by{i}" for i in range(len(by))]
     w = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
     pairs = F.zip_with(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice(F.col("w"), 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    d = df.select(F.col(key).alias("key"), w.alias("w"))
-    terms = d.select("key", F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    n = df.agg(F.count("*").alias("n"))
-    seen = terms.groupBy("term").agg(F.count("*").alias("df"))
-    x = terms.join(seen, "term").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = x.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return x.join(norm, "key").select("key", "term", (F.col("x") / F.col("norm")).alias("weight"))
+    groups = [F.col(c).alias(n) for c, n in zip(by, names)]
+    d = df.select(*groups, F.col(key).alias("key"), w.alias("w"))
+    terms = d.select(*names, "key", F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy(*names, "key", "term").agg(F.count("*").alias("tf"))
+    n = df.select(*groups).groupBy(*names).agg(F.count("*").alias("n"))
+    seen = terms.groupBy(*names, "term").agg(F.count("*").alias("df"))
+    x = terms.join(seen, [*names, "term"])
+    x = x.join(n, names) if names else x.crossJoin(F.broadcast(n))  # one row
+    x = x.withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norm = x.groupBy(*names, "key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return x.join(norm, [*names, "key"]).select("key", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def kmeans(df: DataFrame, key: str = "id", vector: str = "vec", k: int = 20, seed: int = 42) -> DataFrame:

@@ -65,12 +65,6 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "start", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("sentence_counts")
-def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))
-
-
 @query(
     "paragraph_islands",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -251,11 +245,6 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("key").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("length2"))
 
 
-@query("study_types", None)
-def study_types(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(claims.study_type(F.col("text")).alias("study_type")).groupBy("study_type").agg(F.count("*").alias("n"))
-
-
 @query("storage_eviction", "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(n_chars) OVER () AS total FROM documents) SELECT doc_id, n_chars, CAST(coalesce(before, 0) AS BIGINT) AS freed_before FROM r WHERE coalesce(before, 0) < total - 1000000")
 def storage_eviction(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", "n_chars", F.col("n_chars").alias("score"))

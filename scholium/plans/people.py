@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.operators import battery, methods, people
+from scholium.operators import battery, people
 from scholium.plans.registry import query, table
 
 
@@ -48,19 +48,6 @@ def pre_submit(spark: SparkSession, d: str) -> DataFrame:
     return people.pre_submit(refs, table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("cite_key")))
 
 
-@query("method_detection")
-def method_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Methods named in documents to which a method's name is added by language, and those missing beside them."""
-    docs = table(spark, d, "documents")
-    names = F.create_map(*[F.lit(x) for p in (("en", "we used Cox regression"), ("fr", "k-means and DBSCAN"), ("de", "MCMC"), ("es", "nothing")) for x in p])
-    t = docs.select("doc_id", "lang", F.concat_ws(" ", "text", F.try_element_at(names, F.col("lang"))).alias("text"))
-    reg = methods.registry(spark)
-    found = methods.detect(t, reg, "doc_id", "text")
-    a = found.groupBy("ecosystem", "method").agg(F.count("*").alias("n")).withColumn("kind", F.lit("named"))
-    b = methods.missing(found, reg, "doc_id").groupBy("ecosystem", "method").agg(F.count("*").alias("n")).withColumn("kind", F.lit("missing"))
-    return a.unionByName(b)
-
-
 @query("table_battery")
 def table_battery(spark: SparkSession, d: str) -> DataFrame:
     """Every order as a reported table: its lines' quantities by flag, a percentage, and a change."""
@@ -73,9 +60,3 @@ def table_battery(spark: SparkSession, d: str) -> DataFrame:
     changes = F.array(F.struct(F.lit("change").alias("name"), F.lit(1.0).alias("baseline"), F.col("most").cast("double").alias("end"), F.lit(1.0).alias("change")))
     spec = groups.select(F.col("l_orderkey").cast("string").alias("source"), F.struct(F.lit(1.0).alias("lo"), F.lit(50.0).alias("hi"), F.lit(1.0).alias("granularity")).alias("scale"), variables.alias("variables"), pct.alias("percentages"), none("pre_post"), changes.alias("changes"), none("paired"), none("independent"))
     return battery.run(spec).groupBy("check", "verdict").agg(F.count("*").alias("n"))
-
-
-@query("resolution_mismatch")
-def resolution_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select(methods.resolution_mismatch(F.concat_ws(" ", F.lit("overall average global mean trend"), "role"), F.when(F.col("turn") % 2 == 1, "individual residue position variant locus").otherwise(F.col("text"))).alias("mismatch"))
-    return c.groupBy("mismatch").agg(F.count("*").alias("n"))

@@ -20,11 +20,13 @@ def test_battery_and_calibration(spark):
 
 def test_methods(spark):
     reg = methods.registry(spark)
-    d = spark.createDataFrame([(1, "We fit Cox regression, not xk-means."), (2, None), (3, "MCMC; k-means.")], "id int, text string")
+    d = spark.createDataFrame([(1, "We fit Cox regression, not xk-means."), (2, None), (3, "MCMC; k-means."), (4, "relax, then abc used; the structure")], "id int, text string")
     found = methods.detect(d, reg, "id", "text")
-    assert {(r.id, r.method) for r in found.collect()} == {(1, "cox regression"), (3, "mcmc"), (3, "k-means")}
-    gaps = spark.createDataFrame([(3, "fine")], "id int, fills string")
-    assert {(r.id, r.method, r.priority) for r in methods.missing(found, reg, "id", gaps).collect()} == {(1, "kaplan-meier", "medium"), (1, "competing risks", "medium"), (3, "hierarchical clustering", "medium"), (3, "dbscan", "high"), (3, "variational inference", "medium")}
+    assert {(r.id, r.method) for r in found.collect()} == {(1, "Cox Regression"), (3, "MCMC"), (3, "Clustering")}
+    assert {(r.alias, r.reason) for r in methods.candidates(d.where("id = 4"), reg, "id", "text").collect()} == {("relax", "requires_capitals"), ("abc", "requires_capitals"), ("structure", "requires_capitals")}
+    required = spark.createDataFrame([(3, "spatial"), (3, "aggregate")], "id int, resolution string")
+    got = {(r.id, r.method): r.priority for r in methods.missing(found, reg, "id", required).collect()}
+    assert got[1, "Kaplan-Meier"] == "medium" and got[3, "R-INLA"] == "high" and got[3, "PCA"] == "medium" and (3, "Clustering") not in got
     s = spark.createDataFrame([("none", 0, 0.1, False), ("medium", 0, 0.1, True), ("none", 1, 0.7, False), ("none", 0, 0.4, False), ("none", 0, 0.1, True)], "m string, n int, o double, f boolean")
     assert [r.x for r in s.select(methods.overall_severity(F.col("m"), F.col("n"), F.col("o"), F.col("f")).alias("x")).collect()] == ["low", "medium", "high", "medium", "incomplete"]
 
