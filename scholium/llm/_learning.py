@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm._tables import give_back
+from scholium.llm._tables import freeing, give_back
 from scholium.runtime import cut, ship
 
 #: Rows whose id's checksum leaves this remainder are held out of all learning.
@@ -51,14 +51,13 @@ def features_of(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     width = model.WIDTH
 
     def run(batches):
-        give_back()
         for b in batches:
             for at in range(0, b.num_rows, STEP):
                 part = b.slice(at, STEP)
                 x = np.array([model.features(t) for t in part.column(1).to_pylist()], dtype=float).reshape(-1, width)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = sample.where("calibrates").select("y", "text").repartition(12).mapInArrow(run, "y int, x array<double>").toPandas()
+    got = sample.where("calibrates").select("y", "text").repartition(12).mapInArrow(freeing(run), "y int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, width)
     order = np.lexsort(x.T)  # sums don't depend on the order in which tasks end
     return x[order], got["y"].to_numpy()[order]
@@ -70,9 +69,9 @@ def score_with(df: DataFrame, text: str, model, keep: list[Column], name: str =
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        give_back()
         for texts in batches:
             out = [model.scores(texts.iloc[at : at + STEP]) for at in range(0, len(texts), STEP)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        give_back()
 
     return df.select(*keep, score(F.col(text)).alias(name))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from scholium.llm._tables import freeing
+
 
 def runs(batches, keys: list[str]) -> Iterator[pa.Table]:
     """Each group of neighbouring rows with equal integer keys, across batches. Only one group is held at a time, besides a batch."""
@@ -50,4 +52,4 @@ def by_group(f, keys: list[str], flush: int = 20_000):
         if out:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
-    return run
+    return freeing(run)

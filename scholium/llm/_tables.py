@@ -21,3 +21,15 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def freeing(run):
+    """A function over batches that gives memory back when it has ended, as its process may then sit idle for long."""
+
+    def f(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return f

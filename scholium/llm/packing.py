@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm._shingles import SEGMENT, words
-from scholium.llm._tables import give_back, read
+from scholium.llm._tables import freeing, give_back, read
 from scholium.runtime import ship
 
 CAPACITY, END_ID = 4096, 2
@@ -359,7 +359,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
     from pyspark.sql.pandas.types import to_arrow_type
 
     keys = to_arrow_type(df.schema[key].dataType)
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, start long, length long, {name} {'long' if digest else 'array<int>'}, doc_tokens long, sequence_id long, offset long")
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(freeing(run), f"key {kind}, start long, length long, {name} {'long' if digest else 'array<int>'}, doc_tokens long, sequence_id long, offset long")
     return out.select(F.col("key").alias(key_as), *rest)
 
 

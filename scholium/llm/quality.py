@@ -50,7 +50,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 if parts := Z.windows(t or "", WINDOW):
                     yield pa.RecordBatch.from_arrays([pa.array([y] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["y", "w"])
 
-    got = rows.where("NOT calibrates").select("y", "text").mapInArrow(pick, "y int, w binary")
+    got = rows.where("NOT calibrates").select("y", "text").mapInArrow(L.freeing(pick), "y int, w binary")
     parts = [[bytes(r["w"]) for r in got.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(TRAIN_WINDOWS).select("w").toLocalIterator()] for y in (0, 1)]
     model = Model(Z.dictionary(parts[1], DICTIONARY), Z.dictionary(parts[0], DICTIONARY))
     model.calibrated = Z.Calibrated(*L.features_of(rows, model))

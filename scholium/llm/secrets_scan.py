@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm._tables import read
+from scholium.llm._tables import freeing, read
 from scholium.runtime import ship
 
 KINDS = ("assign", "access", "hex")
@@ -351,7 +351,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(c, t) for c, t in zip(cols, kinds)], [*kept, *names])
 
     kept = [out_name[f.name] for f in df.schema if f.name in keep]
-    out = df.select(*[F.col(f"`{f.name}`").alias(out_name[f.name]) for f in df.schema if f.name in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, ", ".join(fields))
+    out = df.select(*[F.col(f"`{f.name}`").alias(out_name[f.name]) for f in df.schema if f.name in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(freeing(run), ", ".join(fields))
     return out if redact else out.drop("redacted")
 
 

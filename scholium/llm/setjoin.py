@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm._runs import by_group
 from scholium.llm._shingles import mix, shingle_sets
-from scholium.llm._tables import read
+from scholium.llm._tables import freeing, read
 from scholium.runtime import BROADCAST_ROWS, components, cut, drop, ship, small_join
 
 WIDTH, PERCENT = 5, 80
@@ -297,10 +297,21 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
     begin = np.cumsum(count) - count
     # most keys of two similar documents bring the same two together
     _, first = np.unique(_group_ids(cls, begin, count), return_index=True)
-    for k in range(0, len(first), 20000):
-        rows = [(part[0], tile, part.tobytes()) for j in first[k : k + 20000].tolist() for tile, part in tiles(cls[begin[j] : begin[j] + count[j]], TILE)]
-        leader, tile, blob = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(leader, np.int64)), pa.array(np.array(tile, np.int64)), pa.array(blob, pa.binary())], ["leader", "tile", "members"])
+    held, size = [], 0
+    for j in first.tolist():
+        for tile, part in tiles(cls[begin[j] : begin[j] + count[j]], TILE):
+            held.append((part[0], tile, part.tobytes()))
+            size += len(part)
+            if size >= FLUSH:
+                yield _groups(held)
+                held, size = [], 0
+    if held:
+        yield _groups(held)
+
+
+def _groups(held: list[tuple]) -> pa.RecordBatch:
+    leader, tile, blob = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(leader, np.int64)), pa.array(np.array(tile, np.int64)), pa.array(blob, pa.binary())], ["leader", "tile", "members"])
 
 
 def _group_ids(cls: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -427,10 +438,10 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     spark = df.sparkSession
     t = percent
     docs = _text(df, key, text)
-    rows = cut(docs.mapInArrow(_sizes, "doc_id long, n long, cls long"), "sizes")
+    rows = cut(docs.mapInArrow(freeing(_sizes), "doc_id long, n long, cls long"), "sizes")
     classes = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("mult"), F.min("doc_id").alias("first"))
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = docs.mapInArrow(_emitter(buckets, t), "bucket int, blob binary").repartition(F.col("bucket")).mapInArrow(_meet, "leader long, tile long, members binary")
+    met = docs.mapInArrow(freeing(_emitter(buckets, t)), "bucket int, blob binary").repartition(F.col("bucket")).mapInArrow(freeing(_meet), "leader long, tile long, members binary")
     met = met.repartition("leader", "tile").sortWithinPartitions("leader", "tile").mapInArrow(by_group(_gather, ["leader", "tile"]), "leader long, tile long, groups binary, sizes binary, members array<long>")
     met = cut(met, "met")
     members = met.select("leader", "tile", F.explode("members").alias("cls"))
@@ -438,8 +449,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     # a text is read again for its key and class; keys may repeat, so that a set may come more than once
     n = wanted.count()
     keyed = wanted.where("first IS NOT NULL").select(F.col("first").alias("doc_id"), F.col("cls").alias("want"), "mult")
-    have = docs.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed, "doc_id").select("text", "want", "mult").mapInArrow(_sets_of, _SETS)
-    lost = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("want"), F.lit(None).cast("long").alias("mult")).mapInArrow(_sets_of, _SETS)
+    have = docs.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed, "doc_id").select("text", "want", "mult").mapInArrow(freeing(_sets_of), _SETS)
+    lost = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("want"), F.lit(None).cast("long").alias("mult")).mapInArrow(freeing(_sets_of), _SETS)
     lost = lost.drop("mult").dropDuplicates(["cls"]).join(wanted.where("first IS NULL").select("cls", "mult"), "cls").select("cls", "n", "point", "hashes", "mult")
     sets = cut(have.unionByName(lost), "sets")
     points = sets.select("cls", "n", "point").dropDuplicates(["cls"])

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield from flush()
 
     n = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
-    grams = rows.where("NOT calibrates").select("y", "text").repartition(12).mapInArrow(count, "y int, code long, n long").groupBy("code").agg(*n).where("n0 >= {0} OR n1 >= {0} OR code = -1".format(RECUR))
+    grams = rows.where("NOT calibrates").select("y", "text").repartition(12).mapInArrow(L.freeing(count), "y int, code long, n long").groupBy("code").agg(*n).where("n0 >= {0} OR n1 >= {0} OR code = -1".format(RECUR))
     grams = cut(grams, "grams")
     total = grams.where("code = -1").first()
     n0, n1 = (max(1, total["n0"]), max(1, total["n1"])) if total else (1, 1)
