@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scholium.functions import special
 from scholium.runtime import ship
 
+
 def _loose(*parts: str, flags: int = re.I) -> re.Pattern:
     """The parts one after the other, with any white space between them."""
     return re.compile(r"\s*".join(parts), flags)
@@ -37,6 +38,8 @@ _LEVEL = r"\s*".join(["(?:95", "%?", "CI?", "[:=]?", ")?"])
 _EFFECT = _loose(r"\b(a?(?:HR|OR|RR))\b", "[:=]?", _RATIO, r"[\[(,;\s]+" + _LEVEL + _RATIO, r"[–\-\sto]+", _RATIO)
 _MEAN_SD = _loose(r"(?<![.\w])" + _CELL, r"(?:[(±\[]|\s)", _CELL, flags=0)
 _SIZE = r"(\d{2,4})\b"
+#: Every kind of white space, as the JVM writes it: texts that have none of what is looked for stay there.
+_GAP = r"[\s\p{Z}\x1c-\x1f\x85]"
 _N = _loose(r"\bn", "[:=]", _SIZE)
 _COHORT = _loose(r"\bn", "=", _SIZE)
 _FUNDING = re.compile("grant|funding|(?:funded|sponsored|supported) by", re.I)
@@ -50,18 +53,19 @@ _PROPER = r"[A-Z][a-z]+"
 _AUTHOR = re.compile(rf"\b({_PROPER}(?:[ '-]{_PROPER})*),?\s+" + rf"(?:[A-Z]\.?\s*){_PLACES}")
 
 
-def _rows(df: DataFrame, key: str, text: str, schema: str, f) -> DataFrame:
-    """Rows that f makes of each text, with the key first."""
+def _rows(df: DataFrame, key: str, text: str, schema: str, f, when: str | None = None) -> DataFrame:
+    """Rows that f makes of each text, with the key first; a null text counts as empty. Only texts that match `when` are sent to Python at all."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            out = [(k, *row) for k, t in zip(pdf[key], pdf[text]) if t for row in f(t)]
+            out = [(k, *row) for k, t in zip(pdf[key], pdf[text]) for row in f(t or "")]
             yield pd.DataFrame(out, columns=[key, *names])
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, {schema}")
+    rows = df.select(key, text) if when is None else df.select(key, text).where(F.col(text).rlike(when))
+    return rows.mapInPandas(run, f"`{key}` {kind}, {schema}")
 
 
 def _around(text: str, m: re.Match, width: int = 60) -> str:
@@ -90,7 +94,7 @@ def pvalues(df: DataFrame, key: str = "pmid", text: str = "text") -> DataFrame:
                 s = nearby_stat(t, m.start())
                 yield p, m.group(2), m.group(1), s[0] if s else None, s[1] if s else None, _around(t, m)
 
-    return _rows(df, key, text, "p_reported double, p_str string, op string, test_type string, test_params array<double>, context_excerpt string", f)
+    return _rows(df, key, text, "p_reported double, p_str string, op string, test_type string, test_params array<double>, context_excerpt string", f, rf"(?i)p(?:-|{_GAP})*(?:value)?(?:-|{_GAP})*[≤≥<=>]")
 
 
 def effects(df: DataFrame, key: str = "pmid", text: str = "text") -> DataFrame:
@@ -104,7 +108,7 @@ def effects(df: DataFrame, key: str = "pmid", text: str = "text") -> DataFrame:
                 w = (hi - lo) / max(est, 0.1)
                 yield m.group(1), est, lo, hi, lo <= est <= hi, lo > 1 or hi < 1, w > 5, round(w, 2)
 
-    return _rows(df, key, text, "kind string, estimate double, ci_lo double, ci_hi double, ci_consistent boolean, excludes_null boolean, implausibly_wide boolean, width_over_est double", f)
+    return _rows(df, key, text, "kind string, estimate double, ci_lo double, ci_hi double, ci_consistent boolean, excludes_null boolean, implausibly_wide boolean, width_over_est double", f, "(?i)(?<![a-z])a?(?:hr|or|rr)(?![a-z])")
 
 
 def triples(df: DataFrame, key: str = "pmid", text: str = "text", lines: int = 20, max_n: int = 2000, max_mean: float = 100.0) -> DataFrame:
@@ -122,7 +126,7 @@ def triples(df: DataFrame, key: str = "pmid", text: str = "text", lines: int = 2
                 seen.add((mean, sd, near[0]))
                 yield mean, sd, near[0], sorted(set(near)), len(m.group(1).split(".")[1])
 
-    return _rows(df, key, text, "mean double, sd double, n_used int, n_candidates array<int>, decimals int", f)
+    return _rows(df, key, text, "mean double, sd double, n_used int, n_candidates array<int>, decimals int", f, rf"(?i)n{_GAP}*[:=]")
 
 
 def papers(df: DataFrame, key: str = "pmid", text: str = "text", industry: str = INDUSTRY) -> DataFrame:

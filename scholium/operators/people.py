@@ -85,3 +85,21 @@ def best_match(refs: DataFrame, candidates: DataFrame, least: float = 0.80) -> D
 def cited_references(works: DataFrame, references: str = "references") -> DataFrame:
     """(pos, key, doi, title) of the references of citing works, in the order of works."""
     return works.select("pos", F.posexplode(references).alias("at", "r")).select("pos", "at", F.col("r.key").alias("key"), F.col("r.doi").alias("doi"), F.col("r.title").alias("title"))
+
+
+def profiles(works: DataFrame, used: DataFrame) -> DataFrame:
+    """(paper, author, n_works, n_shared, developer, self_validation, flags) of the authors of papers by their works.
+
+    works: paper, author, work, title, and abstract if there is one. used: paper, method. A developer's works name a method that the paper uses; a work is shared if two of the
+    paper's authors wrote it, from five on it's a flag. Methods of a paper are few; they meet its authors' works by the paper.
+    """
+    said = F.lower(F.concat_ws(" ", *[c for c in ("title", "abstract") if c in works.columns]))
+    w = works.select("paper", "author", "work", said.alias("said"))
+    m = used.groupBy("paper").agg(F.collect_set(F.lower("method")).alias("methods"))
+    a = w.join(m, "paper", "left").withColumn("dev", F.coalesce(F.exists("methods", lambda x: F.contains(F.col("said"), x)), F.lit(False)))
+    by = a.groupBy("paper", "author").agg(F.count_distinct("work").alias("n_works"), F.max("dev").alias("developer"))
+    both = shared_works(w.select(F.struct("paper", "work").alias("work"), "author")).select(F.col("work.paper").alias("paper"), F.explode("authors").alias("author")).groupBy("paper", "author").agg(F.count("*").alias("n_shared"))
+    out = by.join(both, ["paper", "author"], "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    risk = self_validation(by).select("paper", F.col("risk").alias("self_validation"))
+    flags = F.array_compact(F.array(F.when(F.col("developer"), "method_developer"), F.when(F.col("n_shared") >= 5, "extensive_coauthor_history"), F.when(F.col("n_works") == 0, "not_found")))
+    return out.join(risk, "paper").withColumn("flags", flags)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import text as tx
-from scholium.runtime import components, ship
+from scholium.runtime import components, ship, small_join
 
 
 def duplicate_groups(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -17,8 +17,8 @@ def duplicate_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(F.sha1(F.col(text).cast("binary")).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n >= 2")
 
 
-def exclusions(df: DataFrame, key: str, text: str, keywords: list[str] | None = None, title: str | None = None, least_title: float = 0.45) -> DataFrame:
-    """(key, reason): the first reason that holds of duplicate_content, corrupted_text, non_english, boilerplate_only,
+def exclusions(df: DataFrame, key: str, text: str, keywords: list[str] | None = None, title: str | None = None, least_title: float = 0.50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, reason): the first reason that holds of duplicate_content, corrupted_text, non_english, boilerplate_only,
     metadata_content_mismatch, domain_keyword_absent; null if none. All members of a group of equal texts are flagged.
 
     Only a digest of each text is shuffled to find the groups, and the group's size comes back by the digest.
@@ -29,13 +29,16 @@ def exclusions(df: DataFrame, key: str, text: str, keywords: list[str] | None =
     ladder = F.when(ratio < 0.08, F.when(tx.corrupted(F.col("__t")), "corrupted_text").otherwise("non_english"))
     ladder = ladder.when((n < 8000) & (tx.boilerplate_score(F.col("__t")) < 0.30), "boilerplate_only")
     if title:
-        ladder = ladder.when((n >= 1000) & (F.length(tx.norm_title(F.col(title))) >= 10) & (tx.title_coverage(F.col(title), F.col("__t")) < least_title), "metadata_content_mismatch")
+        from scholium.operators.reading import title_similarity
+
+        d = d.withColumn("__sim", title_similarity(F.when((n >= 1000) & (F.length(tx.norm_title(F.col(title))) >= 10), F.col("__t")), F.col(title)))
+        ladder = ladder.when((n >= 1000) & (F.length(tx.norm_title(F.col(title))) >= 10) & (F.col("__sim") < least_title), "metadata_content_mismatch")
     if keywords:
         body = F.lower(F.substring("__t", 1, 20000))
         ladder = ladder.when((n > 4000) & ~F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: body.contains(k)), "domain_keyword_absent")
-    d = d.select(F.col(key), F.col("__h"), ladder.alias("own"))
+    d = d.select(F.col(key), *keep, F.col("__h"), ladder.alias("own"))
     twice = d.groupBy("__h").agg(F.count("*").alias("n")).where("n >= 2").select("__h", F.lit(True).alias("dup"))
-    return d.join(twice, "__h", "left").select(key, F.when(F.col("dup"), "duplicate_content").otherwise(F.col("own")).alias("reason"))
+    return small_join(d, twice, ["__h"], "left").select(key, *keep, F.when(F.col("dup"), "duplicate_content").otherwise(F.col("own")).alias("reason"))
 
 
 def ordered_dedup(df: DataFrame, keys: list[Column], order: str, row: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import special
@@ -106,14 +106,49 @@ def numeric_extractor(df: DataFrame, spec: NumericExtractor) -> DataFrame:
     v = numeric_values(df, spec)
     band = F.count_if(F.col("value").between(*spec.band)) if spec.band else F.lit(None).cast("long")
     n = v.agg(F.count("*").alias("n_values"), F.min("value").alias("min"), F.max("value").alias("max"), band.alias("n_in_band"))
-    # the value at place n div 2, by counts of equal values, so that no task holds all
-    counts = v.groupBy("value").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy("value"))
-    middle = counts.withColumn("upto", upto).crossJoin(F.broadcast(n)).where((F.col("upto") > F.floor(F.col("n_values") / 2)) & (F.col("upto") - F.col("k") <= F.floor(F.col("n_values") / 2))).agg(F.max("value").alias("median"))
+    # the value at place n div 2: equal values are counted, and the counts summed over ranges of values, so that no task holds all
+    from scholium.operators.numbering import number_rows
+
+    counts = number_rows(v.groupBy("value").agg(F.count("*").alias("k")), ["value"], total_of="k", total="before")
+    half = F.floor(F.col("n_values") / 2)
+    middle = counts.crossJoin(F.broadcast(n)).where((F.col("before") <= half) & (F.col("before") + F.col("k") > half)).agg(F.max("value").alias("median"))
     papers = df.where(F.trim(F.col(spec.field)) != "").agg(F.count_distinct(spec.key).alias("n_papers"))
     return papers.crossJoin(n).crossJoin(middle)  # one row each
 
 
+def aggregate(df: DataFrame, specs: list, pos: str = "pos") -> dict[str, DataFrame]:
+    """The result of each declared counter, collection and extractor by its field, and corpus_n. The rows are read once a spec; give a written table."""
+    run = {ListCounter: lambda x: list_counter(df, x, pos), ScalarCounter: lambda x: scalar_counter(df, x, pos), TextCollection: lambda x: text_collection(df, x), NumericExtractor: lambda x: numeric_extractor(df, x)}
+    return {"corpus_n": df.agg(F.count("*").alias("corpus_n"))} | {x.field: run[type(x)](x) for x in specs}
+
+
+def aggregate_counts(df: DataFrame, specs: list, pos: str = "pos") -> DataFrame:
+    """(field, value, n) of all counters among the specs, and corpus_n, in one table."""
+    parts = aggregate(df, [x for x in specs if isinstance(x, (ListCounter, ScalarCounter))], pos)
+    out = parts.pop("corpus_n").select(F.lit("corpus_n").alias("field"), F.lit(None).cast("string").alias("value"), F.col("corpus_n").alias("n"))
+    for name, d in parts.items():
+        out = out.unionByName(d.select(F.lit(name).alias("field"), "value", "n"))
+    return out
+
+
+def prisma(records: DataFrame, decisions: DataFrame, full_text: DataFrame | None = None) -> DataFrame:
+    """One row: identified, duplicates removed (by PMID, DOI or title, the first database's record stays), screened, decisions, and full texts assessed and included.
+
+    records: pos (order, unique), database, pmid, doi, title. decisions and full_text: decision.
+    """
+    from scholium.functions.text import norm_title
+    from scholium.operators.resolve import ordered_dedup
+
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    d = ordered_dedup(records, [blank(F.col("pmid")), blank(F.lower("doi")), F.nullif(norm_title(F.col("title")), F.lit(""))], "pos", "pos")
+    out = d.agg(F.count("*").alias("identified"), F.count_if(~F.col("kept")).alias("duplicates_removed"), F.count_if("kept").alias("screened"))
+    f = funnel(decisions).withColumnRenamed("screened", "screened_decisions")
+    out = out.crossJoin(f)  # one row each
+    if full_text is not None:
+        out = out.crossJoin(funnel(full_text).select(F.col("screened").alias("full_text_assessed"), F.col("include").alias("included_after_full_text"), F.col("exclude").alias("excluded_at_full_text")))
+    return out
+
+
 def funnel(decisions: DataFrame) -> DataFrame:
     """Screening decisions: all, include, exclude, maybe."""
     d = F.col("decision")

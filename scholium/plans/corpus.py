@@ -32,8 +32,7 @@ def exclusion_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("exclusion_counts", f"WITH {_SCORED}, x AS (SELECT source, coalesce({_REASON}, 'ok') AS reason FROM s) SELECT source, reason, count(*) AS n FROM x GROUP BY ALL")
 def exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    x = resolve.exclusions(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    x = resolve.exclusions(table(spark, d, "documents"), "doc_id", "text", keep=("source",))
     return x.groupBy("source", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 

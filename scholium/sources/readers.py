@@ -22,10 +22,10 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bo
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def texts(spark: SparkSession, path: str, least: int = 50, suffix: str = ".txt") -> DataFrame:
-    """(pmid, text) of the files of a folder, named by their stems and cleaned; texts under `least` characters go. A file is one row and one task's: folders of many files spread."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)" + re.escape(suffix) + "$", 1)
+def texts(spark: SparkSession, path: str, least: int = 50, suffix: str = ".txt", folder: str | None = None) -> DataFrame:
+    """(pmid, text) of the files of a folder, named by their stems and cleaned; texts under `least` characters go. A file is one row and one task's: folders of many files spread. With `folder`, the name is the value of the folder of that key."""
+    d = spark.read.option("recursiveFileLookup", bool(folder)).option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)" + re.escape(suffix) + "$", 1) if folder is None else F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(folder)}=([^/]*)/", 1)
     return d.where(F.length("value") >= least).select(name.alias("pmid"), clean_plaintext(F.col("value")).alias("text"))
 
 
@@ -49,9 +49,13 @@ def retraction_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def json_cases(spark: SparkSession, path: str) -> DataFrame:
     """(file, body, error): whole JSON files; one that doesn't parse is a row with an error, not a failed job."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    d = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return json_texts(d.select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def json_texts(d: DataFrame) -> DataFrame:
     body = F.try_parse_json("value")
-    return d.select(F.col("_metadata.file_name").alias("file"), body.alias("body"), F.when(body.isNull(), "not valid JSON").alias("error"))
+    return d.select("file", body.alias("body"), F.when(body.isNull(), "not valid JSON").alias("error"))
 
 
 def medline_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
