@@ -6,12 +6,14 @@ PASS, FLAG, FAIL or UNDETERMINED; possible data are never called impossible.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from scholium.functions import special
 
@@ -36,7 +38,7 @@ def grim(mean: Column, n: Column, scale: float = 1.0, dp: Column | None = None)
     """Whether a mean, printed as text, is possible for n values in steps of `scale`."""
     m = _num(mean)
     total = m * n / scale
-    low, high = (f(total) * scale / n for f in (F.floor, F.ceil))
+    low, high = (F.try_divide(f(total) * scale, n) for f in (F.floor, F.ceil))
     near = F.least(F.abs(low - m), F.abs(high - m)) <= half_unit(decimals(mean) if dp is None else dp) + EPS
     return F.when(n > 0, F.struct(near.alias("possible"), low.alias("lower"), high.alias("upper"))).otherwise(F.struct(F.lit(None).cast("boolean").alias("possible"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
 
@@ -82,14 +84,14 @@ def sd_positive(sd: Column) -> Column:
 def quick_sd(sd: Column, n: Column, lo: Column, hi: Column) -> Column:
     """An SD against the largest that values from lo to hi can have, and against 1.5 times a uniform distribution's."""
     half = F.floor(n / 2)
-    top = (hi - lo) * F.when(n >= 2, F.sqrt(half * (n - half) / (n * (n - 1.0)))).otherwise(F.lit(0.5))
+    top = (hi - lo) * F.when(n >= 2, F.sqrt(F.try_divide(half * (n - half), n * (n - 1.0)))).otherwise(F.lit(0.5))
     uniform = (hi - lo) / math.sqrt(12)
     return F.struct(top.alias("max_sd"), uniform.alias("uniform_sd"), (sd > top + EPS).alias("impossible"), (sd > uniform * 1.5).alias("wide"))
 
 
 def sd_se_confusion(sd: Column, n: Column, lo: Column, hi: Column) -> Column:
     """Whether an SD exceeds the range, or is so small that it may be a standard error."""
-    return F.struct((sd > hi - lo).alias("exceeds_range"), ((n > 10) & (sd < (hi - lo) * 0.05)).alias("may_be_se"), (sd / F.sqrt(n)).alias("se_if_sd"), (sd * F.sqrt(n)).alias("sd_if_se"))
+    return F.struct((sd > hi - lo).alias("exceeds_range"), ((n > 10) & (sd < (hi - lo) * 0.05)).alias("may_be_se"), F.try_divide(sd, F.sqrt(n)).alias("se_if_sd"), (sd * F.sqrt(n)).alias("sd_if_se"))
 
 
 def marginals(rows: Column, cols: Column, total: Column) -> Column:
@@ -100,37 +102,38 @@ def marginals(rows: Column, cols: Column, total: Column) -> Column:
 
 
 def p_agrees(calculated: Column, reported: Column) -> Column:
-    """Within a factor of ten; both are taken as 1e-20 at least."""
+    """Within a factor of ten; both are taken as 1e-20 at least. Null if either is."""
     ratio = F.greatest(calculated, F.lit(1e-20)) / F.greatest(reported, F.lit(1e-20))
-    return (ratio > 0.1) & (ratio < 10)
+    return F.when(calculated.isNotNull() & reported.isNotNull(), (ratio > 0.1) & (ratio < 10))
 
 
 def t_paired(mean: Column, sd: Column, n: Column, p: Column) -> Column:
     """A paired t test recomputed. A negative SD is impossible; no variance or n below 2 can't be tested."""
     ok = (sd > 0) & (n > 1)
-    t = F.when(ok, mean / (sd / F.sqrt(n)))
+    t = F.when(ok, F.try_divide(mean, F.try_divide(sd, F.sqrt(n))))
     calc = 2 * special.t_tail(F.abs(t), (n - 1).cast("double"))
     return F.struct(F.when(sd < 0, False).when(ok, p_agrees(calc, p)).alias("plausible"), t.alias("t"), calc.alias("p"))
 
 
 def t_welch(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Column, p: Column) -> Column:
     """An independent t test of unequal variances recomputed."""
-    v1, v2 = s1 * s1 / n1, s2 * s2 / n2
+    v1, v2 = F.try_divide(s1 * s1, n1), F.try_divide(s2 * s2, n2)
     ok = (s1 >= 0) & (s2 >= 0) & (n1 > 1) & (n2 > 1) & (v1 + v2 > 0)
-    t = F.when(ok, (m1 - m2) / F.sqrt(v1 + v2))
-    df = F.when(ok, (v1 + v2) * (v1 + v2) / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1)))
+    t = F.when(ok, F.try_divide(m1 - m2, F.sqrt(v1 + v2)))
+    df = F.when(ok, F.try_divide((v1 + v2) * (v1 + v2), F.try_divide(v1 * v1, n1 - 1) + F.try_divide(v2 * v2, n2 - 1)))
     calc = 2 * special.t_tail(F.abs(t), df)
     return F.struct(F.when((s1 < 0) | (s2 < 0), False).when(ok, p_agrees(calc, p)).alias("plausible"), t.alias("t"), df.alias("df"), calc.alias("p"))
 
 
 def effect_size(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Column, d: Column, p: Column, ci_low: Column, ci_high: Column) -> Column:
     """Cohen's d, p and 95 % interval against reported ones, each where reported."""
-    pooled = F.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2))
-    v1, v2 = s1 * s1 / n1, s2 * s2 / n2
+    safe = F.try_divide
+    pooled = F.sqrt(safe((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2, n1 + n2 - 2))
+    v1, v2 = safe(s1 * s1, n1), safe(s2 * s2, n2)
     se = F.sqrt(v1 + v2)
-    df = (v1 + v2) * (v1 + v2) / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1))
-    calc_d = F.when(pooled > 0, (m1 - m2) / pooled)
-    calc_p = 2 * special.t_tail(F.abs((m1 - m2) / se), df)
+    df = F.when((n1 > 1) & (n2 > 1), safe((v1 + v2) * (v1 + v2), safe(v1 * v1, n1 - 1) + safe(v2 * v2, n2 - 1)))
+    calc_d = F.when(pooled > 0, safe(m1 - m2, pooled))
+    calc_p = 2 * special.t_tail(F.abs(safe(m1 - m2, se)), df)
 
     @F.pandas_udf("double")
     def critical(x: pd.Series) -> pd.Series:
@@ -142,30 +145,88 @@ def effect_size(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2:
     return F.struct(F.when(pooled > 0, ~(bad[0] | bad[1] | bad[2])).otherwise(F.when(pooled == 0, False)).alias("consistent"), calc_d.alias("d"), calc_p.alias("p"), (m1 - m2 - half).alias("ci_low"), (m1 - m2 + half).alias("ci_high"))
 
 
+_DFS = range(1, 10_001)
+
+
 def sample_size_from_t(t: Column, p: Column, n: Column) -> Column:
     """Whether the exact two-tailed p at n rounds to the printed p; and the least and largest n up to 10001 that would."""
 
     @F.pandas_udf("plausible boolean, p_at_n double, n_low int, n_high int")
     def check(ts: pd.Series, ps: pd.Series, ns: pd.Series) -> pd.DataFrame:
         out = []
-        dfs = np.arange(1, 10001)
         for tv, pv, nv in zip(ts, ps, ns):
-            if tv is None or pv is None or pd.isna(nv) or nv <= 1:
+            if pd.isna(tv) or pv is None or pd.isna(nv) or nv <= 1:
                 out.append((None, None, None, None))
                 continue
             half = 0.5 * 10.0 ** -(len(pv.strip().split(".")[-1]) if "." in pv else 0) + 1e-12
-            at = 2 * float(special.t_sf(abs(tv), nv - 1))
-            hit = np.flatnonzero(np.abs(2 * special.t_sf(abs(tv), dfs) - float(pv)) <= half)
-            out.append((abs(at - float(pv)) <= half, at, int(dfs[hit[0]]) + 1 if len(hit) else None, int(dfs[hit[-1]]) + 1 if len(hit) else None))
+            at = lambda df: special.beta_inc1(df / 2, 0.5, df / (df + tv * tv))
+            # p falls as df grows, so that the fitting ones are neighbours
+            low = bisect.bisect_left(_DFS, True, key=lambda df: at(df) <= float(pv) + half)
+            high = bisect.bisect_left(_DFS, True, key=lambda df: at(df) < float(pv) - half)
+            out.append((abs(at(nv - 1) - float(pv)) <= half, at(nv - 1), *((low + 2, high + 1) if low < high else (None, None))))
         return pd.DataFrame(out, columns=["plausible", "p_at_n", "n_low", "n_high"]).astype({"n_low": "Int32", "n_high": "Int32"})
 
     return check(t, p, n)
 
 
+def anova_groups(groups: Column) -> Column:
+    """One-way F of an array of groups (n, mean, sd) with its degrees of freedom; null without two groups or variance, or with a negative SD, which is impossible."""
+    add = lambda f: F.aggregate(groups, F.lit(0.0), lambda s, g: s + f(g))
+    n, mn = add(lambda g: g["n"].cast("double")), add(lambda g: g["n"] * g["mean"])
+    between = add(lambda g: g["n"] * g["mean"] * g["mean"]) - F.try_divide(mn * mn, n)
+    within = add(lambda g: (g["n"] - 1) * g["sd"] * g["sd"])
+    k = F.size(groups)
+    bad = F.exists(groups, lambda g: g["sd"] < 0)
+    f = F.when((k > 1) & (n > k) & (within > 0) & ~bad, F.try_divide(F.try_divide(between, k - 1), F.try_divide(within, n - k)))
+    return F.struct(f.alias("f"), (k - 1).cast("double").alias("df1"), (n - k).alias("df2"), bad.alias("impossible"))
+
+
+def chi2_cells(cells: Column) -> Column:
+    """Pearson's statistic of a table (array of rows), Yates's of two by two, and the degrees of freedom; null with an empty row or column."""
+    rows = F.transform(cells, lambda r: F.aggregate(r, F.lit(0.0), lambda s, v: s + v))
+    cols = F.transform(F.sequence(F.lit(0), F.size(cells[0]) - 1), lambda j: F.aggregate(cells, F.lit(0.0), lambda s, r: s + F.get(r, j)))
+    total = F.aggregate(rows, F.lit(0.0), lambda s, v: s + v)
+
+    def stat(off: float) -> Column:
+        def cell(i: Column, j: Column) -> Column:
+            e = F.try_divide(F.get(rows, i) * F.get(cols, j), total)
+            dev = F.greatest(F.abs(F.get(F.get(cells, i), j) - e) - off, F.lit(0.0))
+            return F.try_divide(dev * dev, e)
+
+        at = lambda n: F.sequence(F.lit(0), n - 1)
+        return F.aggregate(at(F.size(rows)), F.lit(0.0), lambda s, i: s + F.aggregate(at(F.size(cols)), F.lit(0.0), lambda t, j: t + cell(i, j)))
+
+    ok = (F.size(rows) > 1) & (F.size(cols) > 1) & (F.array_min(rows) > 0) & (F.array_min(cols) > 0)
+    two = (F.size(rows) == 2) & (F.size(cols) == 2)
+    return F.struct(F.when(ok, stat(0.0)).alias("chi2"), F.when(ok & two, stat(0.5)).alias("yates"), ((F.size(rows) - 1) * (F.size(cols) - 1)).cast("double").alias("df"))
+
+
+def _near(value, reported, least: float, share: float) -> bool:
+    return pd.isna(reported) or abs(value - reported) <= max(least, share * abs(reported))
+
+
+def _p_near(p: float, reported) -> bool:
+    return pd.isna(reported) or 0.1 < max(p, 1e-20) / max(reported, 1e-20) < 10
+
+
+@F.pandas_udf(BooleanType())
+def anova_fits(f: pd.Series, df1: pd.Series, df2: pd.Series, reported: pd.Series, p: pd.Series) -> pd.Series:
+    """Whether an F is within 0.1 or a tenth of the reported one, and its p within a factor of ten; each where reported."""
+    rows = zip(f, df1, df2, reported, p)
+    return pd.Series([None if pd.isna(x) else _near(x, r, 0.1, 0.1) and _p_near(special.beta_inc1(b / 2, a / 2, b / (b + a * x)), q) for x, a, b, r, q in rows], dtype="boolean")
+
+
+@F.pandas_udf(BooleanType())
+def chi2_fits(chi2: pd.Series, yates: pd.Series, df: pd.Series, reported: pd.Series, p: pd.Series) -> pd.Series:
+    """Whether either statistic is within 0.1 or a twentieth of the reported one, with its p within a factor of ten; each where reported."""
+    fits = lambda x, d, r, q: not pd.isna(x) and _near(x, r, 0.1, 0.05) and _p_near(float(special.chi2_sf(x, d)), q)
+    return pd.Series([None if pd.isna(x) else bool(fits(x, d, r, q) or fits(y, d, r, q)) for x, y, d, r, q in zip(chi2, yates, df, reported, p)], dtype="boolean")
+
+
 # --- exact existence of integer data
 
 
-def integers_exist(k, s, q, lo, hi, *, budget: int = 20_000) -> bool | None:
+def integers_exist(k, s, q, lo, hi, *, budget: int = 200_000) -> bool | None:
     """Whether k integers from lo to hi have the sum s and the sum of squares q; None once the budget of states is spent.
 
     The last two are solved for; of the others, the one tried next is as near the mean of what is left as its spread allows.

@@ -16,8 +16,22 @@ SPEC = (
     "pre_post array<struct<name:string,sd_pre:string,sd_post:string,sd_change:string>>, "
     "changes array<struct<name:string,baseline:double,end:double,change:double>>, "
     "paired array<struct<name:string,mean:double,sd:double,n:int,p:double>>, "
-    "independent array<struct<name:string,mean1:double,sd1:double,n1:int,mean2:double,sd2:double,n2:int,p:double>>"
+    "independent array<struct<name:string,mean1:double,sd1:double,n1:int,mean2:double,sd2:double,n2:int,p:double>>, "
+    "anovas array<struct<name:string,groups:array<struct<n:int,mean:double,sd:double>>,f:double,p:double>>, "
+    "tables array<struct<name:string,cells:array<array<double>>,rows:array<double>,cols:array<double>,total:double,chi2:double,p:double>>, "
+    "effect_sizes array<struct<name:string,mean1:double,sd1:double,n1:int,mean2:double,sd2:double,n2:int,d:double,p:double,ci_low:double,ci_high:double>>, "
+    "sizes array<struct<name:string,t:double,p:string,n:int>>, series array<struct<name:string,sds:array<string>>>"
 )
+NAMES = [x.split(" ")[0] for x in SPEC.split(", ")]
+#: Parts of a table that callers may leave out.
+OPTIONAL = NAMES[2:]
+
+
+def whole(specs: DataFrame) -> DataFrame:
+    """specs with absent parts as nulls."""
+    kinds = dict(x.split(" ", 1) for x in SPEC.split(", "))
+    return specs.select(*[F.col(c) if c in specs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in NAMES])
+
 
 
 def _finding(df: DataFrame, check: str, target: Column, verdict: Column) -> DataFrame:
@@ -26,6 +40,7 @@ def _finding(df: DataFrame, check: str, target: Column, verdict: Column) -> Data
 
 def run(specs: DataFrame) -> DataFrame:
     """(source, check, target, verdict) of every check that a table's entries allow. Bad input gives UNDETERMINED, absent entries nothing."""
+    specs = whole(specs)
     g = specs.select("source", "scale", F.explode("variables").alias("v")).select("source", "scale", F.col("v.name").alias("var"), F.col("v.dp").alias("dp"), F.explode("v.groups").alias("g"))
     g = g.select("source", "scale", "var", "dp", F.col("g.name").alias("grp"), F.col("g.n").alias("n"), F.col("g.mean").alias("mean"), F.col("g.sd").alias("sd"))
     col = Window.partitionBy("source", "var")
@@ -33,9 +48,9 @@ def run(specs: DataFrame) -> DataFrame:
     target = F.concat_ws(" / ", "var", "grp")
     total = F.col("mean").try_cast("double")
     # the grid's step may differ by table, so the mean is tested in its units
-    m = F.col("mean").try_cast("double") / F.col("unit")
-    half = checks.half_unit(F.col("cdp")) / F.col("unit") + checks.EPS
-    near = F.least(*[F.abs(f(m * F.col("n")) / F.col("n") - m) for f in (F.floor, F.ceil)]) <= half
+    m = F.try_divide(F.col("mean").try_cast("double"), F.col("unit"))
+    half = F.try_divide(checks.half_unit(F.col("cdp")), F.col("unit")) + checks.EPS
+    near = F.least(*[F.abs(F.try_divide(f(m * F.col("n")), F.col("n")) - m) for f in (F.floor, F.ceil)]) <= half
     has = F.col("mean").isNotNull() & F.col("n").isNotNull()
     out = _finding(g.where(has), "grim", target, checks.verdict("possible", F.when((F.col("n") > 0) & total.isNotNull(), near)))
     one = g.where(has & F.col("sd").isNotNull() & (F.col("unit") == 1))
@@ -57,7 +72,29 @@ def run(specs: DataFrame) -> DataFrame:
     out = out.unionByName(_finding(t1, "t_paired", F.col("name"), soft(checks.t_paired(F.col("mean"), F.col("sd"), F.col("n"), F.col("p"))["plausible"], F.col("sd"))))
     t2 = each("independent")
     ok2 = checks.t_welch(*[F.col(c) for c in ("mean1", "sd1", "n1", "mean2", "sd2", "n2", "p")])["plausible"]
-    return out.unionByName(_finding(t2, "t_independent", F.col("name"), soft(ok2, F.least("sd1", "sd2"))))
+    out = out.unionByName(_finding(t2, "t_independent", F.col("name"), soft(ok2, F.least("sd1", "sd2"))))
+    out = out.unionByName(_finding(bounded, "sd_se", target, _sd_se(F.col("sd").try_cast("double"), F.col("n"), F.col("scale.lo"), F.col("scale.hi"))))
+    out = out.unionByName(_finding(g.where("sd IS NOT NULL"), "sd_positive", target, checks.verdict("possible", checks.sd_positive(F.col("sd").try_cast("double"))["possible"])))
+    an = each("anovas").select("source", "name", checks.anova_groups(F.col("groups")).alias("x"), F.col("f").alias("rf"), "p").select("source", "name", "x.*", "rf", "p")
+    an = an.withColumn("ok", checks.anova_fits(*[F.col(c) for c in ("f", "df1", "df2", "rf", "p")]))
+    out = out.unionByName(_finding(an, "anova", F.col("name"), F.when(F.col("impossible"), "FAIL").when(F.col("ok").isNull(), "UNDETERMINED").when(F.col("ok"), "PASS").otherwise("FLAG")))
+    tables = each("tables")
+    chi = tables.where("cells IS NOT NULL").select("source", "name", checks.chi2_cells(F.col("cells")).alias("x"), F.col("chi2").alias("rx"), "p").select("source", "name", "x.*", "rx", "p")
+    chi = chi.withColumn("ok", checks.chi2_fits(*[F.col(c) for c in ("chi2", "yates", "df", "rx", "p")]))
+    out = out.unionByName(_finding(chi, "chi_squared", F.col("name"), checks.verdict("consistent", F.col("ok"))))
+    sums = checks.marginals(F.col("rows"), F.col("cols"), F.col("total"))["consistent"]
+    out = out.unionByName(_finding(tables.where("rows IS NOT NULL AND cols IS NOT NULL"), "marginals", F.col("name"), checks.verdict("consistent", sums, F.lit("FAIL"))))
+    d = checks.effect_size(*[F.col(c) for c in ("mean1", "sd1", "n1", "mean2", "sd2", "n2", "d", "p", "ci_low", "ci_high")])["consistent"]
+    out = out.unionByName(_finding(each("effect_sizes"), "effect_size", F.col("name"), checks.verdict("consistent", d)))
+    n = checks.sample_size_from_t(F.col("t"), F.col("p"), F.col("n"))["plausible"]
+    out = out.unionByName(_finding(each("sizes"), "sample_size", F.col("name"), checks.verdict("consistent", n)))
+    frozen = specs.select("source", F.size(F.filter("series", lambda x: (F.size(x["sds"]) >= 2) & (F.size(F.array_distinct(x["sds"])) == 1))).alias("k"), F.size("series").alias("m")).where("m > 0")
+    return out.unionByName(_finding(frozen, "frozen_sds", F.lit("SDs over time"), checks.verdict("suspicious", (2 * F.col("k") > F.col("m")) | (F.col("k") >= 5))))
+
+
+def _sd_se(sd: Column, n: Column, lo: Column, hi: Column) -> Column:
+    c = checks.sd_se_confusion(sd, n, lo, hi)
+    return F.when(c["exceeds_range"].isNull(), "UNDETERMINED").when(c["exceeds_range"], "FAIL").when(c["may_be_se"], "FLAG").otherwise("PASS")
 
 
 def calibrate(findings: DataFrame, expected: DataFrame) -> DataFrame:
@@ -80,6 +117,19 @@ def calibrate(findings: DataFrame, expected: DataFrame) -> DataFrame:
     return a.select("source", "kind", "check", F.coalesce("exact", "target_contains").alias("target"), "matched", "best", ok.alias("satisfied"))
 
 
+def case_problems(case: Column) -> Column:
+    """What is wrong with a calibration case (JSON text): not an object, nothing expected, unknown keys, entries without a check."""
+    kinds = "map<string,array<struct<check:string,target:string,target_contains:string,min_verdict:string>>>"
+    raw, e = F.get_json_object(case, "$.expected"), F.from_json(F.get_json_object(case, "$.expected"), kinds)
+    keys = F.json_object_keys(raw)
+    known = F.array(F.lit("must_detect"), F.lit("must_pass"))
+    entries = F.flatten(F.filter(F.map_values(e), lambda x: x.isNotNull()))
+    return F.array_compact(F.array(
+        F.when(raw.isNull() | keys.isNull(), "expected is lacking or no object"), F.when(F.size(F.array_except(keys, known)) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(F.array_except(keys, known)), ", "))),
+        F.when(keys.isNotNull() & (F.coalesce(F.size(entries), F.lit(0)) <= 0), "nothing is asserted"), F.when(F.exists(entries, lambda x: F.coalesce(x["check"], F.lit("")) == ""), "an entry without a check"),
+    ))
+
+
 def sensitivity(calibrated: DataFrame) -> DataFrame:
     """Shares of satisfied expectations by check: of what must be detected, and of what must pass; null where there is none."""
     share = lambda k: F.avg(F.when(F.col("kind") == k, F.col("satisfied").cast("double")))

@@ -46,17 +46,3 @@ def pre_submit(spark: SparkSession, d: str) -> DataFrame:
     doi = F.when(F.col("p_size") > 10, F.concat(F.lit("doi:10.5/"), (F.col("p_size") % 25).cast("string")))
     refs = p.select(F.col("p_partkey").cast("string").alias("cite_key"), F.array().cast("array<string>").alias("alternate_keys"), F.col("p_name").alias("title"), doi.alias("doi"))
     return people.pre_submit(refs, table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("cite_key")))
-
-
-@query("table_battery")
-def table_battery(spark: SparkSession, d: str) -> DataFrame:
-    """Every order as a reported table: its lines' quantities by flag, a percentage, and a change."""
-    li = table(spark, d, "lineitem")
-    g = li.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").cast("int").alias("n"), F.format_string("%.2f", F.avg("l_quantity")).alias("mean"), F.format_string("%.2f", F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0))).alias("sd"))
-    groups = g.where("n >= 2").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("name"), "n", "mean", "sd")).alias("groups"), F.sum("n").cast("int").alias("total"), F.max("n").alias("most"))  # three flags at most
-    variables = F.array(F.struct(F.lit("quantity").alias("name"), F.lit(None).cast("int").alias("dp"), F.col("groups"), F.lit(None).cast("double").alias("baseline_p")))
-    none = lambda name: F.lit(None).cast({f.split(" ")[0]: f.split(" ", 1)[1] for f in battery.SPEC.split(", ")}[name]).alias(name)
-    pct = F.array(F.struct(F.lit("share").alias("name"), F.lit("all").alias("grp"), F.col("total").alias("n"), F.round(100.0 * F.col("most") / F.col("total"), 1).alias("percentage"), F.lit(1).alias("dp")))
-    changes = F.array(F.struct(F.lit("change").alias("name"), F.lit(1.0).alias("baseline"), F.col("most").cast("double").alias("end"), F.lit(1.0).alias("change")))
-    spec = groups.select(F.col("l_orderkey").cast("string").alias("source"), F.struct(F.lit(1.0).alias("lo"), F.lit(50.0).alias("hi"), F.lit(1.0).alias("granularity")).alias("scale"), variables.alias("variables"), pct.alias("percentages"), none("pre_post"), changes.alias("changes"), none("paired"), none("independent"))
-    return battery.run(spec).groupBy("check", "verdict").agg(F.count("*").alias("n"))

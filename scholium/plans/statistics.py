@@ -72,14 +72,6 @@ def correlation_bound(spark: SparkSession, d: str) -> DataFrame:
     return t.where("ok IS NOT NULL").select("l_suppkey", checks.correlation_bound(F.col("a"), F.col("b"), F.col("c"))["possible"].alias("possible"))
 
 
-@query("marginals", "SELECT l_returnflag, true AS consistent FROM lineitem GROUP BY l_returnflag")
-def marginals(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    rows = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).groupBy("l_returnflag").agg(F.collect_list("n").alias("rows"))  # a value for each status
-    cols = li.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n")).groupBy("l_returnflag").agg(F.collect_list("n").alias("cols"))  # seven line numbers
-    return rows.join(cols, "l_returnflag").select("l_returnflag", checks.marginals(F.col("rows"), F.col("cols"), F.lit(None).cast("long"))["consistent"].alias("consistent"))
-
-
 _ANOVA = f"""WITH {_G.format(by='l_returnflag, l_linestatus')}, a AS (SELECT l_returnflag, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total, sum(mean * n) AS mn, sum(mean * mean * n) AS mmn, sum((n - 1) * sd * sd) AS w FROM g GROUP BY l_returnflag)
     SELECT l_returnflag, groups, total, round(CASE WHEN groups > 1 AND total > groups AND w > 0 THEN ((mmn - mn * mn / total) / (groups - 1)) / (w / (total - groups)) END, 4) AS f FROM a"""
 
@@ -118,33 +110,6 @@ def benford_digits(spark: SparkSession, d: str) -> DataFrame:
     return groupchecks.first_digits(table(spark, d, "events"), "value").select("digit", "n")
 
 
-@query("benford")
-def benford(spark: SparkSession, d: str) -> DataFrame:
-    return groupchecks.benford(table(spark, d, "events"), "value")
-
-
-@query("welch")
-def welch(spark: SparkSession, d: str) -> DataFrame:
-    """Welch's test between returned and other lines of each supplier, by its own groups."""
-    a = table(spark, d, "lineitem").withColumn("r", F.col("l_returnflag") == "R").groupBy("l_suppkey").agg(*[f(F.when(F.col("r") == v, F.col("l_quantity"))).alias(f"{n}{int(v)}") for v in (True, False) for f, n in ((F.avg, "m"), (F.stddev_samp, "s"), (F.count, "n"))])
-    c = checks.t_welch(F.col("m1"), F.col("s1"), F.col("n1"), F.col("m0"), F.col("s0"), F.col("n0"), F.lit(0.5))
-    return a.select("l_suppkey", c.alias("c")).select("l_suppkey", F.round("c.t", 6).alias("t"), F.round("c.p", 6).alias("p"))
-
-
-@query("grimmer")
-def grimmer(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d, "l_orderkey").where("n >= 2")
-    c = checks.grimmer(F.format_string("%.2f", "mean"), F.format_string("%.2f", "sd"), F.col("n").cast("int"))
-    return g.select("l_orderkey", c["possible"].alias("possible")).groupBy("possible").agg(F.count("*").alias("n"))
-
-
-@query("carlisle")
-def carlisle(spark: SparkSession, d: str) -> DataFrame:
-    """Prices as baseline p-values, a study for each supplier, in two kinds."""
-    p = table(spark, d, "lineitem").select("l_suppkey", ((F.col("l_extendedprice") % 997 + 0.5) / 998).alias("p"), F.when(F.col("l_linenumber") % 2 == 0, "categorical").otherwise("continuous").alias("kind"))
-    return groupchecks.carlisle(p, "l_suppkey", "p", "kind")
-
-
 def _pvalues(spark: SparkSession, d: str) -> DataFrame:
     p = F.round((F.col("l_extendedprice") % 100) / 1000, 3)
     op = F.when(F.col("l_linenumber") % 3 == 0, "<").when(F.col("l_linenumber") % 3 == 1, "=").otherwise("≤")
@@ -164,11 +129,6 @@ def last_digits(spark: SparkSession, d: str) -> DataFrame:
     return summaries.last_digits(_pvalues(spark, d))
 
 
-@query("last_digit_test")
-def last_digit_test(spark: SparkSession, d: str) -> DataFrame:
-    return summaries.last_digit_test(_pvalues(spark, d))
-
-
 def _prose(spark: SparkSession, d: str) -> DataFrame:
     """Reports made of line items: a t test, a mean with its SD, a cohort and a ratio each."""
     li = table(spark, d, "lineitem")
@@ -189,22 +149,6 @@ def scan_triples(spark: SparkSession, d: str) -> DataFrame:
     return extract.triples(_prose(spark, d)).groupBy("mean", "sd", "n_used", "decimals").agg(F.count("*").alias("n"))
 
 
-@query("scan_effects")
-def scan_effects(spark: SparkSession, d: str) -> DataFrame:
-    return extract.effects(_prose(spark, d))
-
-
-@query("statcheck")
-def statcheck(spark: SparkSession, d: str) -> DataFrame:
-    return extract.reported_tests(_prose(spark, d)).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query("scan_papers", "SELECT 'none_stated' AS funding_classification, count(*) AS n, avg(0.5::DOUBLE) AS mean_positivity, max(CASE WHEN l_quantity + 10 >= 20 THEN CAST(l_quantity AS INTEGER) + 10 END) AS largest FROM lineitem")
-def scan_papers(spark: SparkSession, d: str) -> DataFrame:
-    p = extract.papers(_prose(spark, d))
-    return p.groupBy("funding_classification").agg(F.count("*").alias("n"), F.avg("positivity_ratio").alias("mean_positivity"), F.max("cohort_size").alias("largest"))
-
-
 _SAL = """p AS (SELECT user_id AS pmid, count(*) % 9 AS cohort_size, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY user_id), k AS (SELECT cohort_size FROM p GROUP BY 1 HAVING count(*) >= 3)"""
 
 
@@ -212,9 +156,3 @@ _SAL = """p AS (SELECT user_id AS pmid, count(*) % 9 AS cohort_size, list_sort(l
 def salami(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "events").groupBy(F.col("user_id").alias("pmid")).agg((F.count("*") % 9).alias("cohort_size"), F.collect_set("event_type").alias("authors"))
     return summaries.salami(p).select("pmid_a", "pmid_b", "cohort_size", "n_shared")
-
-
-@query("verdicts", "SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 'FAIL' WHEN 'N' THEN 'PASS' ELSE 'UNDETERMINED' END AS verdict, count(*) AS n FROM lineitem GROUP BY ALL")
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    out = F.when(F.col("l_returnflag") == "A", False).when(F.col("l_returnflag") == "N", True)
-    return table(spark, d, "lineitem").select("l_returnflag", checks.verdict("possible", out).alias("verdict")).groupBy("l_returnflag", "verdict").agg(F.count("*").alias("n"))

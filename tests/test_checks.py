@@ -74,3 +74,14 @@ def test_carlisle_needs_three(spark):
 def test_sample_size(spark):
     d = spark.createDataFrame([(2.0, "0.055", 30), (2.0, "0.5", 30), (2.0, "0.05", 1)], "t double, p string, n int")
     assert [r.c.plausible for r in d.select(checks.sample_size_from_t(F.col("t"), F.col("p"), F.col("n")).alias("c")).collect()] == [True, False, None]
+
+
+def test_sample_sizes_and_checks_of_nothing(spark):
+    d = spark.createDataFrame([(2.0, "0.18", 3), (2.0, "0.05", 61), (0.0, "1.0", 5), (2.0, None, 3), (3.0, "0.9", 4)], "t double, p string, n int")
+    got = [tuple(r.c) for r in d.select(checks.sample_size_from_t(F.col("t"), F.col("p"), F.col("n")).alias("c")).collect()]
+    assert got[0][0] is True and got[0][2] == got[0][3] == 3 and got[1][0] is True and got[1][2] <= 61 <= got[1][3]
+    assert got[2][0] is True and got[3] == (None, None, None, None) and got[4][0] is False and got[4][2] is None
+    none = spark.createDataFrame([(n, s) for n in (None, 0, 1, 2) for s in (None, -1.0, 0.0, 1.0)], "n int, s double")
+    n, s, x = F.col("n"), F.col("s"), F.lit(1.0)
+    every = [checks.grim(F.lit("1.5"), n), checks.grim_percentage(x, n), checks.quick_sd(s, n, x, x + 1), checks.sd_se_confusion(s, n, x, x + 1), checks.t_paired(x, s, n, x), checks.t_welch(x, s, n, x, s, n, x), checks.effect_size(x, s, n, x, s, n, x, x, x, x), checks.grimmer(F.lit("1.5"), s.cast("string"), n), checks.sample_size_from_t(s, F.lit("0.5"), n), checks.chi2_cells(F.array(F.array(s, s), F.array(s, x))), checks.anova_groups(F.array(F.struct(n.alias("n"), x.alias("mean"), s.alias("sd")), F.struct(n.alias("n"), x.alias("mean"), s.alias("sd"))))]
+    assert none.select(*[c.alias(f"c{i}") for i, c in enumerate(every)]).count() == 16 and len(none.select(*[c.alias(f"c{i}") for i, c in enumerate(every)]).collect()) == 16
