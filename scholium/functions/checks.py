@@ -159,7 +159,7 @@ def sample_size_from_t(t: Column, p: Column, n: Column) -> Column:
                 out.append((None, None, None, None))
                 continue
             half = 0.5 * 10.0 ** -(len(pv.strip().split(".")[-1]) if "." in pv else 0) + 1e-12
-            at = lambda df: special.beta_inc1(df / 2, 0.5, df / (df + tv * tv))
+            at = lambda df: special.beta_inc1(df / 2, 0.5, df / (df + tv * tv)) if tv else 1.0
             # p falls as df grows, so that the fitting ones are neighbours
             low = bisect.bisect_left(_DFS, True, key=lambda df: at(df) <= float(pv) + half)
             high = bisect.bisect_left(_DFS, True, key=lambda df: at(df) < float(pv) - half)

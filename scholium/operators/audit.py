@@ -73,6 +73,19 @@ def sample_level(assignments: DataFrame, level: str, exclusions: DataFrame | Non
     return a.select("cluster_id", "pmid", F.col("i").cast("int").alias("rank_in_cluster"), "distance_to_centroid")
 
 
+def record_sampling(assignments: DataFrame, level: str, run: str, exclusions: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(runs, picks) of a level's sampling, to be appended to the store: one row with its parameters and size, and the papers picked under the run's name."""
+    picks = sample_level(assignments, level, exclusions, seed).withColumn("sampling_run_id", F.lit(run))
+    k, how = LEVELS[level]
+    runs = picks.agg(F.lit(run).alias("sampling_run_id"), F.lit(level).alias("level"), F.lit(how).alias("strategy"), F.lit(k).cast("int").alias("per_cluster"), F.lit(seed).alias("seed"), F.count("*").alias("n_picked"), F.count_distinct("cluster_id").alias("n_clusters"))
+    return runs, picks
+
+
+def load_exclusions(log: DataFrame) -> DataFrame:
+    """(pmid, reason) of an append-only log of exclusions (pmid, reason, seq): the last entry of a paper counts; rows without a paper go."""
+    return log.where(F.coalesce("pmid", F.lit("")) != "").groupBy("pmid").agg(F.max_by("reason", "seq").alias("reason"))
+
+
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of new in place of those with the same keys."""
     return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -46,6 +46,22 @@ def review_queue(decisions: DataFrame, records: DataFrame, audits: DataFrame) ->
     return j.select("pmid", "decision", F.coalesce("title", F.lit("(no record)")).alias("title"), F.coalesce("flag", F.lit(False)).alias("flag"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+def unaudited(batch: pd.DataFrame) -> pd.DataFrame:
+    """A self-auditor that judges nothing: every decision is flagged, with no confidence."""
+    return pd.DataFrame({"record_id": batch["record_id"], "confidence": 0.0, "flag": True, "reasoning": "no self-auditor is set", "dimension": None})
+
+
+def self_audit(decisions: DataFrame, records: DataFrame, auditor: Callable[[pd.DataFrame], pd.DataFrame] = unaudited) -> DataFrame:
+    """(record_id, confidence, flag, reasoning, dimension): the auditor's answers over batches of decisions with their records' title and abstract, null where there is no record."""
+    d = decisions.withColumn("record_id", record_id(F.col("pmid"))).join(records.select(F.col("pmid").alias("record_id"), "title", "abstract"), "record_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            yield auditor(pdf)[["record_id", "confidence", "flag", "reasoning", "dimension"]]
+
+    return d.mapInPandas(run, "record_id string, confidence double, flag boolean, reasoning string, dimension string")
+
+
 def reconcile(decisions: DataFrame, human: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(overrides, requeue): the human answers (record_id, reviewed, flip, note) beside the decisions they are about; flips are queued again."""
     d = decisions.select(record_id(F.col("pmid")).alias("record_id"), F.col("decision").alias("original"))
