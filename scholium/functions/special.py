@@ -63,7 +63,7 @@ def beta_inc1(a: float, b: float, x: float) -> float:
         return math.nan
     if x in (0.0, 1.0):
         return x
-    if x >= (a + 1) / (a + b + 2):
+    if x > (a + 1) / (a + b + 2):
         return 1 - beta_inc1(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or _TINY)

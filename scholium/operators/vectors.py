@@ -102,35 +102,123 @@ def citation_alignment(contexts: DataFrame, cites: DataFrame, chunks: DataFrame,
     return best.join(top, ["context", "cited"], "left").withColumn("in_top", F.coalesce("in_top", F.lit(False)))
 
 
+def citation_summary(contexts: DataFrame, cites: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """(context, best_cited_sim, any_cited_in_top3, matches): each context's best cited similarity, whether a cited key is among its three nearest chunks, and its k nearest chunks' keys with their similarities."""
+    a = citation_alignment(contexts, cites, chunks, 3)
+    best = a.groupBy("context").agg(F.max("sim").alias("best_cited_sim"), F.max("in_top").alias("any_cited_in_top3"))
+    top = top_k(contexts, chunks, k).join(chunks.select("id", "cited_key"), "id").groupBy(F.col("query").alias("context")).agg(F.array_sort(F.collect_list(F.struct("rank", "cited_key", "sim"))).alias("matches"))  # k a context
+    none = F.coalesce("best_cited_sim", F.lit(0.0)).alias("best_cited_sim"), F.coalesce("any_cited_in_top3", F.lit(False)).alias("any_cited_in_top3")
+    return contexts.select(F.col("id").alias("context")).join(best, "context", "left").join(top, "context", "left").select("context", *none, "matches")
+
+
+def uncited_relevance(contexts: DataFrame, refs: DataFrame, cites: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(cited_key, context, sim) of references that no context cites: the context that any of their chunks is nearest to, ties to the smaller. refs: cited_key."""
+    lost = refs.select("cited_key").distinct().join(cites.select(F.col("cited").alias("cited_key")).distinct(), "cited_key", "left_anti")
+    left = chunks.join(lost, "cited_key", "left_semi")
+    best = top_k(left, contexts, 1).select(F.col("query").alias("id"), F.col("id").alias("context"), "sim")
+    j = left.select("id", "cited_key").join(best, "id")
+    return j.groupBy("cited_key").agg(F.max_by(F.struct("context", "sim"), F.struct(F.round("sim", 12), -F.col("context"))).alias("b")).select("cited_key", "b.context", "b.sim")
+
+
+def strength_heatmap(paragraphs: DataFrame, corpus: DataFrame, weak: float = 0.3) -> DataFrame:
+    """(id, doc, pos, support, best, weak, continuity) of paragraphs (id, doc, pos, vec): how near the corpus they are, and the paragraph before."""
+    s = support(paragraphs, corpus, weak).withColumnRenamed("sim", "support")
+    return continuity(paragraphs, "doc", "pos").select("id", "doc", "pos", "continuity").join(s, "id")
+
+
+def travel(old: DataFrame, new: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: the cosines of both versions' centroids to the corpus's, and whether the new one is nearer."""
+    c = [centroid(d).withColumnRenamed("centroid", n) for d, n in ((old, "a"), (new, "b"), (corpus, "c"))]
+    x = c[0].crossJoin(c[1]).crossJoin(c[2])  # one row each
+    x = x.select(cosine(F.col("a"), F.col("c")).alias("old_to_corpus"), cosine(F.col("b"), F.col("c")).alias("new_to_corpus"))
+    return x.withColumn("delta", F.col("new_to_corpus") - F.col("old_to_corpus")).withColumn("nearer", F.col("delta") > 0)
+
+
+def section_diff(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc, old_id, new_id, shift, words_change) of two versions' sections (doc, id, title_vec, vec, words): matched by title within a document above `least`; removed ones shift by 1, added ones have no old_id.
+
+    A document's sections are few, so they meet by document.
+    """
+    a = old.select("doc", F.col("id").alias("old_id"), F.col("title_vec").alias("at"), F.col("vec").alias("av"), F.col("words").alias("aw"))
+    b = new.select("doc", F.col("id").alias("new_id"), F.col("title_vec").alias("bt"), F.col("vec").alias("bv"), F.col("words").alias("bw"))
+    j = a.join(b, "doc").withColumn("t", F.round(cosine(F.col("at"), F.col("bt")), 12))
+    best = j.groupBy("doc", "old_id").agg(F.max_by(F.struct("new_id", "bv", "bw", "t"), F.struct("t", -F.col("new_id"))).alias("m")).where(F.col("m.t") > least)
+    d = a.join(best, ["doc", "old_id"], "left")
+    hit = F.col("m").isNotNull()
+    out = d.select("doc", "old_id", F.col("m.new_id").alias("new_id"), F.when(hit, 1 - cosine(F.col("av"), F.col("m.bv"))).otherwise(1.0).alias("shift"), (F.coalesce("m.bw", F.lit(0)) - F.col("aw")).alias("words_change"))
+    used = out.where("new_id IS NOT NULL").select("doc", "new_id").distinct()
+    added = b.join(used, ["doc", "new_id"], "left_anti").select("doc", F.lit(None).cast(old.schema["id"].dataType).alias("old_id"), "new_id", F.lit(None).cast("double").alias("shift"), F.col("bw").alias("words_change"))
+    return out.unionByName(added)
+
+
+def cached(df: DataFrame, embed, text: str, folder: str, key: str = "id") -> DataFrame:
+    """df with `vec`, each different text embedded once: those in the folder's table by their checksum are reused, others are embedded and appended. embed takes (digest, text) rows and gives (digest, vec)."""
+    spark = df.sparkSession
+    d = df.withColumn("__d", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    try:
+        have = spark.read.parquet(folder)
+    except Exception as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        have = None
+    texts = d.groupBy(F.col("__d").alias("digest")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    new = texts if have is None else texts.join(have.select("digest"), "digest", "left_anti")
+    embed(new).select("digest", F.col("vec").cast("array<double>").alias("vec")).write.mode("append").parquet(folder)
+    return d.join(spark.read.parquet(folder).dropDuplicates(["digest"]).withColumnRenamed("digest", "__d"), "__d").drop("__d")
+
+
+def hashed_terms(texts: DataFrame, width: int = 256) -> DataFrame:
+    """(digest, vec): counts of words and word pairs in `width` places by hash, of unit length: an embedding without a model or a corpus."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
+    pairs = F.zip_with(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice(F.col("w"), 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    d = texts.select("digest", w.alias("w")).select("digest", F.transform(F.concat("w", pairs), lambda x: F.pmod(F.xxhash64(x), F.lit(width)).cast("int")).alias("h"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for h in b.column(1).to_pylist():
+                v = np.bincount(np.array(h, np.int64), minlength=width).astype(float)
+                out.append(v / (np.sqrt(v @ v) + 1e-12))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["digest", "vec"])
+
+    return d.mapInArrow(run, "digest string, vec array<double>")
+
+
 def argument_edges(conclusions: DataFrame, premises: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(from_paper, to_paper, conclusion, premise, sim): the best pair of each two different papers above the threshold. Both have id, paper, vec.
 
-    Pairs above the threshold are found block by block.
+    Pairs above the threshold are found block by block, and of two papers a block keeps the best alone.
     """
-    c, p = (d.select("id", "paper") for d in (conclusions, premises))
-    near = _above(conclusions, premises, threshold)
-    j = near.join(c.select(F.col("id").alias("query"), F.col("paper").alias("from_paper")), "query").join(p.select("id", F.col("paper").alias("to_paper")), "id").where("from_paper != to_paper")
+    j = _best_above(conclusions, premises, threshold)
     best = F.max_by(F.struct("query", "id", "sim"), F.struct(F.round("sim", 12), -F.col("query"), -F.col("id")))
     return j.groupBy("from_paper", "to_paper").agg(best.alias("b")).select("from_paper", "to_paper", F.col("b.query").alias("conclusion"), F.col("b.id").alias("premise"), F.col("b.sim").alias("sim"))
 
 
-def _above(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(query, id, sim) of all pairs above a threshold, from pairs of blocks."""
+def _best_above(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(from_paper, to_paper, query, id, sim): of each pair of blocks, the best pair above the threshold of each two different papers."""
     ship(a.sparkSession)
     na, nb = (-(-d.count() // BLOCK) or 1 for d in (a, b))
-    x = a.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(na)).alias("m")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select((F.col("m") * nb + F.col("o")).alias("cell"), F.lit(True).alias("ask"), "id", "v")
-    y = b.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(nb)).alias("m")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).select((F.col("o") * nb + F.col("m")).alias("cell"), F.lit(False).alias("ask"), "id", "v")
+    cols = [F.col("id").cast("long").alias("id"), F.col("paper").cast("long").alias("paper"), F.col("vec").cast("array<double>").alias("v")]
+    side = lambda d, n, m, cell, ask: d.where("vec IS NOT NULL AND paper IS NOT NULL").select(*cols, F.pmod(F.xxhash64("id"), F.lit(n)).alias("m")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(cell.alias("cell"), F.lit(ask).alias("ask"), "id", "paper", "v")
+    x, y = side(a, na, nb, F.col("m") * nb + F.col("o"), True), side(b, nb, na, F.col("o") * nb + F.col("m"), False)
 
     def run(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
+        ids, paper = table.column("id").to_numpy(), table.column("paper").to_numpy()
         v = np.array(table.column("v").to_pylist(), float)
         v /= np.sqrt((v * v).sum(1))[:, None] + 1e-12
         s = v[ask] @ v[~ask].T
         i, j = np.nonzero(s > threshold)
-        return pa.table({"query": pa.array(ids[ask][i]), "id": pa.array(ids[~ask][j]), "sim": pa.array(s[i, j])})
-
-    return x.unionByName(y).groupBy("cell").applyInArrow(run, "query long, id long, sim double")
+        f, t, q, c, s = paper[ask][i], paper[~ask][j], ids[ask][i], ids[~ask][j], s[i, j]
+        order = np.lexsort((c, q, -np.round(s, 12), t, f))
+        order = order[f[order] != t[order]]
+        f, t = f[order], t[order]
+        first = np.ones(len(f), bool)
+        first[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
+        order = order[first]
+        return pa.table({"from_paper": pa.array(f[first], pa.int64()), "to_paper": pa.array(t[first], pa.int64()), "query": pa.array(q[order], pa.int64()), "id": pa.array(c[order], pa.int64()), "sim": pa.array(s[order], pa.float64())})
+
+    return x.unionByName(y).groupBy("cell").applyInArrow(run, "from_paper long, to_paper long, query long, id long, sim double")
 
 
 def abstract_alignment(sections: DataFrame, abstract: list[float] | None = None, margin: float = 0.05) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as tx
 from scholium.operators import audit, claims, resolve, summaries
-from scholium.operators.vectors import tfidf
 from scholium.plans.registry import query, table
 
 STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -219,31 +218,12 @@ def text_collection(spark: SparkSession, d: str) -> DataFrame:
     return summaries.text_collection(c, summaries.TextCollection("text", ("pmid", "role"), {"role": "speaker"}))
 
 
-@query("ordered_dedup")
-def ordered_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy cross-database deduplication: the digest of a text, and its first 40 letters, are keys."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.sha1(F.col("text").cast("binary")).alias("k1"), F.nullif(F.substring(tx.norm_title(F.substring("text", 1, 60)), 1, 40), F.lit("")).alias("k2"))
-    return resolve.ordered_dedup(docs, [F.col("k1"), F.col("k2")], "doc_id", "doc_id").groupBy("source").agg(F.count("*").alias("records"), F.count_if("kept").alias("kept"))
-
-
 @query("doi_norm", "SELECT page_id, 'https://doi.org/10.1/' || page_id AS raw, '10.1/' || page_id AS doi FROM pages")
 def doi_norm(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://doi.org/10.1/"), F.col("page_id").cast("string")).alias("raw"))
     return p.withColumn("doi", tx.norm_doi(F.col("raw")))
 
 
-@query("title_gate")
-def title_gate(spark: SparkSession, d: str) -> DataFrame:
-    t = F.substring("text", 1, 120)
-    return table(spark, d, "documents").select("doc_id", F.round(tx.title_coverage(t, F.col("text")), 6).alias("coverage"))
-
-
-@query("tfidf_terms")
-def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    x = tfidf(table(spark, d, "benchmark"), "item_id", "text")
-    return x.groupBy("key").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("length2"))
-
-
 @query("storage_eviction", "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(n_chars) OVER () AS total FROM documents) SELECT doc_id, n_chars, CAST(coalesce(before, 0) AS BIGINT) AS freed_before FROM r WHERE coalesce(before, 0) < total - 1000000")
 def storage_eviction(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", "n_chars", F.col("n_chars").alias("score"))

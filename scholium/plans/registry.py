@@ -45,4 +45,4 @@ def venue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from scholium.plans import bibliography, corpus, discovery, papers, people, reported, reviews, similarity, statistics  # noqa: E402, F401
+from scholium.plans import analyses, bibliography, corpus, discovery, papers, people, reported, reviews, similarity, statistics  # noqa: E402, F401

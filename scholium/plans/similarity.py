@@ -72,12 +72,6 @@ def journal_fit(spark: SparkSession, d: str) -> DataFrame:
     return vectors.fit(q, c).select(*[F.round(x, 6).alias(x) for x in ("mean_fit", "min_fit", "max_fit", "std_fit")])
 
 
-@query("revision_diff")
-def revision_diff(spark: SparkSession, d: str) -> DataFrame:
-    q, c = _sides(spark, d)
-    return vectors.revision_diff(c, q, 0.35).groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query("clusters")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
