@@ -74,4 +74,4 @@ def score_with(df: DataFrame, text: str, model, keep: list[Column], name: str =
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
         give_back()
 
-    return df.select(*keep, score(F.col(text)).alias(name))
+    return df.select(*keep, score(F.col(f"`{text}`")).alias(name))

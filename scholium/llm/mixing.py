@@ -119,10 +119,16 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
 
     Tokens are words between ASCII white space; a null or empty text counts one. A null source is one of its own. Rows equal in
     key and text share a place; each is taken as often as the other. Empty tables give no rows. Without a budget no document is lost.
-    The quotas exceed or miss the weights by one document of a source at most. The mixture is in the attribute `mixture` of the result.
+    The quotas exceed or miss the weights by one document of a source at most. Columns may have any names but __mix, which is an error. The mixture is in the attribute `mixture` of the result.
     """
-    h = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
-    narrow = cut(df.select(source_key(F.col(f"`{source}`")).alias("__s"), h.alias("__h"), words_in(F.col(f"`{text}`")).alias("tokens")), "tokens")
+    names = df.columns
+    if "__mix" in (c.lower() for c in names):
+        raise ValueError("a column __mix is there already")
+    own = {c: f"c{i}" for i, c in enumerate(names)}  # so that no name clashes with those used here
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    source, text, key = own[source], own[text], own[key]
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    narrow = cut(rows.select(source_key(F.col(source)).alias("__s"), h.alias("__h"), words_in(F.col(text)).alias("tokens")), "tokens")
     stats = cut(narrow.groupBy("__s").agg(F.sum("tokens").alias("tokens")), "sources")
     n = stats.count()
     m = temperature(Shares(stats, n), max_repeat, entropy, budget)
@@ -143,14 +149,14 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     quotas = cut(quotas.join(ends, "__s", "left"), "quotas")
     drop(hist)
     blocks = max(1, -(-m.budget // BLOCK_TOKENS))
-    full = small_join(df.withColumn("__s", source_key(F.col(f"`{source}`"))).withColumn("__h", h), quotas.select("__s", "__t", "__w", "__q", "__full", "__end"), ["__s"], rows=n)
+    full = small_join(rows.withColumn("__s", source_key(F.col(source))).withColumn("__h", h), quotas.select("__s", "__t", "__w", "__q", "__full", "__end"), ["__s"], rows=n)
     copies = F.col("__full") + F.when(F.col("__end").isNotNull() & (_rank(F.col("__full")) <= F.col("__end")), 1).otherwise(0)
     # a document taken no time at all gets an empty sequence, and explode drops it
     full = full.withColumn("__copies", copies).withColumn("__epoch", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).otherwise(F.array().cast("array<long>"))))
     along = (F.col("__epoch") + _rank(F.col("__epoch")) / float(2**62)) * F.col("__t") / F.col("__q")
     block = F.least(F.lit(blocks - 1), F.floor(along * blocks)).cast("int")
     out = full.withColumn("__mix", F.struct(F.col("__epoch").cast("int").alias("epoch"), block.alias("block"), F.xxhash64(F.lit(SEED + 1), "__epoch", "__h").alias("rank"), F.col("__w").alias("weight"), F.col("__q").alias("quota")))
-    out = out.select(*[F.col(f"`{c}`") for c in df.columns], "__mix")
+    out = out.select(*[F.col(o).alias(c) for c, o in own.items()], "__mix")
     drop(narrow)
     out.mixture = m
     return out

@@ -69,7 +69,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df whose text scores at least the threshold, with all their columns."""
-    return L.score_with(df, text, model, [F.col("*")], "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # so that no name clashes with the score's
+    return L.score_with(df, text, model, [whole.alias("row")], "quality").where(F.col("quality") >= threshold).select("row.*")
 
 
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,19 +340,19 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep = [c for c in df.columns if c != text] if keep is None else keep
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     out_name = {c: c + "_in" if c.lower() in names else c for c in keep}
-    fields = [*[f"`{out_name[f.name]}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep], _SCHEMA]
+    own = {f.name: f"c{i}" for i, f in enumerate(df.schema) if f.name in keep}  # while the scan runs, as names may hold anything
+    fields = [*[f"{own[f.name]} {f.dataType.simpleString()}" for f in df.schema if f.name in own], _SCHEMA]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                cols = scan_texts(part.column(part.schema.get_field_index("__text")).to_pylist(), redact)
+                cols = scan_texts(part.column(len(own)).to_pylist(), redact)
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(c, t) for c, t in zip(cols, kinds)], [*kept, *names])
+                yield pa.RecordBatch.from_arrays(part.columns[: len(own)] + [pa.array(c, t) for c, t in zip(cols, kinds)], [*own.values(), *names])
 
-    kept = [out_name[f.name] for f in df.schema if f.name in keep]
-    out = df.select(*[F.col(f"`{f.name}`").alias(out_name[f.name]) for f in df.schema if f.name in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(freeing(run), ", ".join(fields))
-    return out if redact else out.drop("redacted")
+    out = df.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()], F.col(f"`{text}`").alias("__text")).mapInArrow(freeing(run), ", ".join(fields))
+    return out.select(*[F.col(o).alias(out_name[c]) for c, o in own.items()], *[n for n in names if redact or n != "redacted"])
 
 
 def op9_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

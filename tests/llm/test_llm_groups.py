@@ -391,6 +391,53 @@ def test_mixture_fills_its_quotas(spark):
             assert mine == list(range(len(mine)))
 
 
+@pytest.mark.parametrize("budget, repeat", [(None, 3.0), (None, 1.5), (9000, 2.5)])
+def test_mixture_against_brute_force(spark, budget, repeat):
+    """Exponent, weights, quotas, who is taken how often, and each copy's block, all done again in plain Python from the documents' own hashes."""
+    rows, df = corpus(spark)
+    got = mixing.mix(df, max_repeat=repeat, budget=budget)
+    found = Counter((r.doc_id, r.text, r.source, r["__mix"].epoch, r["__mix"].block, round(r["__mix"].weight, 9), r["__mix"].quota) for r in got.collect())
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    ranks = df.select("doc_id", "text", "source", h.alias("__h")).select("*", *[mixing._rank(F.lit(e)).alias(f"r{e}") for e in range(12)]).collect()
+    by = {}
+    for r in ranks:
+        by.setdefault(r.source, []).append((max(1, len((r.text or "").split())), r))
+    tokens = {s: sum(n for n, _ in x) for s, x in by.items()}
+    total = sum(tokens.values())
+    p = {s: t / total for s, t in tokens.items()}
+    low, high = min(p.values()), max(p.values())
+    steps = [i / 200_000 for i in range(200_001)]
+    if budget is None:
+        a = max(0.0, 1 - math.log(repeat) / math.log(high / low))
+    else:
+        a = next((x for x in steps if budget / total * low ** (x - 1) / sum(v**x for v in p.values()) <= repeat), 1.0)
+    assert abs(got.mixture.exponent - a) < 1e-5
+    a, whole = got.mixture.exponent, got.mixture.budget
+    z = sum(v**a for v in p.values())
+    assert whole == (budget or math.ceil(total * z * max(high ** (1 - a), low ** (1 - a)) - 1e-6))
+    blocks, want = max(1, -(-whole // mixing.BLOCK_TOKENS)), Counter()
+    for s, docs in by.items():
+        w = p[s] ** a / z
+        quota = math.floor(w * whole + 1e-6) if budget else max(math.floor(w * whole + 1e-6), tokens[s])
+        full, rest = divmod(quota, tokens[s])
+        taken = []
+        for n, r in sorted(docs, key=lambda x: x[1][f"r{full}"]):
+            last = taken and taken[-1][1][f"r{full}"] == r[f"r{full}"]  # equal rows go together
+            if not last and sum(x for x, _ in taken) >= rest:
+                break
+            taken.append((n, r))
+        for epoch, part in [(e, docs) for e in range(full)] + ([(full, taken)] if rest else []):
+            for _, r in part:
+                along = (epoch + r[f"r{epoch}"] / 2.0**62) * tokens[s] / quota
+                want[r.doc_id, r.text, r.source, epoch, min(blocks - 1, math.floor(along * blocks)), round(w, 9), quota] += 1
+    assert found == want
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b", "s", "x", "y"), (2, None, None, "z", "w")], "doc_id long, text string, source string, `__s` string, `a.b` string")
+    assert sorted((r["__s"], r["a.b"]) for r in mixing.mix(d).drop("__mix").distinct().collect()) == [("x", "y"), ("z", "w")]
+
+
 def test_mixture_meets_an_entropy(spark):
     _, df = corpus(spark)
     for target in (0.9, 1.2, 1.5):
