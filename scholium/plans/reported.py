@@ -268,6 +268,20 @@ def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
     return s.crossJoin(wide).select("n_papers", "n_pvalues", "n_effects", "n_triples", "n_wide", F.col("p_curve.n_significant").alias("n_significant"), F.round("positivity.mean_positivity", 9).alias("mean_positivity"))  # one row each
 
 
+_WHOLE = "CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END"
+
+
+@query("scan_whole_texts", f"SELECT doc_id::VARCHAR AS pmid, {_WHOLE} AS n_pvalues, 1 AS n_effects, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_triples, 't' AS first_test, 2 + (doc_id % 9) / 10.0::DOUBLE AS statistic FROM documents")
+def scan_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as whole papers, with their reports at the end."""
+    k = F.col("doc_id")
+    tail = F.concat(F.lit("\nWe found t(28) = 2."), S(k % 9), F.lit(", p = 0.012, and HR 1.50 (95% CI 1.10-2.20)."), F.when(k % 4 == 0, " It was no less (p < .001).").otherwise(""), F.when(k % 3 == 0, "\nScores (N: 41) were 3.25 (0.75) in all.").otherwise(""))
+    x = table(spark, d, "documents").select(S(k).alias("pmid"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    found = scan.scan(x)
+    first = found["pvalues"].where("p_str = '0.012'").groupBy("pmid").agg(F.min("test_type").alias("first_test"), F.min(F.get("test_params", 1)).alias("statistic"))
+    return found["papers"].join(first, "pmid", "left").select("pmid", F.col("n_pvalues").cast("int").alias("n_pvalues"), F.col("n_effects").cast("int").alias("n_effects"), F.col("n_triples").cast("int").alias("n_triples"), "first_test", "statistic")
+
+
 @query("scan_files", f"WITH {_O} SELECT unnest(['papers', 'pvalues', 'effects', 'funding']) AS file, unnest([(SELECT count(*) FROM f), (SELECT count(*) FROM f WHERE NOT e), (SELECT count(*) FROM f WHERE NOT e), (SELECT count(*) FROM f)]) AS rows")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     """The record files of a scan of every eighth paper's authors apart, by the rows in them."""

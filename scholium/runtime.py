@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,34 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut() makes inside are deleted at the end, but for those that keep() has taken out: for work whose result is written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Takes a table that cut() made out of the scratch tables."""
+    path = getattr(df, "_scholium_path", None)
+    for tables in _scratch:
+        if path in tables:
+            tables.remove(path)
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scholium-{name}-{uuid.uuid4().hex}"
 
@@ -55,6 +84,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scholium_path = path
+    if _scratch:
+        _scratch[-1].append(path)
     return out
 
 
@@ -62,9 +93,7 @@ def drop(df: DataFrame) -> None:
     """Deletes a table made by cut(); only when nothing reads it any more."""
     path = getattr(df, "_scholium_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", bound: int = BROADCAST_ROWS, salts: int = 32, rows: int | None = None) -> DataFrame:
