@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm import mixing, packing, quality, secrets_scan, setjoin
 from scholium.llm._tables import read
-from scholium.runtime import cut
+from scholium.runtime import cut, drop, keep, scratch
 
 #: No source is repeated more often than this; none loses a document.
 MAX_REPEAT = 2.0
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go when its result is written
+            docs = keep(cut(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
