@@ -170,10 +170,15 @@ def ks_uniform_p(values: np.ndarray) -> tuple[float, float]:
     n = len(x)
     i = np.arange(1, n + 1)
     d = float(max((i / n - x).max(), (x - (i - 1) / n).max()))
+    return d, ks_tail(d, n)
+
+
+def ks_tail(d: float, n: int) -> float:
+    """The p of a two-sided statistic d of n values."""
     if n > 140:
         z = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
         tail = 2 * sum((-1) ** (j - 1) * math.exp(-2 * (j * z) ** 2) for j in range(1, 101)) if z > 0.2 else 1.0
-        return d, min(1.0, max(0.0, tail))
+        return min(1.0, max(0.0, tail))
     k = int(n * d) + 1
     m, h = 2 * k - 1, k - n * d
     a = np.tril(np.ones((m, m)), 1) - np.tril(np.zeros((m, m)), 1)
@@ -205,7 +210,7 @@ def ks_uniform_p(values: np.ndarray) -> tuple[float, float]:
         s = s * j / n
         if s < 1e-140:
             s, exponent = s * 1e140, exponent - 140
-    return d, float(min(1.0, max(0.0, 1 - s * 10.0**exponent)))
+    return float(min(1.0, max(0.0, 1 - s * 10.0**exponent)))
 
 
 def _column(f, *cols: Column) -> Column:

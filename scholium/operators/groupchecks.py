@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scholium.functions import special
 from scholium.functions.checks import decimals, grim
+from scholium.operators.numbering import number_rows
+from scholium.runtime import small_join
 
 
 def grim_column(df: DataFrame, by: list[str], mean: str, n: str, scale: float = 1.0) -> DataFrame:
@@ -95,13 +95,23 @@ def carlisle(df: DataFrame, by: str, p: str, kind: str | None = None) -> DataFra
     rows = df.select(*cols).where("p IS NOT NULL")
     both = rows.unionByName(rows.withColumn("kind", F.lit("combined"))) if kind else rows
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["p"].to_numpy()
-        k = len(x)
-        row = {"study": pdf["study"].iloc[0], "kind": pdf["kind"].iloc[0], "k": k, "z": None, "p_combined": None, "ks_p": None, "mean_p": float(x.mean()), "median_p": float(np.sort(x)[k // 2])}
-        if k >= 3 and 0 < x.min() and x.max() < 1:
-            z = float(special.normal_ppf(1 - x).sum() / math.sqrt(k))
-            row |= {"z": z, "p_combined": float(2 * special.normal_sf(abs(z))), "ks_p": special.ks_uniform_p(x)[1]}
-        return pd.DataFrame([row])
-
-    return both.groupBy("study", "kind").applyInPandas(one, "study string, kind string, k int, z double, p_combined double, ks_p double, mean_p double, median_p double")
+    # places by p within a study and kind, over ranges, so that no task holds a study
+    placed = number_rows(both, ["p"], ["study", "kind"], number="i")
+    size = both.groupBy("study", "kind").agg(F.count("*").alias("k"))
+    n = F.col("k").cast("double")
+    gap = F.greatest((F.col("i") + 1) / n - F.col("p"), F.col("p") - F.col("i") / n)
+
+    @F.pandas_udf("double")
+    def deviate(x: pd.Series) -> pd.Series:
+        return pd.Series(special.normal_ppf(1 - np.clip(x.to_numpy(), 1e-300, 1 - 1e-16)))
+
+    @F.pandas_udf("double")
+    def ks(d: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else special.ks_tail(a, int(b)) for a, b in zip(d, k)], dtype=float)
+
+    placed = small_join(placed.withColumn("s", deviate(F.col("p"))), size, ["study", "kind"])
+    at = F.col("i") == F.floor(F.col("k") / 2)
+    a = placed.groupBy("study", "kind").agg(F.max("k").cast("int").alias("k"), F.sum("s").alias("s"), F.max(gap).alias("d"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.avg("p").alias("mean_p"), F.max(F.when(at, F.col("p"))).alias("median_p"))
+    ok = (F.col("k") >= 3) & (F.col("lo") > 0) & (F.col("hi") < 1)
+    a = a.withColumn("z", F.when(ok, F.col("s") / F.sqrt("k"))).withColumn("d", F.when(ok, F.col("d")))
+    return a.select("study", "kind", "k", "z", (2 * special.normal_tail(F.abs("z"))).alias("p_combined"), F.when(F.col("d").isNotNull(), ks(F.col("d"), F.col("k"))).alias("ks_p"), "mean_p", "median_p")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import special
+from scholium.runtime import small_join
 
 
 def collapsed(c: Column) -> Column:
@@ -219,10 +220,18 @@ def industry_positivity(funding: DataFrame, rows: DataFrame) -> DataFrame:
 def salami(papers: DataFrame, least: int = 3) -> DataFrame:
     """Pairs with the same cohort size, of a size that at least three papers have, and at least `least` authors in common.
 
-    Pairs meet by author and size, not by size alone, so that a common size isn't compared whole.
+    In a common order of authors, the rarest first, two papers that share `least` authors share one that isn't among the last least - 1 of either: only by those
+    do pairs meet, so that prolific authors bring none together.
     """
     big = papers.where("cohort_size IS NOT NULL").groupBy("cohort_size").agg(F.count("*").alias("k")).where("k >= 3").select("cohort_size")
-    rows = papers.join(big, "cohort_size").select("pmid", "cohort_size", F.explode(F.array_distinct("authors")).alias("author"))
-    a, b = rows.withColumnRenamed("pmid", "pmid_a"), rows.withColumnRenamed("pmid", "pmid_b")
-    pairs = a.join(b, ["cohort_size", "author"]).where("pmid_a < pmid_b")
-    return pairs.groupBy("pmid_a", "pmid_b", "cohort_size").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_set("author")).alias("shared")).where(F.col("n_shared") >= least)
+    rows = papers.join(big, "cohort_size").select("pmid", "cohort_size", F.array_distinct("authors").alias("authors")).where(F.size("authors") >= least)
+    each = rows.select("pmid", "cohort_size", F.explode("authors").alias("author"))
+    often = each.groupBy("cohort_size", "author").agg(F.count("*").alias("n")).where("n > 1")
+    order = F.array_sort(F.collect_list(F.struct("n", "author")))  # a paper's authors
+    ranked = small_join(each, often, ["cohort_size", "author"], "left").withColumn("n", F.coalesce("n", F.lit(1))).groupBy("pmid", "cohort_size").agg(order.alias("a"))
+    first = ranked.select("pmid", "cohort_size", F.transform("a", lambda x: x["author"]).alias("authors"), F.explode(F.slice("a", 1, F.size("a") - (least - 1))).alias("x")).where("x.n > 1").select("pmid", "cohort_size", "authors", F.col("x.author").alias("author"))
+    a = first.select(F.col("pmid").alias("pmid_a"), F.col("authors").alias("in_a"), "cohort_size", "author")
+    b = first.select(F.col("pmid").alias("pmid_b"), F.col("authors").alias("in_b"), "cohort_size", "author")
+    shared = F.array_intersect("in_a", "in_b")
+    pairs = a.join(b, ["cohort_size", "author"]).where("pmid_a < pmid_b").withColumn("shared", F.array_sort(shared)).where(F.size("shared") >= least)
+    return pairs.groupBy("pmid_a", "pmid_b", "cohort_size").agg(F.first("shared").alias("shared")).select("pmid_a", "pmid_b", "cohort_size", F.size("shared").cast("long").alias("n_shared"), "shared")
