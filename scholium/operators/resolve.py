@@ -114,6 +114,18 @@ def fuzzy_groups(refs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return refs.join(got, "cite_key")
 
 
+def deduplicate_references(refs: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(cite_key, title, year, doi, journal, source_files, alternate_keys, pos): references merged by key, then with similar titles of the same year; the first BibTeX key of a group stays, the others become alternate keys."""
+    cols = ["title", "year", "doi", "journal"]
+    tex = refs.groupBy("cite_key").agg(F.max((F.col("source_format") == "bibtex").cast("int")).alias("tex"))
+    one = merge_references(refs).join(tex, "cite_key")
+    g = fuzzy_groups(one, threshold)
+    order = F.struct(F.col("tex") == 0, F.col("pos"))
+    filled = [F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", order)).alias(c) for c in cols]
+    m = g.groupBy("leader").agg(F.min_by("cite_key", order).alias("cite_key"), *filled, F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_files")))).alias("source_files"), F.array_sort(F.collect_set("cite_key")).alias("keys"), F.min("pos").alias("pos"))
+    return m.select("cite_key", *cols, "source_files", F.array_except("keys", F.array("cite_key")).alias("alternate_keys"), "pos")
+
+
 def retraction_status(items: DataFrame, watch: DataFrame | None = None) -> DataFrame:
     """(doi, status): retracted before concern before corrected, by update types and the watch list's nature; null if neither says anything.
 

@@ -82,10 +82,17 @@ def scalar_counter(df: DataFrame, spec: ScalarCounter, pos: str = "pos") -> Data
     return _most_common(rows, "value", "__at", spec.top).select("value", "n")
 
 
+def project(df: DataFrame, fields: list[str], rename: dict[str, str] | None = None) -> DataFrame:
+    """Chosen fields as text, renamed; absent and null ones are empty."""
+    rename = rename or {}
+    return df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(rename.get(c, c)) for c in fields])
+
+
 def text_collection(df: DataFrame, spec: TextCollection) -> DataFrame:
     """Rows with a text that isn't blank, and chosen fields of theirs; absent ones are empty."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(spec.rename.get(c, c)) if c in df.columns else F.lit("").alias(spec.rename.get(c, c)) for c in spec.include]
-    return df.where(F.trim(F.col(spec.field)) != "").select(*cols, F.col(spec.field).alias("text"))
+    rows = df.where(F.trim(F.col(spec.field)) != "").withColumn("__text", F.col(spec.field))
+    names = [spec.rename.get(c, c) for c in spec.include]
+    return project(rows, [*spec.include, "__text"], spec.rename | {"__text": "text"}).select(*names, "text")
 
 
 def _valued(found: Column, unit: str, factor: float) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholium.runtime import ship
+from scholium.runtime import cut, ship
 
 #: Rows of a block of either side; a pair of blocks is one task's unit.
 BLOCK = 8192
@@ -255,15 +255,21 @@ def tfidf(df: DataFrame, key: str, text: str, by: list[str] | None = None) -> Da
     return x.join(norm, [*names, "key"]).select("key", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def kmeans(df: DataFrame, key: str = "id", vector: str = "vec", k: int = 20, seed: int = 42) -> DataFrame:
-    """(key, cluster_id, distance_to_centroid) by Spark's own k-means on unit vectors."""
+def kmeans(df: DataFrame, key: str = "id", vector: str = "vec", k: int = 20, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(key, cluster_id, distance_to_centroid) by Spark's own k-means on unit vectors: of so many starts, the one with the least cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = df.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
-    u = Normalizer(inputCol="raw", outputCol="features").transform(v)
-    model = KMeans(k=k, seed=seed, maxIter=30).fit(u)
+    u = cut(Normalizer(inputCol="raw", outputCol="features").transform(v).select("id", "features"), "unit")
+    models = [KMeans(k=k, seed=seed + i, maxIter=30).fit(u) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     centers = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, center array<double>")
     out = model.transform(u).join(F.broadcast(centers), "prediction")  # k rows
     return out.select(F.col("id").alias(key), F.col("prediction").alias("cluster_id"), (1 - cosine(vector_to_array("features"), F.col("center"))).alias("distance_to_centroid"))
+
+
+def cluster_heads(assigned: DataFrame, key: str = "id") -> DataFrame:
+    """(cluster_id, n_papers, centroid): each cluster's size and the member nearest its centre, ties to the smaller key."""
+    return assigned.groupBy("cluster_id").agg(F.count("*").alias("n_papers"), F.min_by(key, F.struct(F.round("distance_to_centroid", 12), key)).alias("centroid"))

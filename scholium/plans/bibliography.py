@@ -250,3 +250,44 @@ def related_work(spark: SparkSession, d: str) -> DataFrame:
     w = p.select(k.alias("k"), F.concat(F.lit("https://doi.org/10.6/"), S(k)).alias("doi"), F.when(k % 4 == 1, F.concat(title, F.lit(" smith2003"))).otherwise(title).alias("title"), F.when(k % 9 == 2, "too short").otherwise(F.repeat(F.lit("word "), 25)).alias("abstract"))
     known = p.where((k % 5 == 0) | (k % 7 == 3)).select(F.when(k % 5 == 0, F.concat(F.lit("10.6/"), S(k))).alias("doi"), F.when(k % 7 == 3, F.upper(title)).alias("title"), F.lit("smith2003").alias("cite_key"))
     return resolve.related_work(w, known).select("k")
+
+
+@query(
+    "deduplicated_references",
+    """WITH w AS (SELECT p_partkey AS k, p_partkey // 3 AS g, p_partkey % 3 = 2 AS late FROM part) SELECT coalesce('k' || min(k) FILTER (k % 3 = 1), 'k' || min(k)) AS cite_key, count(*) AS n, array_to_string(list_sort(list(DISTINCT 'f' || k % 5)), ' ') AS files,
+    coalesce(array_to_string(list_sort(list('k' || k) FILTER (NOT (k % 3 = 1) AND (k % 3 <> 0 OR has1) AND NOT late OR (k % 3 = 0 AND has1))), ' '), '') AS others FROM (SELECT *, max((k % 3 = 1)::INT) OVER (PARTITION BY g, late) = 1 AS has1 FROM w) GROUP BY g, late""",
+)
+def deduplicated_references(spark: SparkSession, d: str) -> DataFrame:
+    """Works in threes with nearly equal titles: two of one year, of which the second is BibTeX and so keeps its key, and one of another."""
+    k = F.col("p_partkey")
+    g = F.floor(k / 3)
+    title = F.concat(F.md5(S(g).cast("binary")), F.lit(" on the "), F.md5(S(g + 7).cast("binary")), F.when(k % 3 == 1, F.lit(" ii")).otherwise(""))
+    refs = table(spark, d, "part").select(F.concat(F.lit("k"), S(k)).alias("cite_key"), title.alias("title"), F.when(k % 3 == 2, S(1800 + g % 50)).otherwise(S(1900 + g % 50)).alias("year"), F.lit("").alias("doi"), F.lit("").alias("journal"), F.when(k % 3 == 1, "bibtex").otherwise("bibitem").alias("source_format"), F.concat(F.lit("f"), S(k % 5)).alias("source_file"), k.alias("pos"))
+    r = resolve.deduplicate_references(refs)
+    return r.select("cite_key", (F.size("alternate_keys") + 1).cast("long").alias("n"), F.array_join("source_files", " ").alias("files"), F.array_join("alternate_keys", " ").alias("others"))
+
+
+@query("ris_records", "SELECT page_id::VARCHAR AS pmid, 'Title ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'Words of it' END AS abstract, 'Annals' AS journal, '2001' AS year, '10.1/' || page_id AS doi, 'Doe, Jane|Roe, Max' AS authors FROM pages UNION ALL SELECT NULL, 'Second', NULL, NULL, NULL, NULL, '' FROM pages")
+def ris_records(spark: SparkSession, d: str) -> DataFrame:
+    """Exports of two records each, with tags of either kind."""
+    k = S("page_id")
+    t = F.concat(F.lit("TY  - JOUR\nAN  - "), k, F.lit("\nTI  - Title "), k, F.lit("\nAU  - Doe, Jane\nA1  - Roe, Max\n"), F.when(F.col("page_id") % 2 == 0, "N2  - Words of it\n").otherwise(""), F.lit("JO  - Annals\nY1  - 2001/03/04/\nDO  - 10.1/"), k, F.lit("\nER  - \n\nTY  - JOUR\nT1  - Second\nER  - \n"))
+    return readers.ris(table(spark, d, "pages").select(t.alias("text"))).withColumn("authors", F.array_join("authors", "|"))
+
+
+@query("database_export", "SELECT p_partkey::VARCHAR AS pmid, 'On \"' || p_name || '\", again' AS title, NULL::VARCHAR AS doi FROM part")
+def database_export(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(S("p_partkey").alias("Accession"), F.concat(F.lit('On "'), "p_name", F.lit('", again')).alias("Article Title"))
+    from scholium.runtime import table_path
+
+    path = table_path(spark, "csv")
+    p.write.option("header", True).option("escape", '"').csv(path)
+    return readers.database_csv(spark, path, {"pmid": "Accession", "title": "Article Title", "doi": "DOI"})
+
+
+@query("projected_fields", "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size > 10 THEN p_brand ELSE '' END AS maker, '' AS gone FROM part")
+def projected_fields(spark: SparkSession, d: str) -> DataFrame:
+    from scholium.operators import summaries
+
+    p = table(spark, d, "part").withColumn("p_brand", F.when(F.col("p_size") > 10, F.col("p_brand")))
+    return summaries.project(p, ["p_partkey", "p_brand", "gone"], {"p_partkey": "id", "p_brand": "maker"})

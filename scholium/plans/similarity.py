@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.operators import audit, vectors
 from scholium.plans.registry import query, table
+from scholium.runtime import cut
 from scholium.streaming import state
 
 
@@ -72,10 +73,19 @@ def journal_fit(spark: SparkSession, d: str) -> DataFrame:
     return vectors.fit(q, c).select(*[F.round(x, 6).alias(x) for x in ("mean_fit", "min_fit", "max_fit", "std_fit")])
 
 
-@query("clusters")
+@query("clusters", "SELECT count(*) AS n_rows, 10::BIGINT AS n_clusters, true AS nearest, true AS heads FROM embeddings WHERE embedding IS NOT NULL")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return vectors.kmeans(e, k=10).groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("distance_to_centroid"), 3).alias("mean_distance"))
+    """What must hold of a clustering, whichever it is: every vector has a cluster, all but one in a hundred at most are nearest its mean, as iterations are bounded, and each cluster's head is a member."""
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    a = cut(vectors.kmeans(e, k=10), "clusters")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    u = e.withColumn("u", F.transform("vec", lambda x: x.cast("double") / norm)).join(a, "id")
+    means = vectors.centroid(u, "u", ["cluster_id"])
+    far = F.aggregate(F.zip_with("u", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    near = u.select("id", "u", F.col("cluster_id").alias("own")).crossJoin(F.broadcast(means)).groupBy("id").agg(F.min(F.when(F.col("cluster_id") == F.col("own"), far)).alias("own"), F.min(far).alias("least"))  # ten means
+    heads = vectors.cluster_heads(a).join(a.select(F.col("id").alias("centroid"), F.col("cluster_id").alias("c")), "centroid").agg(F.min(F.col("c") == F.col("cluster_id")).alias("heads"))
+    n = a.agg(F.count("*").alias("n_rows"), F.count_distinct("cluster_id").alias("n_clusters"))
+    return n.crossJoin(near.agg((F.avg((F.col("own") - F.col("least") < 1e-3).cast("double")) > 0.99).alias("nearest"))).crossJoin(heads)  # one row each
 
 
 # --- events as attempts and sightings

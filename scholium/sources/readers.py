@@ -136,6 +136,27 @@ def bibtex(df: DataFrame, text: str = "text", source: str = "source_file") -> Da
     return df.select(source, text).mapInPandas(run, f"{source} string, pos int, " + ", ".join(f"{c} string" for c in REFERENCE)).withColumn("source_format", F.lit("bibtex"))
 
 
+#: RIS tags of the fields of a record.
+_RIS = {"pmid": ["AN", "PMID"], "title": ["T1", "TI"], "abstract": ["AB", "N2"], "journal": ["JF", "JO", "T2"], "year": ["PY", "Y1"], "doi": ["DO"]}
+
+
+def ris(df: DataFrame, text: str = "text") -> DataFrame:
+    """(pmid, title, abstract, journal, year, doi, authors) of the records of RIS exports, one export a row: each ends with ER, and of a field's tags the first that is there counts."""
+    parts = F.filter(F.split(F.col(text), r"(?m)^ER  -.*$"), lambda r: r.rlike(r"(?m)^[A-Z][A-Z0-9]+  - "))
+    r = df.select(F.explode(parts).alias("r"))
+    tag = lambda t: F.nullif(F.trim(F.regexp_extract("r", rf"(?m)^{t}  - (.*)$", 1)), F.lit(""))
+    fields = {k: F.coalesce(*[tag(t) for t in tags]) for k, tags in _RIS.items()}
+    fields["year"] = F.nullif(F.regexp_extract(F.coalesce(fields["year"], F.lit("")), r"(\d{4})", 1), F.lit(""))
+    authors = F.transform(F.regexp_extract_all("r", F.lit(r"(?m)^A[U1]  - (.*)$"), F.lit(1)), lambda a: F.trim(a))
+    return r.select(*[c.alias(k) for k, c in fields.items()], authors.alias("authors"))
+
+
+def database_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Records of a database's CSV export: its columns under our names; absent ones are null."""
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return d.select(*[(F.col(f"`{c}`") if c in d.columns else F.lit(None).cast("string")).alias(k) for k, c in columns.items()])
+
+
 def register_offline_works(spark: SparkSession) -> str:
     """Registers a data source `offline_works` that serves work records from a local JSON-lines snapshot in place of a web service."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
