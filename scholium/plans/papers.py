@@ -124,7 +124,7 @@ def plain_sections(spark: SparkSession, d: str) -> DataFrame:
     return _plain(spark, d).select("k", F.explode(reading.split_sections(F.col("text"))).alias("section", "body"))
 
 
-@query("section_strength", f"WITH {_P}, s AS (SELECT k, unnest(['abstract', 'results', 'discussion']) AS section FROM p WHERE k % 5 <> 4) SELECT k, section, CASE section WHEN 'results' THEN 3 ELSE 0 END AS hedges, CASE section WHEN 'discussion' THEN 2 ELSE 0 END AS amplifiers, CASE section WHEN 'abstract' THEN 1 ELSE 0 END AS causal, CASE section WHEN 'results' THEN 3 ELSE 1 END AS n_sentences, CASE section WHEN 'results' THEN round(0.33::DOUBLE / 3, 6) ELSE 1.0::DOUBLE END AS mean_strength FROM s")
+@query("section_strength", f"WITH {_P}, s AS (SELECT k, unnest(['abstract', 'results', 'discussion']) AS section FROM p WHERE k % 5 <> 4) SELECT k, section, CASE section WHEN 'results' THEN 3 ELSE 0 END::BIGINT AS hedges, CASE section WHEN 'discussion' THEN 2 ELSE 0 END::BIGINT AS amplifiers, CASE section WHEN 'abstract' THEN 1 ELSE 0 END::BIGINT AS causal, CASE section WHEN 'results' THEN 3 ELSE 1 END::BIGINT AS n_sentences, CASE section WHEN 'results' THEN round(0.33::DOUBLE / 3, 6) ELSE 1.0::DOUBLE END AS mean_strength FROM s")
 def section_strength(spark: SparkSession, d: str) -> DataFrame:
     s = _plain(spark, d).select("k", F.explode(reading.split_sections(F.col("text"))).alias("section", "body")).where("section IN ('abstract', 'results', 'discussion')")
     s = s.select("k", "section", F.explode(tx.sentences(F.col("body"))).alias("sentence"))
@@ -195,7 +195,7 @@ def method_detection(spark: SparkSession, d: str) -> DataFrame:
 _SIBLINGS = ", ".join(f"('{e}', {n})" for e, n in (("survival", 2), ("hyphy", 8), ("bayes", 3), ("population", 4), ("learning", 3)))
 
 
-@query("missing_methods", f"WITH {_M}, s(ecosystem, n) AS (VALUES {_SIBLINGS}) SELECT k, ecosystem, n::BIGINT AS n_missing, CASE ecosystem WHEN 'survival' THEN 1 WHEN 'population' THEN 2 WHEN 'learning' THEN 0 WHEN 'bayes' THEN 0 ELSE 0 END AS n_high FROM f JOIN s USING (ecosystem)")
+@query("missing_methods", f"WITH {_M}, s(ecosystem, n) AS (VALUES {_SIBLINGS}) SELECT k, ecosystem, n::BIGINT AS n_missing, CASE ecosystem WHEN 'survival' THEN 1 WHEN 'population' THEN 2 WHEN 'learning' THEN 0 WHEN 'bayes' THEN 0 ELSE 0 END::BIGINT AS n_high FROM f JOIN s USING (ecosystem)")
 def missing_methods(spark: SparkSession, d: str) -> DataFrame:
     """What goes with the methods named; questions of survival and populations require what their methods don't resolve."""
     reg = methods.registry(spark)
@@ -244,7 +244,7 @@ def resolution_from_tex(spark: SparkSession, d: str) -> DataFrame:
     return r.select("k", "method_level", "conclusion_level", "severity", F.array_join("sections_found", "|").alias("found"))
 
 
-@query("sentence_support", "SELECT p_partkey AS k, 1 AS pos, p_partkey % 3 AS best, CASE WHEN p_partkey % 3 < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sim FROM part WHERE p_partkey % 3 < 2 UNION ALL SELECT p_partkey, 1, NULL, 0.0::DOUBLE FROM part WHERE p_partkey % 3 = 2")
+@query("sentence_support", "SELECT p_partkey AS k, 1 AS pos, (p_partkey % 3)::INT AS best, CASE WHEN p_partkey % 3 < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sim FROM part WHERE p_partkey % 3 < 2 UNION ALL SELECT p_partkey, 1, NULL, 0.0::DOUBLE FROM part WHERE p_partkey % 3 = 2")
 def sentence_support(spark: SparkSession, d: str) -> DataFrame:
     """A claim equal to the first or the second piece of evidence, or to neither."""
     k, n = F.col("p_partkey"), F.col("p_name")
@@ -255,13 +255,13 @@ def sentence_support(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("doc").alias("k"), "pos", "best", F.round("sim", 9).alias("sim"))
 
 
-@query("overclaiming", f"WITH {_P} SELECT k, CASE WHEN k % 5 = 4 THEN 0 ELSE 2 END AS n_late, CASE WHEN k % 5 = 4 THEN 0 ELSE 2 END AS n_escalations, CASE WHEN k % 5 = 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mean_delta, CASE WHEN k % 5 = 4 THEN '' ELSE 'hedge_erosion_results_to_discussion|hedge_erosion_results_to_abstract' END AS flags FROM p")
+@query("overclaiming", f"WITH {_P} SELECT k, CASE WHEN k % 5 = 4 THEN 0 ELSE 2 END::BIGINT AS n_late, CASE WHEN k % 5 = 4 THEN 0 ELSE 2 END::BIGINT AS n_escalations, CASE WHEN k % 5 = 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mean_delta, CASE WHEN k % 5 = 4 THEN '' ELSE 'hedge_erosion_results_to_discussion|hedge_erosion_results_to_abstract' END AS flags FROM p")
 def overclaiming(spark: SparkSession, d: str) -> DataFrame:
     o = reading.overclaiming(_plain(spark, d).withColumn("s", reading.split_sections(F.col("text"))), "k", F.col("s"))
     return o.select("k", "n_late", "n_escalations", "mean_delta", F.array_join(F.filter("flags", lambda x: x.startswith("hedge")), "|").alias("flags"))
 
 
-@query("audit_router", "SELECT p_partkey AS k, " + _pick_sql("p_partkey", ["rct", "diagnostic_ml", "prognostic", "review", "other"]) + " AS study_type, " + _pick_sql("p_partkey", ["forensic_stats|overclaiming", "missing_methods|ml_validity|overclaiming", "ml_validity|overclaiming", "overclaiming", "overclaiming"]) + " AS battery, CASE WHEN p_partkey % 5 = 1 THEN 1 END AS n_methods, CASE WHEN p_partkey % 5 = 1 THEN 3 END AS n_missing, CASE WHEN p_partkey % 5 IN (1, 2) THEN 'unclear' END AS comparator FROM part")
+@query("audit_router", "SELECT p_partkey AS k, " + _pick_sql("p_partkey", ["rct", "diagnostic_ml", "prognostic", "review", "other"]) + " AS study_type, " + _pick_sql("p_partkey", ["forensic_stats|overclaiming", "missing_methods|ml_validity|overclaiming", "ml_validity|overclaiming", "overclaiming", "overclaiming"]) + " AS battery, CASE WHEN p_partkey % 5 = 1 THEN 1 END::BIGINT AS n_methods, CASE WHEN p_partkey % 5 = 1 THEN 3 END::BIGINT AS n_missing, CASE WHEN p_partkey % 5 IN (1, 2) THEN 'unclear' END AS comparator FROM part")
 def audit_router(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     t = F.concat(_pick(k, ["a double-blind trial", "we diagnose by k-means", "a prognostic model", "an overview of", "plain"]), F.lit(" of "), "p_name")

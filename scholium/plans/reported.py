@@ -236,7 +236,7 @@ _FUND = "CASE WHEN e THEN 'none_stated' WHEN k % 8 = 3 THEN 'industry_linked' WH
 _O = f"o AS (SELECT o_orderkey AS k, o_orderkey % 11 = 10 AS e FROM orders), f AS (SELECT *, {_FUND} AS cls, CASE WHEN NOT e THEN k % 300 + 20 END AS cohort, CASE WHEN NOT e AND k % 3 < 2 THEN 1 - k % 3 * 0.5::DOUBLE END AS pos FROM o)"
 
 
-@query("scan_papers", f"WITH {_O} SELECT k::VARCHAR AS pmid, cls AS funding_classification, cls = 'industry_linked' AS industry_linked, CASE WHEN e THEN '' ELSE 'Jane|Max' END AS authors, cohort::INT AS cohort_size, CASE WHEN NOT e AND k % 3 < 2 THEN 1 ELSE 0 END AS n_significant, CASE WHEN NOT e AND k % 3 = 1 THEN 1 ELSE 0 END AS n_not_significant, pos AS positivity_ratio FROM f")
+@query("scan_papers", f"WITH {_O} SELECT k::VARCHAR AS pmid, cls AS funding_classification, cls = 'industry_linked' AS industry_linked, CASE WHEN e THEN '' ELSE 'Jane|Max' END AS authors, cohort::INT AS cohort_size, CASE WHEN NOT e AND k % 3 < 2 THEN 1 ELSE 0 END::BIGINT AS n_significant, CASE WHEN NOT e AND k % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS n_not_significant, pos AS positivity_ratio FROM f")
 def scan_papers(spark: SparkSession, d: str) -> DataFrame:
     p = extract.papers(_papers(spark, d))
     return p.select("pmid", "funding_classification", "industry_linked", F.array_join("authors", "|").alias("authors"), "cohort_size", "n_significant", "n_not_significant", "positivity_ratio")

@@ -221,7 +221,7 @@ def _star(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "paper_metadata",
-    f"""WITH {_ST} SELECT k::VARCHAR AS pmid, CASE WHEN k % 5 <> 0 THEN 'Paper ' || k ELSE 'Record ' || k END AS title, CASE WHEN k % 5 <> 0 THEN 2000 + k % 20 ELSE 1990 END AS year, 'Annals' AS journal, c AS cluster_id, 'c' || c AS cluster_name, q = 0 AS is_voice, k = min(k) OVER (PARTITION BY c) AS is_centroid, CASE WHEN ex THEN 'short' END AS exclusion_reason, ind AS industry_linked,
+    f"""WITH {_ST} SELECT k::VARCHAR AS pmid, CASE WHEN k % 5 <> 0 THEN 'Paper ' || k ELSE 'Record ' || k END AS title, CASE WHEN k % 5 <> 0 THEN 2000 + k % 20 ELSE 1990 END::INT AS year, 'Annals' AS journal, c AS cluster_id, 'c' || c AS cluster_name, q = 0 AS is_voice, k = min(k) OVER (PARTITION BY c) AS is_centroid, CASE WHEN ex THEN 'short' END AS exclusion_reason, ind AS industry_linked,
     CASE WHEN k % 10 = 0 THEN (k + 1)::VARCHAR WHEN k % 10 = 1 AND (k - 1) IN (SELECT k FROM p) THEN (k - 1)::VARCHAR END AS sibling FROM v""",
 )
 def paper_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +229,7 @@ def paper_metadata(spark: SparkSession, d: str) -> DataFrame:
     return m.select("pmid", "title", F.col("year").cast("int").alias("year"), "journal", "cluster_id", "cluster_name", "is_voice", "is_centroid", "exclusion_reason", "industry_linked", F.try_element_at("siblings", F.lit(1))["other"].alias("sibling"))
 
 
-@query("compact_papers", f"WITH {_ST} SELECT k::VARCHAR AS pmid, 'A|B|C' AS authors, ex AS excluded, 'cohort' AS paper_type, ['good', 'suspect', 'n/a'][q + 1] AS construct_adequacy, 'good' AS novelty, NULL::VARCHAR AS transparency, CASE WHEN k % 2 = 0 THEN (k % 7)::INT ELSE 0 END AS n_pvalues, CASE WHEN k % 2 = 0 THEN 0.5::DOUBLE END AS positivity_ratio FROM v")
+@query("compact_papers", f"WITH {_ST} SELECT k::VARCHAR AS pmid, 'A|B|C' AS authors, ex AS excluded, 'cohort' AS paper_type, ['good', 'suspect', 'n/a'][q + 1] AS construct_adequacy, 'good' AS novelty, NULL::VARCHAR AS transparency, CASE WHEN k % 2 = 0 THEN k % 7 ELSE 0 END::BIGINT AS n_pvalues, CASE WHEN k % 2 = 0 THEN 0.5::DOUBLE END AS positivity_ratio FROM v")
 def compact_papers(spark: SparkSession, d: str) -> DataFrame:
     c = metadata.compact(_star(spark, d))
     return c.select("pmid", F.array_join("authors", "|").alias("authors"), "excluded", "paper_type", "construct_adequacy", "novelty", "transparency", "n_pvalues", "positivity_ratio")
@@ -245,7 +245,7 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return metadata.corpus_summary(metadata.compact(_star(spark, d)), [1, 2])
 
 
-@query("cluster_index", f"WITH {_ST}, y AS (SELECT *, CASE WHEN k % 5 <> 0 THEN 2000 + k % 20 ELSE 1990 END AS year FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY year DESC, k::VARCHAR) AS place, count(*) OVER (PARTITION BY c) AS n FROM y) SELECT c AS cluster_id, place, k::VARCHAR AS pmid, year, CASE WHEN k % 5 <> 0 THEN 'Paper ' || k ELSE 'Record ' || k END AS title, greatest(n - 50, 0) AS more FROM r WHERE place <= 50")
+@query("cluster_index", f"WITH {_ST}, y AS (SELECT *, CASE WHEN k % 5 <> 0 THEN 2000 + k % 20 ELSE 1990 END AS year FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY year DESC, k::VARCHAR) AS place, count(*) OVER (PARTITION BY c) AS n FROM y) SELECT c AS cluster_id, place::INT AS place, k::VARCHAR AS pmid, year::INT AS year, CASE WHEN k % 5 <> 0 THEN 'Paper ' || k ELSE 'Record ' || k END AS title, greatest(n - 50, 0) AS more FROM r WHERE place <= 50")
 def cluster_index(spark: SparkSession, d: str) -> DataFrame:
     return metadata.cluster_index(metadata.compact(_star(spark, d)))
 

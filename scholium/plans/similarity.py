@@ -64,7 +64,7 @@ def continuity(spark: SparkSession, d: str) -> DataFrame:
 def argument_graph(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper"), F.col("embedding").alias("vec"))
     g = vectors.argument_edges(e.where("paper < 5"), e.where("paper >= 5"), 0.2)
-    return g.select("from_paper", "to_paper", "conclusion", "premise", F.round("sim", 6).alias("sim"))
+    return g.select(F.col("from_paper").cast("int").alias("from_paper"), F.col("to_paper").cast("int").alias("to_paper"), "conclusion", "premise", F.round("sim", 6).alias("sim"))
 
 
 @query("journal_fit", "WITH c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label >= 5) GROUP BY i)), s AS (SELECT list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, c WHERE label < 5) SELECT round(avg(s), 6) AS mean_fit, round(min(s), 6) AS min_fit, round(max(s), 6) AS max_fit, round(stddev_pop(s), 6) AS std_fit FROM s")
