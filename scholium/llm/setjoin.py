@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scholium.llm._runs import by_group
 from scholium.llm._shingles import mix, shingle_sets
 from scholium.llm._tables import freeing, read
-from scholium.runtime import BROADCAST_ROWS, components, cut, drop, ship, small_join
+from scholium.runtime import BROADCAST_ROWS, components, cut, drop, free, ship, small_join
 
 WIDTH, PERCENT = 5, 80
 #: Members of a group that one task compares among themselves, or against as many others.
@@ -444,6 +444,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     met = docs.mapInArrow(freeing(_emitter(buckets, t)), "bucket int, blob binary").repartition(F.col("bucket")).mapInArrow(freeing(_meet), "leader long, tile long, members binary")
     met = met.repartition("leader", "tile").sortWithinPartitions("leader", "tile").mapInArrow(by_group(_gather, ["leader", "tile"]), "leader long, tile long, groups binary, sizes binary, members array<long>")
     met = cut(met, "met")
+    free(spark)
     members = met.select("leader", "tile", F.explode("members").alias("cls"))
     wanted = cut(members.select("cls").distinct().join(classes, "cls").select("cls", "first", "mult"), "wanted")
     # a text is read again for its key and class; keys may repeat, so that a set may come more than once
@@ -453,6 +454,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     lost = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("want"), F.lit(None).cast("long").alias("mult")).mapInArrow(freeing(_sets_of), _SETS)
     lost = lost.drop("mult").dropDuplicates(["cls"]).join(wanted.where("first IS NULL").select("cls", "mult"), "cls").select("cls", "n", "point", "hashes", "mult")
     sets = cut(have.unionByName(lost), "sets")
+    free(spark)
     points = sets.select("cls", "n", "point").dropDuplicates(["cls"])
     empty = [F.lit(None).cast(k).alias(c) for c, k in (("groups", "binary"), ("sizes", "binary"))]
     parts = members.join(points, "cls").select("leader", "tile", "cls", "n", "point", *empty)
@@ -460,6 +462,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     pairs = parts.repartition("leader", "tile").sortWithinPartitions("leader", "tile").mapInArrow(by_group(_prune(t), ["leader", "tile"]), "a long, b long")
     near = components(pairs.distinct())
     comp = cut(near.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
+    free(spark)
     sized = comp.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_TILE).cast("long").alias("tiles"))
     # a row for each class that has a neighbour; the sets stay where they are if these are few
     members = small_join(sets.select("cls", "n", "hashes", "mult"), comp.join(sized, "comp"), ["cls"])
@@ -468,12 +471,14 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.when(j != F.col("chunk"), F.least(j, F.col("chunk")) * F.col("tiles") + F.greatest(j, F.col("chunk"))))
     members = members.withColumn("tile", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(others, lambda x: x.isNotNull()))))
     found = cut(members.repartition("comp", "tile").sortWithinPartitions("comp", "tile").mapInArrow(by_group(_verify(t), ["comp", "tile"]), "a long, b long, w long"), "links")
+    free(spark)
     weight = found.where("w IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
     linked = components(found.where("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "cls")
     info = classes.join(weight, "cls", "left").join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = info.groupBy("root").agg(F.min("first").alias("component_id"))
     info = info.join(least, "root").select("cls", (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("n_similar"), "component_id").where("n_similar > 0")
     info = cut(info, "classes")
+    free(spark)
     out = small_join(rows.where("n > 0"), info, ["cls"], "left").select("doc_id", "n", "n_similar", "component_id")
     out = out.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("n_similar"), F.lit(None).cast("long").alias("component_id")))
     drop(met)

@@ -170,6 +170,18 @@ def test_join_of_short_texts(spark):
     check_join(spark, [(i, t) for i, t in enumerate(t for k in range(300) for t in family(rng, 8 + k % 3, 2, 1))])
 
 
+def full_collections(spark):
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    return sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+
+
+def test_join_frees_the_drivers_garbage(spark):
+    df = spark.createDataFrame(list(enumerate(family(random.Random(8), 40, 12, 1))), "doc_id long, text string")
+    before = full_collections(spark)
+    setjoin.similar(df)
+    assert full_collections(spark) >= before + 5  # after each table that ends a step
+
+
 def test_shingles_of_long_words():
     t = ["a" * 5000 + " b c d e f", "x y", None and "", "z"]
     assert [len(s) for s in shingle_sets([(x or "").encode() for x in t])] == [2, 1, 0, 1]
