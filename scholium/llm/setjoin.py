@@ -491,6 +491,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     """df's rows without those that `similar` puts in the component of a smaller key. Rows that share a key share its fate; rows with a null key stay."""
     found = similar(df, key, text, percent).where("n_similar > 0 AND component_id IS NOT NULL")
     gone = cut(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct(), "gone")
+    free(df.sparkSession)
     n = gone.count()
     some = gone.where("__gone IS NOT NULL")
     out = df.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, F.col(key) == F.col("__gone"), "left_anti")

@@ -182,6 +182,13 @@ def test_join_frees_the_drivers_garbage(spark):
     assert full_collections(spark) >= before + 5  # after each table that ends a step
 
 
+def test_keep_one_frees_the_drivers_garbage(spark):
+    df = spark.createDataFrame(list(enumerate(family(random.Random(8), 40, 12, 1))), "doc_id long, text string")
+    before = full_collections(spark)
+    setjoin.keep_one(df)
+    assert full_collections(spark) >= before + 6  # the join's five, and one before the rows are left out
+
+
 def test_shingles_of_long_words():
     t = ["a" * 5000 + " b c d e f", "x y", None and "", "z"]
     assert [len(s) for s in shingle_sets([(x or "").encode() for x in t])] == [2, 1, 0, 1]
