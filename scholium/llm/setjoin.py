@@ -450,7 +450,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     # a text is read again for its key and class; keys may repeat, so that a set may come more than once
     n = wanted.count()
     keyed = wanted.where("first IS NOT NULL").select(F.col("first").alias("doc_id"), F.col("cls").alias("want"), "mult")
-    have = docs.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed, "doc_id").select("text", "want", "mult").mapInArrow(freeing(_sets_of), _SETS)
+    have = docs.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed.hint("merge"), "doc_id").select("text", "want", "mult").mapInArrow(freeing(_sets_of), _SETS)
     lost = docs.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("want"), F.lit(None).cast("long").alias("mult")).mapInArrow(freeing(_sets_of), _SETS)
     lost = lost.drop("mult").dropDuplicates(["cls"]).join(wanted.where("first IS NULL").select("cls", "mult"), "cls").select("cls", "n", "point", "hashes", "mult")
     sets = cut(have.unionByName(lost), "sets")
@@ -494,7 +494,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     free(df.sparkSession)
     n = gone.count()
     some = gone.where("__gone IS NOT NULL")
-    out = df.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, F.col(key) == F.col("__gone"), "left_anti")
+    out = df.join(F.broadcast(some) if n <= BROADCAST_ROWS else some.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
     return out
 
 
