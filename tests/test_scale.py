@@ -1,5 +1,8 @@
 """What must hold whatever the size of the tables."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from scholium import runtime
@@ -22,3 +25,39 @@ def test_no_uncounted_broadcast(spark):
     small = runtime.small_join(a, b, ["k"], bound=100)
     assert "BroadcastHashJoin" not in plan(small)
     assert small.count() == 60_000
+
+
+def test_nearest_holds_a_strip_of_products(monkeypatch):
+    from scholium.operators import vectors
+
+    rng = np.random.default_rng(1)
+    c = vectors._unit(rng.integers(-1, 2, (3000, 4)).astype(float))  # many ties
+    q, qi, ci = c[:2000], np.arange(2000), rng.permutation(3000)
+    s = np.round(q @ c.T, 12)
+    for k in (1, 3):
+        want = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
+        monkeypatch.setattr(vectors, "STRIP", 30_000)
+        tracemalloc.start()
+        a, b, _ = vectors._nearest(q, c, qi, ci, k, False)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (a == np.repeat(qi, k)).all() and (b == ci[want].ravel()).all()
+        assert peak < 10e6  # all products would be 48 MB
+
+
+def test_cited_keys_meet_in_blocks(spark, monkeypatch):
+    from scholium.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    rows = lambda n: [(i, i % 3, [float(x) for x in rng.normal(size=5)]) for i in range(n)]
+    q, c = rows(200), rows(300)
+    contexts = spark.createDataFrame([(i, v) for i, _, v in q], "id long, vec array<double>")
+    chunks = spark.createDataFrame([(i, k, v) for i, k, v in c], "id long, cited_key long, vec array<double>")
+    cites = spark.createDataFrame([(i, k) for i, g, _ in q for k in (g, 9)], "context long, cited long")
+    s = vectors._unit(np.array([v for *_, v in q])) @ vectors._unit(np.array([v for *_, v in c])).T
+    keys = np.array([k for _, k, _ in c])
+    for r in vectors.citation_alignment(contexts, cites, chunks, 3).collect():
+        own = s[r.context, keys == r.cited]
+        assert abs(r.sim - (own.max() if len(own) else 0)) < 1e-9
+        assert r.in_top == (r.cited in keys[np.argsort(-s[r.context])[:3]])
