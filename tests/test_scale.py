@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scholium import runtime
@@ -61,3 +62,42 @@ def test_cited_keys_meet_in_blocks(spark, monkeypatch):
         own = s[r.context, keys == r.cited]
         assert abs(r.sim - (own.max() if len(own) else 0)) < 1e-9
         assert r.in_top == (r.cited in keys[np.argsort(-s[r.context])[:3]])
+
+
+def test_equal_sds_by_size_and_label(spark):
+    from scholium.operators.groupchecks import variance_ratio
+
+    g = spark.createDataFrame([(2.0, 5, 1), (2.0, 9, 2), (2.0, 9, 3), (1.0, 7, 4), (1.0, 6, 6), (1.0, 6, 5), (None, 1, 0)], "sd double, n long, label int")
+    r = variance_ratio(g, [], "sd", "n", "label").first()
+    assert (r.max_group, r.min_group) == (3, 5)
+
+
+def test_sample_sizes_all_at_once():
+    import time
+
+    from scholium.functions import checks, special
+
+    rng = np.random.default_rng(3)
+    t = pd.DataFrame({"t": np.round(rng.uniform(0, 6, 3000), 3), "p": [f"{x:.3f}" for x in rng.uniform(0, 0.3, 3000)], "n": rng.integers(2, 200, 3000)})
+    began = time.perf_counter()
+    got = pd.DataFrame(checks._sizes_of(t))
+    assert time.perf_counter() - began < 15  # test by test it took a second a hundred
+    for i in range(0, 3000, 150):
+        at = lambda df: special.beta_inc1(df / 2, 0.5, df / (df + t.t[i] ** 2)) if t.t[i] else 1.0  # noqa: E731, B023
+        assert abs(got.p_at_n[i] - at(t.n[i] - 1)) < 1e-9
+        fit = [d + 1 for d in range(1, 400) if abs(at(d) - float(t.p[i])) <= 0.0005 + 1e-12]
+        if fit and fit[-1] < 400:
+            assert (got.n_low[i], got.n_high[i]) == (fit[0], fit[-1])
+
+
+def test_salami_makes_each_pair_once(spark, monkeypatch):
+    from scholium.operators import summaries
+
+    monkeypatch.setattr(summaries, "MEMBERS", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, sorted(rng.choice(list("abcdefg"), int(rng.integers(2, 6)), replace=False).tolist())) for i in range(90)]
+    d = summaries.salami(spark.createDataFrame(rows, "pmid long, cohort_size int, authors array<string>"))
+    want = sorted((a, b, c, len(set(x) & set(y))) for a, c, x in rows for b, e, y in rows if a < b and c == e and len(set(x) & set(y)) >= 3)
+    assert sorted(tuple(r) for r in d.select("pmid_a", "pmid_b", "cohort_size", "n_shared").collect()) == want
+    last = d._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "Aggregate" not in last  # pairs aren't shuffled once more
