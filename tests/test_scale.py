@@ -101,3 +101,27 @@ def test_salami_makes_each_pair_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in d.select("pmid_a", "pmid_b", "cohort_size", "n_shared").collect()) == want
     last = d._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "Aggregate" not in last  # pairs aren't shuffled once more
+
+
+def test_papers_are_read_row_by_row(spark):
+    from scholium.operators import reading
+
+    d = spark.createDataFrame([(1, "# Results\nIt may vary.\n# Discussion\nIt proves all.\n")], "k long, t string")
+    o = reading.overclaiming(d, "k", reading.split_sections(F.col("t")))
+    r = reading.resolution_match(d, "k", F.col("t"), F.col("t"))
+    for x in (o, r):
+        p = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in p and "Aggregate" not in p  # nothing is shuffled or broadcast
+    assert o.first().n_escalations == 1
+
+
+def test_nearest_within_a_long_text():
+    from scholium.operators.reading import nearest_within
+
+    rng = np.random.default_rng(5)
+    s = [[f"w{x}" for x in rng.integers(0, 40, 6)] for _ in range(120)]
+    long, short = nearest_within(s[:20], s[20:]), [nearest_within(s[:20], s[20:60], s[60:]), nearest_within(s[:20], s[60:100], [*s[20:60], *s[100:]]), nearest_within(s[:20], s[100:], s[20:100])]
+    for i, (j, v) in enumerate(long):
+        parts = [(v2, 0 - (j2 + at)) for at, part in zip((0, 40, 80), short) for j2, v2 in [part[i]] if j2 >= 0]
+        best = max(parts, key=lambda x: (round(x[0], 12), x[1]))
+        assert abs(best[0] - v) < 1e-9 and -best[1] == j
