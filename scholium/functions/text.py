@@ -48,7 +48,8 @@ def bibliography_keys(t: Column) -> Column:
 def sentences(t: Column) -> Column:
     """Cut after . ! or ? where white space and a capital or a backslash follow."""
     parts = F.filter(F.transform(F.split(F.trim(t), r"(?<=[?!.])\s+" + _STARTS), lambda s: F.trim(s)), lambda s: s != "")
-    return F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.trim(t)))), F.lit(0))  # a lambda over one element, so that the parts are worked out once
+    one = F.array(F.struct(parts.alias("p"), F.trim(t).alias("t")))  # a lambda over one element, so that the parts are worked out once
+    return F.get(F.transform(one, lambda x: F.when(F.size(x["p"]) > 0, x["p"]).otherwise(F.array(x["t"]))), F.lit(0))
 
 
 def words(t: Column) -> Column:

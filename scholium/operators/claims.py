@@ -16,21 +16,21 @@ CAUSAL = sorted(["causes", "drives", "explains", "leads to", "underlies", "deter
 def hits(sentence: Column, phrases: list[str]) -> Column:
     """How many of the phrases occur, as whole words. Only for those that the sentence holds in any case is a pattern tried."""
 
-    def count(low: Column) -> Column:
+    def count(x: Column) -> Column:
         n = F.lit(0)
         for p in phrases:
-            n = n + (low.contains(p) & sentence.rlike(rf"(?i)\b{re.escape(p)}\b")).cast("int")
+            n = n + (x["low"].contains(p) & x["own"].rlike(rf"(?i)\b{re.escape(p)}\b")).cast("int")
         return n
 
-    return F.get(F.transform(F.array(F.lower(sentence)), count), F.lit(0))  # a lambda over one element, so that it is lowered once
+    return F.get(F.transform(F.array(F.struct(F.lower(sentence).alias("low"), sentence.alias("own"))), count), F.lit(0))  # a lambda over one element, so that it is lowered once
 
 
 def claim_strength(sentence: Column) -> Column:
     """From 0, all hedges, to 1, none; without markers 0.3 and a hundredth a word, 0.5 at most."""
     h, s = hits(sentence, HEDGES), hits(sentence, AMPLIFIERS) + hits(sentence, CAUSAL)
     n = F.size(F.filter(F.split(F.trim(sentence), r"\s+"), lambda w: w != ""))
-    score = lambda x: F.when(x["h"] + x["s"] == 0, F.least(F.lit(0.5), F.lit(0.3) + F.lit(0.01) * n)).otherwise(((x["s"] - x["h"]) / (x["h"] + x["s"]) + 1) / 2)
-    return F.get(F.transform(F.array(F.struct(h.alias("h"), s.alias("s"))), score), F.lit(0))
+    score = lambda x: F.when(x["h"] + x["s"] == 0, F.least(F.lit(0.5), F.lit(0.3) + F.lit(0.01) * x["n"])).otherwise(((x["s"] - x["h"]) / (x["h"] + x["s"]) + 1) / 2)
+    return F.get(F.transform(F.array(F.struct(h.alias("h"), s.alias("s"), n.alias("n"))), score), F.lit(0))
 
 
 def section_strength(sentences: DataFrame, by: list[str], sentence: str = "sentence") -> DataFrame:
