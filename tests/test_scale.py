@@ -125,3 +125,26 @@ def test_nearest_within_a_long_text():
         parts = [(v2, 0 - (j2 + at)) for at, part in zip((0, 40, 80), short) for j2, v2 in [part[i]] if j2 >= 0]
         best = max(parts, key=lambda x: (round(x[0], 12), x[1]))
         assert abs(best[0] - v) < 1e-9 and -best[1] == j
+
+
+def test_titles_meet_in_blocks(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from scholium.operators import resolve
+
+    monkeypatch.setattr(resolve, "TITLES", 20)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        t = list(f"{'abcdefghij'[i % 10] * 3} effects of {'klmnopqrst'[i % 7]} on things {i % 12} and more")
+        for _ in range(int(rng.integers(0, 6))):
+            t[int(rng.integers(len(t)))] = "xyz "[int(rng.integers(4))]
+        rows.append((f"k{i}", " ".join("".join(t).split()), str(2000 + i % 2), i))
+    want, leaders = {}, []
+    for k, t, y, _ in rows:
+        want[k] = next((a for a, u, z in leaders if z == y and SequenceMatcher(None, t, u).ratio() > 0.85), k)
+        if want[k] == k:
+            leaders.append((k, t, y))
+    got = resolve.fuzzy_groups(spark.createDataFrame(rows, "cite_key string, title string, year string, pos long"))
+    assert {r.cite_key: r.leader for r in got.collect()} == want
+    assert 2 < len(set(want.values())) < 118
